@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from carespark.operators import silver
+from carespark.operators import cost, gold, quality, risk, silver
 
 from .fixtures import views
 
@@ -236,3 +236,81 @@ class Lake:
     @cached_property
     def basics(self) -> DataFrame:
         return silver.device_basics(self.silver("basic"))
+
+    # --- gold ---
+    @cached_property
+    def dim_payer(self) -> DataFrame:
+        return gold.dim_payer(self.coverage)
+
+    @cached_property
+    def patient_payer(self) -> DataFrame:
+        return gold.patient_payer(self.dim_payer)
+
+    @cached_property
+    def fact_claim(self) -> DataFrame:
+        return gold.fact_claim(self.eob, self.dim_payer, self.patient_payer)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return quality.quality_features(
+            self.patient_facts, self.conditions, self.observations, self.medications, self.immunizations, self.as_of_day
+        )
+
+    @cached_property
+    def measures(self) -> DataFrame:
+        return quality.quality_measures(self.features, self.patient_payer)
+
+    @cached_property
+    def quality_summary(self) -> DataFrame:
+        return quality.quality_summary(self.measures)
+
+    @cached_property
+    def adherence(self) -> DataFrame:
+        return quality.medication_adherence(self.medications)
+
+    @cached_property
+    def care_gaps(self) -> DataFrame:
+        return quality.care_gaps(self.measures)
+
+    @cached_property
+    def rated(self) -> DataFrame:
+        return quality.rated_measures(self.quality_summary, self.adherence)
+
+    @cached_property
+    def patient_hcc(self) -> DataFrame:
+        return risk.hcc_hierarchy(risk.patient_hcc(self.conditions))
+
+    @cached_property
+    def risk_scores(self) -> DataFrame:
+        return risk.risk_scores(self.patient_facts, self.patient_hcc, self.patient_payer, self.as_of_day)
+
+    @cached_property
+    def readmission_features(self) -> DataFrame:
+        return risk.readmission_features(
+            self.encounters, self.patient_facts, self.conditions, self.medications, self.patient_payer, self.as_of_day
+        )
+
+    @cached_property
+    def readmission(self) -> DataFrame:
+        scored = risk.readmission_rule_score(self.readmission_features)
+        return risk.readmission_scores(scored, self.patient_payer)
+
+    @cached_property
+    def months(self) -> DataFrame:
+        return cost.member_months(self.coverage, self.as_of_day)
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        return cost.classify_encounters(self.encounters)
+
+    @cached_property
+    def rates(self) -> DataFrame:
+        return cost.population_rates(self.classified, self.fact_claim, self.months)
+
+    @cached_property
+    def utilization(self) -> DataFrame:
+        return cost.utilization_monthly(self.classified, self.rates)
+
+    @cached_property
+    def high_cost(self) -> DataFrame:
+        return cost.high_cost_claimants(self.fact_claim, self.conditions, exact=True)
