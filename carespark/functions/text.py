@@ -41,15 +41,18 @@ def cascade(branches: list[tuple[Column, object]], default) -> Column:
 
 
 def mask_id(col: Column) -> Column:
-    """First and last four characters of a long identifier."""
-    return F.when(F.length(col) <= 8, col).otherwise(
-        F.concat(F.substring(col, 1, 4), F.lit("…"), F.right(col, F.lit(4)))
+    """First and last four characters of a long identifier; a dash for none."""
+    return (
+        F.when(F.length(col) > 8, F.concat(F.substring(col, 1, 4), F.lit("…"), F.right(col, F.lit(4))))
+        .otherwise(F.coalesce(filled(col), F.lit("—")))
     )
 
 
 def mask_name(col: Column) -> Column:
-    """Initials only."""
-    parts = F.filter(F.split(F.trim(col), r"\s+"), lambda p: p != "")
-    return F.array_join(
-        F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lit("."))), " "
+    """Initials only, from the letters of each word; a dash for none."""
+    words = F.filter(F.split(col, r"\s+"), lambda w: w != "")
+    initial = lambda w: F.concat(
+        F.upper(F.substring(F.regexp_replace(w, "[^A-Za-z]", ""), 1, 1)), F.lit(".")
     )
+    masked = F.array_join(F.transform(words, initial), " ")
+    return F.when(filled(col).isNull() | (col == "—"), F.lit("—")).otherwise(masked)

@@ -669,13 +669,12 @@ def triage_totals(view: DataFrame) -> DataFrame:
 
 
 def readmission_digest(scores: DataFrame) -> DataFrame:
-    """High-tier rows with a percent message."""
-    pct = plain(F.round(F.col("risk_probability") * 100, 1))
+    """High-tier stays with a percent message, for a daily digest."""
+    pct = plain(F.round(F.col("risk_probability").cast("decimal(18,6)") * 100, 1))
     return scores.where(F.col("risk_tier") == "High").select(
-        "encounter_id", "patient_id", "risk_probability",
-        F.concat(
-            F.lit("Patient "), "patient_id", F.lit(" has a "), pct, F.lit("% readmission risk"),
-        ).alias("message"),
+        "patient_id", "risk_tier", "risk_probability", "los_days",
+        F.col("admit_date").cast("string").alias("admit_date"),
+        F.concat(F.lit("30-day readmission risk "), pct, F.lit("%")).alias("message"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.lineage import cut_lineage
 from ..functions.ranking import rank_values
 from ..functions.text import cascade
 from ..refdata import clinical as ref
@@ -134,32 +135,33 @@ def high_cost_claimants(
 ) -> DataFrame:
     """Patients at or above the paid percentile, with percent rank and conditions.
 
-    `exact` takes the lower-rank percentile from the exact global ranks instead
-    of the sketch. Percent rank counts ties once and runs per value bucket, so
-    there is no single-task window.
+    Per-patient totals feed the threshold, the ranks and the result, so they are
+    written once. `exact` takes the threshold from the exact ranks instead of the
+    sketch. Ranks count equal totals once and run per value bucket: there is no
+    single-task window.
     """
-    costs = patient_costs(claims)
+    costs = cut_lineage(patient_costs(claims))
+    ranks = rank_values(costs, "total_paid")
     if exact:
-        n = costs.agg(F.count("*").alias("n")).scalar()
-        at_least = F.col("rank") <= n - F.ceil(n * F.lit(share)) + 1
-        floor = rank_values(costs, "total_paid").where(at_least).agg(F.min("total_paid")).scalar()
+        n = costs.agg(F.count("*")).scalar()
+        keep = F.col("rank") <= n - F.ceil(n * F.lit(share)) + 1
     else:
-        floor = costs.agg(F.percentile_approx("total_paid", share, 10000)).scalar()
-    top = costs.where(F.col("total_paid") >= floor)
-    size = top.agg(F.count("*")).scalar()
-    ranks = rank_values(top, "total_paid").select("total_paid", "rank")
+        keep = F.col("total_paid") >= costs.agg(F.percentile_approx("total_paid", share, 10000)).scalar()
+    top_values = cut_lineage(ranks.where(keep))
+    bounds = top_values.agg(F.sum("n").alias("_size"), F.min("total_paid").alias("_floor"))
+    top = costs.join(top_values.select("total_paid", "rank"), "total_paid")
     listed = (
         conditions.join(top.select("patient_id").distinct(), "patient_id", "left_semi")
         .groupBy("patient_id")
         .agg(F.array_join(F.array_sort(F.collect_set("display")), ", ").alias("conditions_list"))
     )
     return (
-        top.join(ranks, "total_paid")
+        top.crossJoin(F.broadcast(bounds))
         .withColumn(
             "percentile_rank",
-            F.when(size > 1, (F.col("rank") - 1) / (size - 1)).otherwise(0.0),
+            F.when(F.col("_size") > 1, (F.col("rank") - 1) / (F.col("_size") - 1)).otherwise(0.0),
         )
-        .withColumn("is_stop_loss", F.col("total_paid") >= floor * 2)
+        .withColumn("is_stop_loss", F.col("total_paid") >= F.col("_floor") * 2)
         .join(listed, "patient_id", "left")
         .select(
             "patient_id", "payer_category",

@@ -4,6 +4,7 @@ from . import (  # noqa: F401  (imports register the queries)
     q_alerts,
     q_gold,
     q_payer,
+    q_reports,
     q_telemetry,
 )
 from .registry import QUERIES, oracle

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from carespark.operators import cost, gold, quality, risk, silver
+from carespark.operators import alerts, cost, gold, graph, lookups, quality, risk, silver
 
 from .fixtures import views
 
@@ -314,3 +314,67 @@ class Lake:
     @cached_property
     def high_cost(self) -> DataFrame:
         return cost.high_cost_claimants(self.fact_claim, self.conditions, exact=True)
+
+    # --- reports ---
+    @cached_property
+    def person(self) -> DataFrame:
+        """Patients with name and home place."""
+        place = self.typed("patients").selectExpr(
+            "patient_id", "concat('City ', num % 7) as city", "case when num % 5 = 0 then 'TN' else 'GA' end as state"
+        )
+        named = self.patients.select(
+            "patient_id", "birth_date", "gender", alerts.pick_name(F.col("name")).alias("patient_name")
+        )
+        return named.join(place, "patient_id")
+
+    @cached_property
+    def costs(self) -> DataFrame:
+        return self.claims.select("patient_id", F.col("claim_amount").alias("total_charge"))
+
+    @cached_property
+    def by_payer(self) -> DataFrame:
+        return cost.utilization_by_payer(self.classified, self.patient_payer)
+
+    @cached_property
+    def star_detail(self) -> DataFrame:
+        return quality.star_detail(self.rated)
+
+    @cached_property
+    def opportunity(self) -> DataFrame:
+        return risk.revenue_opportunity(self.risk_scores)
+
+    @cached_property
+    def procedures(self) -> DataFrame:
+        return self.claims.select(
+            F.col("claim_id").alias("procedure_id"), "patient_id", F.col("procedure_code").alias("display"),
+            F.to_date("event_timestamp").alias("performed"),
+        )
+
+    @cached_property
+    def associations(self) -> DataFrame:
+        return lookups.device_associations(self.basics)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        projections = {
+            name: graph.project_node_table(self.silver(table), name)
+            for name, table in [
+                ("Encounter", "encounter"), ("Condition", "condition"), ("MedicationRequest", "medication"),
+                ("Observation", "observation"), ("ImagingStudy", "imaging"),
+            ]
+        }
+        return graph.edges(
+            {
+                **projections,
+                "DeviceAssociation": graph.device_association(self.basics),
+                "Telemetry": self.telemetry,
+                "fact_claim": self.fact_claim.withColumn("claim_key", F.col("claim_id")),
+                "FactDiagnosis": graph.fact_diagnosis_projection(
+                    gold.fact_diagnosis(silver.conditions(self.silver("condition"), with_encounter=True))
+                ).withColumn("fact_diagnosis_key", F.col("diagnosis_id")),
+                "agg_medication_adherence": self.adherence,
+                "care_gaps": self.care_gaps,
+                "agg_risk_scores": self.risk_scores,
+                "agg_high_cost_claimants": self.high_cost,
+            }
+        )
