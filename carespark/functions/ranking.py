@@ -8,7 +8,9 @@ of all rows is a single row there.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from .lineage import cut_lineage
 
 
 def _offsets(buckets: DataFrame, descending: bool) -> DataFrame:
@@ -46,22 +48,42 @@ def rank_values(values: DataFrame, col: str, buckets: int = 256) -> DataFrame:
     )
 
 
-def hash_bucket(key: Column, buckets: int = 4096) -> Column:
-    """Even bucket from the first three hex digits of the key's md5."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 3), 16, 10).cast("int") % buckets
-
-
-def global_index(df: DataFrame, key: str, out: str = "index") -> DataFrame:
-    """Stable zero-based index over unique keys, in (hash bucket, key) order.
+def sorted_index(df: DataFrame, key: str, out: str = "index", partitions: int | None = None) -> DataFrame:
+    """Exact zero-based index in key order, without a global window.
 
-    The order is arbitrary but repeatable; buckets are even whatever the keys.
+    Rows are range-partitioned, sorted inside each partition and written once;
+    an index is then the rows of earlier partitions plus the position inside
+    its own. Reading a written copy keeps partitions and positions stable when
+    an executor is lost.
     """
-    tagged = df.withColumn("bucket", hash_bucket(F.col(key)))
-    totals = tagged.groupBy("bucket").agg(F.count("*").alias("n"))
-    within = Window.partitionBy("bucket").orderBy(key)
+    ranged = df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)
+    placed = (
+        cut_lineage(ranged.sortWithinPartitions(key))
+        .withColumn("bucket", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    totals = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     return (
-        tagged.withColumn("_at", F.row_number().over(within) - 1)
-        .join(_offsets(totals, descending=False), "bucket")
+        placed.join(F.broadcast(_offsets(totals, descending=False)), "bucket")
         .withColumn(out, F.col("offset") + F.col("_at"))
         .drop("bucket", "_at", "offset")
     )
+
+
+def index_within(df: DataFrame, group: str, position: str, out: str, width: int = 10000) -> DataFrame:
+    """Zero-based index by an integer position inside each group.
+
+    Windows see at most `width` positions of a group at a time, so a group that
+    holds a third of all rows is still split.
+    """
+    tagged = df.withColumn("_b", F.floor(F.col(position) / width))
+    totals = tagged.groupBy(group, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    within = Window.partitionBy(group, "_b").orderBy(position)
+    return (
+        tagged.withColumn("_r", F.row_number().over(within) - 1)
+        .join(offsets, [group, "_b"])
+        .withColumn(out, F.col("_o") + F.col("_r"))
+        .drop("_b", "_r", "_o")
+    )

@@ -1,0 +1,193 @@
+"""Synthetic claims, telemetry and cohorts as expressions over index rows.
+
+Every random choice is a hash of the row's own index: partitions need no shared
+state and a rerun gives the same rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.ids import hash_between, hash_number, uuid5, weighted_pick
+from ..functions.text import cascade
+
+# Diagnosis weights, procedures, claim types, amounts, payers, sites.
+DIAGNOSES = [("E11.9", 24), ("I50.9", 16), ("J44.9", 14), ("Z00.00", 18), ("I10", 28)]
+PROCEDURES = {
+    "E11.9": [("99213", 36), ("99214", 30), ("80053", 22), ("99215", 8), ("99282", 2), ("99283", 2)],
+    "I50.9": [("99214", 26), ("99215", 16), ("93000", 20), ("99282", 4), ("99283", 8), ("99284", 16), ("99285", 10)],
+    "J44.9": [("99214", 32), ("99215", 10), ("99281", 3), ("99282", 7), ("99283", 18), ("99284", 15), ("99285", 5), ("93000", 10)],
+    "Z00.00": [("99213", 60), ("80053", 28), ("99214", 8), ("93000", 2), ("99281", 2)],
+    "I10": [("99213", 38), ("99214", 30), ("93000", 14), ("80053", 14), ("99215", 3), ("99282", 1)],
+}
+CLAIM_TYPES = {
+    "E11.9": [("professional", 68), ("institutional", 10), ("pharmacy", 16), ("emergency", 6)],
+    "I50.9": [("professional", 42), ("institutional", 30), ("emergency", 22), ("pharmacy", 6)],
+    "J44.9": [("professional", 52), ("institutional", 18), ("emergency", 24), ("pharmacy", 6)],
+    "Z00.00": [("professional", 82), ("institutional", 3), ("pharmacy", 12), ("emergency", 3)],
+    "I10": [("professional", 68), ("institutional", 10), ("pharmacy", 16), ("emergency", 6)],
+}
+AMOUNTS = {
+    "99213": (95.0, 185.0), "99214": (145.0, 285.0), "99215": (225.0, 475.0), "99281": (250.0, 650.0),
+    "99282": (450.0, 950.0), "99283": (900.0, 1900.0), "99284": (1900.0, 4600.0), "99285": (3600.0, 9200.0),
+    "93000": (25.0, 125.0), "80053": (14.0, 85.0),
+}
+PAYERS = [("PAY-01", 36), ("PAY-02", 24), ("PAY-03", 18), ("PAY-04", 12), ("PAY-05", 10)]
+SITES = [("FAC-001", 36.1627, -86.7816), ("FAC-002", 35.1495, -90.0490), ("FAC-003", 35.0456, -85.3097), ("FAC-004", 36.3134, -82.3535), ("FAC-005", 36.5298, -87.3595)]
+NAMESPACE = "7f3f0f14-c8f2-4a57-8d44-a1306fa8cb8e"
+ED = ["99281", "99282", "99283", "99284", "99285"]
+
+
+def _by(key: Column, table: dict, pick) -> Column:
+    return cascade([(key == k, pick(v)) for k, v in table.items()], F.lit(None))
+
+
+def claim_event_generator(
+    counters: DataFrame, start, patient_count: int = 100, hot_provider: str = "TEST-PROVIDER",
+    outlier_factor: int = 6, per_minute: int = 60,
+) -> DataFrame:
+    """Claims from a `counter` column: hot provider every 5th, outlier every 20th,
+    upcoding every 25th, denial every 40th, patients by modulo."""
+    n = F.col("counter")
+    every = lambda k: n % k == 0
+    dx, kind, proc = F.col("diagnosis_code"), F.col("claim_type"), F.col("procedure_code")
+    base = cascade(
+        [
+            ((kind == "institutional") & proc.isin("99284", "99285"), hash_between(9000.0, 32000.0, "amount", n)),
+            (kind == "institutional", hash_between(3500.0, 18000.0, "amount", n)),
+            (kind == "pharmacy", hash_between(35.0, 950.0, "amount", n)),
+        ],
+        _by(proc, AMOUNTS, lambda r: hash_between(*r, "amount", n)),
+    )
+    lift = F.when(
+        dx.isin("I50.9", "J44.9") & kind.isin("institutional", "emergency"), hash_between(1.05, 1.35, "lift", n)
+    ).otherwise(F.lit("1").cast("decimal(18,6)"))
+    factor = F.when(every(20), F.lit(outlier_factor)).otherwise(F.lit(1)).cast("decimal(4,0)")
+    patient = F.when(
+        every(12), (n * 7) % min(patient_count, 50)
+    ).otherwise((n * 37) % patient_count)
+    site = lambda j: F.element_at(F.array(*[F.lit(s[j]) for s in SITES]), (n % len(SITES) + 1).cast("int"))
+    rows = (
+        counters.select("counter")
+        .withColumn("diagnosis_code", weighted_pick(DIAGNOSES, "diagnosis", n))
+        .withColumn("drawn_procedure", _by(dx, PROCEDURES, lambda w: weighted_pick(w, "procedure", n)))
+        .withColumn("drawn_type", _by(dx, CLAIM_TYPES, lambda w: weighted_pick(w, "type", n)))
+        .withColumn("drawn_type", F.when(F.col("drawn_procedure").isin(ED), "emergency").otherwise(F.col("drawn_type")))
+        .withColumn("procedure_code", F.when(every(25), "99215").otherwise(F.col("drawn_procedure")))
+        .withColumn(
+            "claim_type",
+            F.when(every(25) & (F.col("drawn_type") == "pharmacy"), "professional").otherwise(F.col("drawn_type")),
+        )
+    )
+    flags = F.concat_ws(
+        "|",
+        F.when(every(25), "upcoding"),
+        F.when(every(20), "amount_outlier"),
+        F.when(every(5), "velocity_burst"),
+        F.when(every(40), "denial_pattern"),
+    )
+    cents = "decimal(18,2)"
+    amount = F.round(F.round(base, 2).cast(cents) * lift, 2).cast(cents) * factor
+    return rows.select(
+        uuid5(NAMESPACE, "claim-event", n.cast("string")).alias("event_id"),
+        (start + F.make_dt_interval(secs=(n * 60 / per_minute).cast("decimal(18,6)"))).alias("event_timestamp"),
+        F.lit("CLAIM_SUBMITTED").alias("event_type"),
+        F.concat(
+            F.lit("CLM-"),
+            F.upper(F.substring(F.replace(uuid5(NAMESPACE, "claim", n.cast("string")), F.lit("-"), F.lit("")), 1, 10)),
+        ).alias("claim_id"),
+        uuid5(NAMESPACE, "patient", patient.cast("string")).alias("patient_id"),
+        F.when(every(5), hot_provider)
+        .otherwise(F.format_string("PROV-%04d", (n * 29) % 650 + 1))
+        .alias("provider_id"),
+        F.when(kind.isin("professional", "pharmacy"), F.format_string("FAC-%03d", (n * 17) % 220 + 100))
+        .otherwise(site(0))
+        .alias("facility_id"),
+        weighted_pick(PAYERS, "payer", n).alias("payer_id"),
+        "diagnosis_code",
+        "procedure_code",
+        "claim_type",
+        amount.cast(cents).alias("claim_amount"),
+        site(1).alias("latitude"),
+        site(2).alias("longitude"),
+        flags.alias("injected_fraud_flags"),
+    )
+
+
+def telemetry_generator(devices: DataFrame, ticks: int, start, seconds: int = 1) -> DataFrame:
+    """Bounded random-walk readings: hash steps, running sums, clamp.
+
+    The window holds `ticks` rows per device, a bound the caller sets.
+    """
+    d, t = F.col("device_id"), F.col("tick")
+    walk = Window.partitionBy("device_id").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+
+    def metric(name: str, low: float, spread: float, step: float, floor: float, ceil: float) -> Column:
+        first = hash_between(low, low + spread, f"{name}-base", d)
+        path = first + F.sum(hash_between(-step, step, name, d, t)).over(walk)
+        bound = lambda v: F.lit(str(v)).cast("decimal(18,6)")
+        return F.least(F.greatest(path, bound(floor)), bound(ceil))
+
+    rows = devices.select("device_id").withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(ticks - 1))))
+    return rows.select(
+        "device_id",
+        (start + F.make_dt_interval(secs=(t * seconds).cast("decimal(18,6)"))).alias("ts"),
+        F.round(metric("spo2", 95.0, 4.0, 0.5, 88.0, 100.0), 1).cast("double").alias("spo2"),
+        F.floor(metric("pr", 65.0, 20.0, 2.0, 50.0, 140.0)).cast("int").alias("pr"),
+        F.round(metric("pi", 2.5, 2.0, 0.1, 0.5, 10.0), 2).cast("double").alias("pi"),
+        F.floor(metric("pvi", 10.0, 8.0, 1.0, 5.0, 30.0)).cast("int").alias("pvi"),
+        F.round(hash_between(11.5, 13.5, "sphb", d, t), 1).cast("double").alias("sphb"),
+        (F.lit(90) + hash_number("signal", d, t) % 11).cast("int").alias("signal_iq"),
+    )
+
+
+# Cohort conditions, names, encounter classes, monthly drugs.
+COHORT_CONDITIONS = [("44054006", "Type 2 diabetes mellitus"), ("59621000", "Essential hypertension"), ("84114007", "Heart failure"), ("13645005", "Chronic obstructive lung disease"), ("195967001", "Asthma"), ("162864005", "Body mass index 30+ - obesity"), ("233604007", "Pneumonia"), ("433144002", "Chronic kidney disease stage 3"), ("36923009", "Major depressive disorder"), ("254637007", "Lung cancer")]
+FIRST_NAMES = ["Alex", "Blake", "Casey", "Devon", "Emery", "Frankie", "Gray", "Harper", "Indigo", "Jordan"]
+LAST_NAMES = ["Adams", "Brooks", "Chen", "Diaz", "Evans", "Foster", "Green", "Hayes", "Irwin", "Jones"]
+ENCOUNTER_CLASSES = ["AMB", "EMER", "IMP", "AMB", "IMP"]
+COHORT_DRUGS = [("860975", "Metformin 500 MG Oral Tablet"), ("314076", "Lisinopril 10 MG Oral Tablet"), ("617314", "Atorvastatin 20 MG Oral Tablet")]
+
+
+def _pick(values: list, index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+
+
+def synthetic_cohort(indexes: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """Patients, encounters, conditions and fills from an `idx` column."""
+    i, s = F.col("idx"), F.col("sequence")
+    pid = uuid5(NAMESPACE, "patient", i.cast("string"))
+    age = F.when((i % 8).isin(5, 6, 7), 8 + i % 10).otherwise(35 + i % 50).cast("int")
+    many = lambda n: indexes.select("idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sequence"))
+    patients = indexes.select(
+        pid.alias("patient_id"),
+        F.format_string("SYN-%06d", i + 1).alias("mrn"),
+        _pick(FIRST_NAMES, i).alias("given"),
+        _pick(LAST_NAMES, F.floor(i / len(FIRST_NAMES))).alias("family"),
+        F.when(i % 2 == 0, "female").otherwise("male").alias("gender"),
+        F.add_months(as_of, -12 * age).alias("birth_date"),
+    )
+    start = F.date_sub(as_of, ((s + 1) * 30 + i % 20).cast("int"))
+    klass = _pick(ENCOUNTER_CLASSES, s)
+    encounters = many(len(ENCOUNTER_CLASSES)).select(
+        uuid5(NAMESPACE, "encounter", i.cast("string"), s.cast("string")).alias("encounter_id"),
+        pid.alias("patient_id"),
+        klass.alias("encounter_class"),
+        start.alias("start_date"),
+        F.date_add(start, F.when(klass == "IMP", 3).otherwise(0)).alias("end_date"),
+    )
+    conditions = many(2).select(
+        uuid5(NAMESPACE, "condition", i.cast("string"), s.cast("string")).alias("condition_id"),
+        pid.alias("patient_id"),
+        _pick([c for c, _ in COHORT_CONDITIONS], i + s * 3).alias("code"),
+        _pick([d for _, d in COHORT_CONDITIONS], i + s * 3).alias("display"),
+        F.date_sub(as_of, (365 * (1 + s)).cast("int")).alias("onset_date"),
+    )
+    medications = many(12).select(
+        uuid5(NAMESPACE, "medication", i.cast("string"), s.cast("string")).alias("medication_id"),
+        pid.alias("patient_id"),
+        _pick([c for c, _ in COHORT_DRUGS], i).alias("code"),
+        _pick([d for _, d in COHORT_DRUGS], i).alias("display"),
+        F.date_sub(as_of, (30 * s).cast("int")).alias("authored_date"),
+    )
+    return {"Patient": patients, "Encounter": encounters, "Condition": conditions, "MedicationRequest": medications}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ranking import global_index
+from ..functions.ranking import sorted_index
 from ..functions.text import any_of
 from .alerts import live_patient_id
 
@@ -139,12 +139,12 @@ def riskiest_encounters(scores: DataFrame, limit: int = 10) -> DataFrame:
 def device_assignment(devices: DataFrame, patients: DataFrame) -> DataFrame:
     """Every device gets a patient, cycling the patients when they run out.
 
-    Indexes are exact and repeatable, in hash-bucket order rather than list order.
+    Both sides are taken in id order.
     """
-    indexed_patients = global_index(patients.select("patient_id"), "patient_id", "slot")
+    indexed_patients = sorted_index(patients.select("patient_id"), "patient_id", "slot")
     n = patients.agg(F.count("*").alias("_n"))
     return (
-        global_index(devices.select("device_id"), "device_id", "device_index")
+        sorted_index(devices.select("device_id"), "device_id", "device_index")
         .crossJoin(F.broadcast(n))
         .withColumn("slot", F.col("device_index") % F.col("_n"))
         .join(indexed_patients, "slot")

@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401  (imports register the queries)
     q_alerts,
+    q_bundles,
     q_gold,
     q_payer,
     q_reports,

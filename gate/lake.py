@@ -354,27 +354,33 @@ class Lake:
     def associations(self) -> DataFrame:
         return lookups.device_associations(self.basics)
 
+    def edge_table(self, name: str) -> DataFrame:
+        silver_tables = {
+            "Encounter": "encounter", "Condition": "condition", "MedicationRequest": "medication",
+            "Observation": "observation", "ImagingStudy": "imaging",
+        }
+        if name in silver_tables:
+            return graph.project_node_table(self.silver(silver_tables[name]), name)
+        if name == "DeviceAssociation":
+            return graph.device_association(self.basics)
+        if name == "fact_claim":
+            return self.fact_claim.withColumn("claim_key", F.col("claim_id"))
+        if name == "FactDiagnosis":
+            facts = gold.fact_diagnosis(silver.conditions(self.silver("condition"), with_encounter=True))
+            return graph.fact_diagnosis_projection(facts).withColumn("fact_diagnosis_key", F.col("diagnosis_id"))
+        return {
+            "Telemetry": lambda: self.telemetry,
+            "agg_medication_adherence": lambda: self.adherence,
+            "care_gaps": lambda: self.care_gaps,
+            "agg_risk_scores": lambda: self.risk_scores,
+            "agg_high_cost_claimants": lambda: self.high_cost,
+        }[name]()
+
+    def edges_of(self, *kinds: str) -> DataFrame:
+        """Edges of the named types; only their tables are built."""
+        tables = {graph.EDGE_TYPES[k][0] for k in kinds}
+        return graph.edges({t: self.edge_table(t) for t in sorted(tables)}, list(kinds))
+
     @cached_property
     def edges(self) -> DataFrame:
-        projections = {
-            name: graph.project_node_table(self.silver(table), name)
-            for name, table in [
-                ("Encounter", "encounter"), ("Condition", "condition"), ("MedicationRequest", "medication"),
-                ("Observation", "observation"), ("ImagingStudy", "imaging"),
-            ]
-        }
-        return graph.edges(
-            {
-                **projections,
-                "DeviceAssociation": graph.device_association(self.basics),
-                "Telemetry": self.telemetry,
-                "fact_claim": self.fact_claim.withColumn("claim_key", F.col("claim_id")),
-                "FactDiagnosis": graph.fact_diagnosis_projection(
-                    gold.fact_diagnosis(silver.conditions(self.silver("condition"), with_encounter=True))
-                ).withColumn("fact_diagnosis_key", F.col("diagnosis_id")),
-                "agg_medication_adherence": self.adherence,
-                "care_gaps": self.care_gaps,
-                "agg_risk_scores": self.risk_scores,
-                "agg_high_cost_claimants": self.high_cost,
-            }
-        )
+        return self.edges_of(*graph.EDGE_TYPES)

@@ -211,7 +211,7 @@ query("claims_by_payer", "select payer_category, count(*) as claim_count, cast(s
 query("top_members", "select patient_id, payer_category, total_paid, claim_count, denied_claims, is_stop_loss from v_high_cost order by total_paid desc, patient_id, payer_category limit 10")(lambda k: lookups.top_members(k.high_cost))
 query("open_gaps_by_type", "select gap_type, count(*) as open_gap_count, max(days_overdue) as max_days_overdue from v_gaps group by 1")(lambda k: lookups.open_gaps_by_type(k.care_gaps))
 query("riskiest_encounters", "select patient_id, encounter_id, risk_probability, risk_tier, los_days from v_rscores order by risk_probability desc, encounter_id limit 10")(lambda k: lookups.riskiest_encounters(k.readmission))
-IDX = "row_number() over (order by cast('0x' || substr(md5({c}), 1, 3) as int), {c}) - 1"
+IDX = "row_number() over (order by {c}) - 1"
 query(
     "device_assignment",
     f"select device_id, patient_id, device_index from (select device_id, {IDX.format(c='device_id')} as device_index from (select distinct device_id from v_telemetry)) d join (select patient_id, {IDX.format(c='patient_id')} as slot from v_patients where num % 15 = 0) p on device_index % (select count(*) from v_patients where num % 15 = 0) = slot",
@@ -297,16 +297,16 @@ CTES["v_edges"] = f"""select distinct src, dst, type, src_label, dst_label from
  union all select patient_id, patient_id, 'hasHighCostProfile', 'Patient', 'HighCostClaimant' from v_high_cost)"""
 query("graph_edges", "select * from v_edges")(lambda k: k.edges)
 query("graph_edge_counts", "select type, count(*) as edges, count(distinct src) as sources, count(distinct dst) as targets from v_edges group by 1")(lambda k: graph.edge_counts(k.edges))
-query("graph_one_hop", "select src, dst from v_edges where type = 'linkedToDevice'")(lambda k: graph.match_one_hop(k.edges, "linkedToDevice"))
-query("graph_path", "select a.src as start, a.dst as middle, b.dst as \"end\" from v_edges a join v_edges b on a.dst = b.src where a.type = 'hasClaim' and b.type = 'coveredBy'")(lambda k: graph.match_path(k.edges, "hasClaim", "coveredBy"))
+query("graph_one_hop", "select src, dst from v_edges where type = 'linkedToDevice'")(lambda k: graph.match_one_hop(k.edges_of("linkedToDevice"), "linkedToDevice"))
+query("graph_path", "select a.src as start, a.dst as middle, b.dst as \"end\" from v_edges a join v_edges b on a.dst = b.src where a.type = 'hasClaim' and b.type = 'coveredBy'")(lambda k: graph.match_path(k.edges_of("hasClaim", "coveredBy"), "hasClaim", "coveredBy"))
 query(
     "graph_fork_optional",
     "select a.src as start, a.dst as first_end, b.e as second_end, coalesce(b.n, 0) as second_count from v_edges a left join (select src, min(dst) as e, count(*) as n from v_edges where type = 'hasCareGap' group by 1) b using (src) where a.type = 'hasClaim'",
-)(lambda k: graph.match_fork(k.edges, "hasClaim", "hasCareGap", optional=True))
+)(lambda k: graph.match_fork(k.edges_of("hasClaim", "hasCareGap"), "hasClaim", "hasCareGap", optional=True))
 query(
     "graph_fork_path_count",
     "select count(*) as paths, count(distinct a.src) as starts from v_edges a join v_edges b using (src) where a.type = 'hasCondition' and b.type = 'hasEncounter'",
-)(lambda k: graph.fork_path_count(k.edges, "hasCondition", "hasEncounter"))
+)(lambda k: graph.fork_path_count(k.edges_of("hasCondition", "hasEncounter"), "hasCondition", "hasEncounter"))
 
 
 def node_rows(k):
@@ -326,5 +326,5 @@ query(
     "graph_edge_audit",
     """select t.type, count(e.src) as edges, count(e.src) filter (where s.id is null) as dangling_src, count(e.src) filter (where d.id is null) as dangling_dst, count(e.src) = 0 as is_empty from (values ('linkedToDevice'), ('hasClaim'), ('coveredBy'), ('hasProcedure')) t(type)
  left join v_edges e using (type) left join v_node_ids s on s.id = e.src and s.label = e.src_label left join v_node_ids d on d.id = e.dst and d.label = e.dst_label group by 1""",
-)(lambda k: graph.edge_audit(k.edges, node_rows(k), AUDIT))
+)(lambda k: graph.edge_audit(k.edges_of(*AUDIT[:3]), node_rows(k), AUDIT))
 CTES["v_node_ids"] = "select distinct 'Patient' as label, patient_id as id from v_patients where patient_id not like '%7' union all select distinct 'Device', device_id from v_telemetry union all select distinct 'Payer', coverage_id from v_payer union all select distinct 'Claim', claim_id from v_fact_claim"
