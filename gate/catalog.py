@@ -6,6 +6,7 @@ from . import (  # noqa: F401  (imports register the queries)
     q_gold,
     q_payer,
     q_reports,
+    q_streams,
     q_telemetry,
 )
 from .registry import QUERIES, oracle

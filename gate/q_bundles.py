@@ -101,13 +101,10 @@ def big_bundle(k: Lake):
 
 query(
     "order_and_chunk_entries",
-    """with_big""".replace(
-        "with_big",
-        """select bundle_id, pos, resource_type, type_rank, case when type_rank < 99 then 0 else cast((row_number() over (partition by bundle_id, type_rank = 99 order by pos) - 1) // greatest(20000 - f, 1) as int) end as chunk from (
+    """select bundle_id, pos, resource_type, type_rank, case when type_rank < 99 then 0 else cast((row_number() over (partition by bundle_id, type_rank = 99 order by pos) - 1) // greatest(20000 - f, 1) as int) end as chunk from (
  select *, case resource_type when 'Organization' then 0 when 'Patient' then 4 else 99 end as type_rank, count(*) filter (where resource_type in ('Organization', 'Patient')) over (partition by bundle_id) as f from (
  select 'group-' || o_orderkey % 7 as bundle_id, o_orderkey * 5 + pos as pos, resource_type from v_entries)) where (select count(*) from v_entries) > 7 * 20000
  union all select bundle_id, pos, resource_type, 0, 0 from (select 'group-' || o_orderkey % 7 as bundle_id, o_orderkey * 5 + pos as pos, resource_type from v_entries) where (select count(*) from v_entries) <= 7 * 20000""",
-    ),
 )(lambda k: b.order_and_chunk_entries(big_bundle(k), 20000))
 query(
     "order_and_chunk_small",
@@ -468,7 +465,7 @@ def pick_sql(weights, salt: str) -> str:
 
 
 by_dx = lambda table, salt: "(case dx " + " ".join(f"when '{d}' then {pick_sql(w, salt)}" for d, w in table.items()) + " end)"
-CTES["v_gen0"] = f"select o_orderkey as n, {pick_sql(gen.DIAGNOSES, 'diagnosis').replace('n)', 'n)')} as dx from (select o_orderkey, o_orderkey as n from orders)"
+CTES["v_gen0"] = f"select o_orderkey as n, {pick_sql(gen.DIAGNOSES, 'diagnosis')} as dx from (select o_orderkey, o_orderkey as n from orders)"
 CTES["v_gen1"] = f"select n, dx, {by_dx(gen.PROCEDURES, 'procedure')} as p0, {by_dx(gen.CLAIM_TYPES, 'type')} as t0 from v_gen0"
 CTES["v_gen2"] = "select n, dx, case when n % 25 = 0 then '99215' else p0 end as procedure_code, case when n % 25 = 0 and t1 = 'pharmacy' then 'professional' else t1 end as claim_type from (select *, case when p0 in ('99281','99282','99283','99284','99285') then 'emergency' else t0 end as t1 from v_gen1)"
 query(
