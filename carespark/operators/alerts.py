@@ -37,8 +37,9 @@ def spo2_alerts(
 ) -> DataFrame:
     """Window-minimum saturation breaches. `plausible` drops values outside (0, 100)."""
     rows = recent(readings, "ts", as_of, minutes=window_minutes)
+    value = _spo2(mode)
     if mode == "plausible":
-        rows = rows.where(_spo2(mode).isNotNull())
+        rows = rows.where(value.isNotNull())
         low = F.min("spo2").cast("double")
     else:
         low = F.round(F.min("spo2"), 1).cast("double")
