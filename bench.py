@@ -19,7 +19,7 @@ HEADLINE = [
     "vitals_trend", "latest_readings", "clinical_alerts", "alert_history_transform", "enriched_clinical_alerts",
     "fraud_risk", "high_cost_trajectory", "fact_claim", "quality_measures", "star_simulation", "risk_scores",
     "readmit_30d", "readmission_features", "cost_by_category", "high_cost_claimants", "resolve_references",
-    "audit_gate", "graph_edge_counts", "claim_event_generator", "upsert_latest",
+    "audit_gate", "graph_path", "claim_event_generator", "upsert_latest",
 ]
 
 
@@ -31,7 +31,7 @@ def timed(run, spark, folder: str) -> float:
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(partitions=int(os.environ.get("BENCH_PARTITIONS", "8")))
     result = {}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from carespark.operators import alerts, cost, gold, graph, lookups, quality, risk, silver
 
-from .fixtures import views
+from .fixtures import SCHEMAS, views
 
 AS_OF_DAY = "2026-07-01"
 YEAR = ("2025-07-01", "2026-07-01")
@@ -39,16 +39,23 @@ class Lake:
         self._views = views("spark")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
-    def typed(self, name: str) -> DataFrame:
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Use all cores for JSON work when the input has fewer files than cores."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+    def typed(self, name: str, spread: bool = False) -> DataFrame:
         base, where, cols = self._views[name]
         if " join " in base:
             left, rest = base.split(" join ")
             right, cond = rest.split(" on ")
-            df = self.table(left).join(self.table(right), F.expr(cond))
+            df = self.table(left)
+            df = (self.spread(df) if spread else df).join(self.table(right), F.expr(cond))
         else:
             df = self.table(base)
+            df = self.spread(df) if spread else df
         if where:
             df = df.where(where)
         return df.selectExpr(*[f"{e} as {n}" for n, e in cols])
@@ -88,7 +95,7 @@ class Lake:
 
     @cached_property
     def _silver_condition(self) -> DataFrame:
-        return self.typed("conditions").selectExpr(
+        return self.typed("conditions", spread=True).selectExpr(
             "condition_id as idOrig",
             f"{_ref('Patient', 'patient_id', 'num')} as subject_string",
             f"{_ref('Encounter', 'encounter_id', 'num + 1')} as encounter_string",
@@ -100,7 +107,7 @@ class Lake:
 
     @cached_property
     def _silver_observation(self) -> DataFrame:
-        return self.typed("observations").selectExpr(
+        return self.typed("observations", spread=True).selectExpr(
             "observation_id as idOrig",
             f"{_ref('Patient', 'patient_id', 'num')} as subject_string",
             f"{_concept(repr('http://loinc.org'), 'code', 'display')} as code_string",
@@ -110,7 +117,7 @@ class Lake:
 
     @cached_property
     def _silver_medication(self) -> DataFrame:
-        return self.typed("medications").selectExpr(
+        return self.typed("medications", spread=True).selectExpr(
             "medication_id as idOrig",
             f"{_ref('Patient', 'patient_id', 'num')} as subject_string",
             f"{_concept(repr('rxnorm'), 'code', 'display')} as medicationCodeableConcept_string",
@@ -119,7 +126,7 @@ class Lake:
 
     @cached_property
     def _silver_immunization(self) -> DataFrame:
-        return self.typed("immunizations").selectExpr(
+        return self.typed("immunizations", spread=True).selectExpr(
             "immunization_id as idOrig",
             f"{_ref('Patient', 'patient_id', 'num')} as patient_string",
             f"{_concept(repr('cvx'), 'code', 'display')} as vaccineCode_string",
@@ -128,7 +135,7 @@ class Lake:
 
     @cached_property
     def _silver_encounter(self) -> DataFrame:
-        return self.typed("encounters").selectExpr(
+        return self.typed("encounters", spread=True).selectExpr(
             "encounter_id as idOrig",
             f"{_ref('Patient', 'patient_id', 'num')} as subject_string",
             "to_json(named_struct('code', encounter_class)) as class_string",
@@ -153,7 +160,7 @@ class Lake:
 
     @cached_property
     def _silver_eob(self) -> DataFrame:
-        return self.typed("eob").selectExpr(
+        return self.typed("eob", spread=True).selectExpr(
             "claim_id as idOrig",
             f"{_ref('Patient', 'patient_id', 'num')} as patient_string",
             f"{_ref('Practitioner', 'provider_id', 'num + 1')} as provider_string",

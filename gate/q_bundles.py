@@ -45,7 +45,7 @@ CTES["v_entries"] = " union all ".join(
 
 
 def documents(k: Lake):
-    return k.table("orders").selectExpr("concat('bundle-', o_orderkey) as bundle_id", f"{DOC} as content")
+    return k.spread(k.table("orders")).selectExpr("concat('bundle-', o_orderkey) as bundle_id", f"{DOC} as content")
 
 
 def entries(k: Lake):
