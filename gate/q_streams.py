@@ -108,7 +108,7 @@ def ingest(k: Lake) -> tuple[DataFrame, DataFrame]:
 
 query(
     "stream_ingest_claims",
-    f"select event_id, {ts_text('event_timestamp')} as event_timestamp, provider_id, cast(claim_amount as double) as claim_amount from v_claims join (select 'CLM-' || concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as claim_id, l_orderkey from lineitem) using (claim_id) where l_orderkey % 50 <> 0",
+    f"select 'EVT-' || concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as event_id, {ts_text("date_trunc('second', l_shipdate)")} as event_timestamp, 'prov-' || l_suppkey as provider_id, l_extendedprice as claim_amount from lineitem where l_orderkey % 50 <> 0",
 )(lambda k: ingest(k)[0].select("event_id", "event_timestamp", "provider_id", "claim_amount"))
 query("stream_ingest_rejects", "select count(*) as rejected from lineitem where l_orderkey % 50 = 0")(lambda k: ingest(k)[1].agg(F.count("*").alias("rejected")))
 
