@@ -286,7 +286,7 @@ def views(engine: str) -> dict[str, tuple[str, str | None, list[tuple[str, str]]
             ],
         ),
         "imaging": (
-            "orders", "o_orderkey % 20 = 0",
+            "orders", None,
             [
                 ("num", "o_orderkey"),
                 ("study_id", "concat('img-', o_orderkey)"),
@@ -295,7 +295,7 @@ def views(engine: str) -> dict[str, tuple[str, str | None, list[tuple[str, str]]
                 ("description", "concat('Study ', o_orderkey)"),
                 ("started", "o_orderdate"),
                 ("number_of_series", f"cast({q.idiv('o_orderkey', '20')} % 5 + 1 as int)"),
-                ("number_of_instances", f"cast(({q.idiv('o_orderkey', '20')} % 5 + 1) * ({q.idiv('o_orderkey', '20')} % 40) as int)"),
+                ("number_of_instances", f"cast(({q.idiv('o_orderkey', '20')} % 5 + 1) * ({q.idiv('o_orderkey', '20')} % 4) as int)"),
             ],
         ),
     }

@@ -178,7 +178,7 @@ class Lake:
 
     @cached_property
     def _silver_imaging(self) -> DataFrame:
-        return self.typed("imaging").selectExpr(
+        return self.typed("imaging", spread=True).selectExpr(
             "study_id as idOrig", "modality", "description",
             f"{_ref('Patient', 'patient_id', 'num div 20')} as subject_string", "started",
             "number_of_series as numberOfSeries", "number_of_instances as numberOfInstances",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from carespark.functions.fhir import ontology_patient_id, strip_ref, typed_reference
 from carespark.operators import bundles as b, gates as g, generators as gen, imaging as im, lookups, outreach as o, sdoh
-from carespark.operators.alerts import pick_name
+from carespark.operators.alerts import device_patient_map
 from carespark.refdata import sdoh as sdoh_ref
 
 from .fixtures import CONDITION_CODES, LINE_KEY, pick
@@ -243,11 +243,11 @@ query(
 )(
     lambda k: g.cohort_validate(
         entries(k), k.patient_facts, k.conditions, k.encounters,
-        lookups.device_assignment(k.telemetry.select("device_id").distinct(), k.typed("patients").where("num % 15 = 0")),
+        lookups.device_assignment(k.telemetry.select("device_id").distinct(), k.patient_facts),
         k.as_of_day, ["44054006", "none-such"], {"IMP": 1, "VR": 5},
     )
 )
-CTES["v_assign"] = "select device_id, patient_id from (select device_id, row_number() over (order by device_id) - 1 as i from (select distinct device_id from v_telemetry)) join (select patient_id, row_number() over (order by patient_id) - 1 as slot from v_patients where num % 15 = 0) on i % (select count(*) from v_patients where num % 15 = 0) = slot"
+CTES["v_assign"] = "select device_id, patient_id from (select device_id, row_number() over (order by device_id) - 1 as i from (select distinct device_id from v_telemetry)) join (select patient_id, row_number() over (order by patient_id) - 1 as slot from v_patients) on i % (select count(*) from v_patients) = slot"
 query("duplicate_ids", "select 'duplicate_id' as rule, 'Visit/' || o_custkey as key, cast(count(*) as varchar) as detail from orders group by o_custkey having count(*) > 1")(
     lambda k: g.duplicate_ids(k.table("orders").select(F.lit("Visit").alias("resource_type"), F.col("o_custkey").cast("string").alias("resource_id")))
 )
@@ -321,14 +321,14 @@ def instances(k: Lake):
 
 def retagged(k: Lake):
     return im.retag_metadata(
-        instances(k), k.typed("patients"), k.telemetry.selectExpr("replace(device_id, 'DEV-', 'pat-') as patient_id", "device_id").limit(0), "General Hospital"
+        instances(k), k.typed("patients"), device_patient_map(k.basics), "General Hospital"
     )
 
 
 query(
     "retag_metadata",
-    f"""select patient_id, family || '^' || given as tag_patient_name, strftime(birth_date, '%Y%m%d') as tag_birth_date, upper(left(gender, 1)) as tag_sex, 'ACC-NONE' as accession_number, 'General Hospital' as institution_name, strftime(started, '%Y%m%d') as study_date, 'CHEST' as body_part, modality, count(*) as instances, cast(count(distinct study_id) as int) as studies, count(*) as sops
- from (select *, unnest(range(1, greatest(number_of_instances, 1) + 1)) as n from v_imaging) join v_patients using (patient_id) group by 1, 2, 3, 4, 5, 6, 7, 8, 9""",
+    f"""select patient_id, family || '^' || given as tag_patient_name, strftime(birth_date, '%Y%m%d') as tag_birth_date, upper(left(gender, 1)) as tag_sex, 'ACC-' || coalesce(device_id, 'NONE') as accession_number, 'General Hospital' as institution_name, strftime(started, '%Y%m%d') as study_date, 'CHEST' as body_part, modality, count(*) as instances, cast(count(distinct study_id) as int) as studies, count(*) as sops
+ from (select *, unnest(range(1, greatest(number_of_instances, 1) + 1)) as n from v_imaging) join v_patients using (patient_id) left join v_assoc using (patient_id) group by 1, 2, 3, 4, 5, 6, 7, 8, 9""",
 )(
     lambda k: retagged(k)
     .groupBy("patient_id", "tag_patient_name", "tag_birth_date", "tag_sex", "accession_number", "institution_name", "study_date", "body_part", "modality")

@@ -214,8 +214,8 @@ query("riskiest_encounters", "select patient_id, encounter_id, risk_probability,
 IDX = "row_number() over (order by {c}) - 1"
 query(
     "device_assignment",
-    f"select device_id, patient_id, device_index from (select device_id, {IDX.format(c='device_id')} as device_index from (select distinct device_id from v_telemetry)) d join (select patient_id, {IDX.format(c='patient_id')} as slot from v_patients where num % 15 = 0) p on device_index % (select count(*) from v_patients where num % 15 = 0) = slot",
-)(lambda k: lookups.device_assignment(k.telemetry.select("device_id").distinct(), k.typed("patients").where("num % 15 = 0")))
+    f"select device_id, patient_id, device_index from (select device_id, {IDX.format(c='device_id')} as device_index from (select distinct device_id from v_telemetry)) d join (select patient_id, {IDX.format(c='patient_id')} as slot from v_patients) p on device_index % (select count(*) from v_patients) = slot",
+)(lambda k: lookups.device_assignment(k.telemetry.select("device_id").distinct(), k.patient_facts))
 QUAL = [("195967001", "Asthma"), ("44054006", "Type 2 diabetes mellitus"), ("59621000", "Essential hypertension"), ("162864005", "Obesity"), ("233604007", "Pneumonia"), ("13645005", "Chronic obstructive lung disease"), ("84114007", "Heart failure")]
 VALUES = ", ".join(f"('{c}', '{d}', {i})" for i, (c, d) in enumerate(QUAL))
 query(

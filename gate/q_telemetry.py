@@ -1,5 +1,7 @@
 """Telemetry queries. Windows are a day or a week: the data holds 30 days."""
 
+from pyspark.sql import functions as F
+
 from carespark.operators import telemetry as t
 
 from .registry import CTES, avg_dec, query, rdiv, ts_text
@@ -85,8 +87,8 @@ query(
 )(lambda k: t.events_per_minute(k.telemetry, k.as_of, WEEK))
 query(
     "ingestion_lag",
-    "select date_diff('second', max(ts), (select max(l_shipdate) from lineitem)) as ingestion_lag_seconds from v_telemetry",
-)(lambda k: t.ingestion_lag(k.telemetry, k.claims_as_of))
+    "select date_diff('second', max(ts), (select as_of from v_as_of) + interval 90 second) as ingestion_lag_seconds from v_telemetry",
+)(lambda k: t.ingestion_lag(k.telemetry, k.as_of + F.expr("interval 90 seconds")))
 query(
     "throughput_freshness",
     f"""select {ts_text('last_time')} as last_time, lag as ingestion_lag_seconds, e as events_last_minute,
@@ -127,19 +129,16 @@ query(
         t.device_status(k.telemetry, k.as_of).select("device_id", "last_seen"), "last_seen", -5
     )
 )
-query(
-    "operations_freshness",
-    f"""select * from (select 'STALE_TELEMETRY' as condition_name, device_id, {ts_text('max(ts)')} as last_event_time,
- date_diff('minute', max(ts), (select max(l_shipdate) from lineitem)) as age_minutes, 'TelemetryRaw' as source_table, 'WARNING' as severity
+def freshness_sql(minutes: int) -> str:
+    now = "(select as_of from v_as_of)"
+    return f"""select * from (select 'STALE_TELEMETRY' as condition_name, device_id, {ts_text('max(ts)')} as last_event_time,
+ date_diff('minute', max(ts), {now}) as age_minutes, 'TelemetryRaw' as source_table, 'WARNING' as severity
  from v_telemetry group by device_id union all select 'STALE_CLAIMS', '', {ts_text('max(event_timestamp)')},
- date_diff('minute', max(event_timestamp), (select max(l_shipdate) from lineitem)), 'claims_events', 'WARNING' from v_claims) where age_minutes > 5""",
-)(lambda k: t.operations_freshness(k.telemetry, k.claims, k.claims_as_of))
-query(
-    "operations_freshness_recent",
-    f"""select 'STALE_TELEMETRY' as condition_name, device_id, {ts_text('max(ts)')} as last_event_time,
- date_diff('minute', max(ts), (select as_of from v_as_of)) as age_minutes, 'TelemetryRaw' as source_table, 'WARNING' as severity
- from v_telemetry group by device_id having date_diff('minute', max(ts), (select as_of from v_as_of)) > 600""",
-)(lambda k: t.operations_freshness(k.telemetry, k.claims.limit(0), k.as_of, 600))
+ date_diff('minute', max(event_timestamp), {now}), 'claims_events', 'WARNING' from v_claims) where age_minutes > {minutes}"""
+
+
+query("operations_freshness", freshness_sql(5))(lambda k: t.operations_freshness(k.telemetry, k.claims, k.as_of))
+query("operations_freshness_recent", freshness_sql(600))(lambda k: t.operations_freshness(k.telemetry, k.claims, k.as_of, 600))
 query(
     "stream_health",
     f"""with s as (select 'telemetry' as stream, max(ts) as m, count(*) filter (where ts > (select as_of from v_as_of) - interval 5 minute) as n from v_telemetry
