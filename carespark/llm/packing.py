@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
@@ -28,7 +28,7 @@ BLOCK_TOKENS = 4 << 20
 #: Cost of a token, and of a pair of tokens of the same piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
 #: Words whose ids a worker keeps; then it starts anew.
-MEMORY = 500_000
+MEMORY = 700_000
 END = END_ID.to_bytes(4, "little")
 
 # The tokenizer's own word pattern, for Latin-1 text in lower case.
@@ -38,6 +38,10 @@ _SPACE = "\t-\r \u0085 "
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Memo(dict):
     """Ids, as little-endian bytes, of each word asked for so far."""
 
@@ -70,11 +74,13 @@ class WordEncoder:
         chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.byte_chars = [chars[b] for b in range(256)]
         pieces = Memo(self._piece)
-        self.words = Memo(lambda word: b"".join(map(pieces.__getitem__, PIECES.findall(word))))
+        self.words = Memo(
+            lambda word: self._piece(word) if word.isalpha() else b"".join(map(pieces.__getitem__, PIECES.findall(word)))
+        )
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece if piece.isascii() else "".join(self.byte_chars[b] for b in piece.encode())
-        return np.array([t.id for t in self.whole.model.tokenize(spelled)], dtype="<u4").tobytes()
+        spelled = piece if piece.isascii() and piece.isalpha() else "".join(self.byte_chars[b] for b in piece.encode())
+        return _bytes([t.id for t in self.whole.model.tokenize(spelled)])
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -85,7 +91,7 @@ class WordEncoder:
             plain = False
         if plain:
             return b"".join(map(self.words.__getitem__, text.lower().split()))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
 
 _encoders: dict[str, WordEncoder] = {}
