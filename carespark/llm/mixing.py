@@ -24,7 +24,9 @@ MOST = 2.0
 TOLERANCE = 1e-6
 STEPS = 60
 #: Rows that are rounded together.
-ROUND_ROWS = 20_000
+ROUND_ROWS = 5_000
+#: Copies of a source's row in the join with its documents.
+SALT = 32
 
 
 def word_count(text: Column | str) -> Column:
@@ -157,9 +159,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     full = F.col("target") >= most * F.col("source_size") * (1 - TOLERANCE)
     rate = F.when(F.col("source_size") == 0, 1.0).when(full | F.col("tilt").isNull(), most).otherwise(F.least(F.lit(most), F.exp(F.col("tilt") * unit)))
     part = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("source_rows") / ROUND_ROWS))
+    salted = solved.withColumnRenamed("source", "s").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     rated = (
-        sized.alias("d")
-        .join(solved.withColumnRenamed("source", "s"), F.col("d.source").eqNullSafe(F.col("s")))
+        sized.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.lit(SALT))).alias("d")
+        .join(salted, (F.col("own") == F.col("salt")) & F.col("d.source").eqNullSafe(F.col("s")))
         .select(F.col("doc_id").cast("string"), "source", "size", "n", "source_size", "target", rate.alias("rate"), part.alias("part"))
     )
 
