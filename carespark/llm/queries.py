@@ -16,6 +16,8 @@ URL_RULES = (
     ("block", "com", "/de/"),
 )
 
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -43,7 +45,7 @@ def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "verdict string, host string, path string")
+    rules = spark.sql(f"select * from values {_RULE_ROWS} as rules(verdict, host, path)")
     return url_rules.judge(read_table(spark, folder, "pages"), rules)
 
 
@@ -95,7 +97,6 @@ QUERIES = {
     )
 }
 
-_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 ORACLE = {
     "op2_topk": """
