@@ -29,6 +29,8 @@ VOCABULARY = 1 << 16
 PRIOR = 0.1
 #: Standard errors by which log-odds are pulled towards zero.
 CAUTION = 2.0
+#: Log-odds that a token must keep after that to count at all.
+TELLING = 1.0
 #: Score of tokens that tell nothing: a passage ends after a few of them.
 DRIFT = -0.25
 #: Largest surprise that counts: beyond it a passage is never chance.
@@ -169,19 +171,23 @@ def context_counts(sample: DataFrame, telling: dict[bytes, float]) -> DataFrame:
 
 
 def token_scores(counts: DataFrame, n_toxic: int, n_clean: int, vocabulary: int = VOCABULARY) -> dict[bytes, float]:
-    """Cautious log-odds of the `vocabulary` most telling tokens that are not zero."""
+    """Cautious log-odds of the `vocabulary` most telling tokens.
+
+    `n_toxic` and `n_clean` are the counts of all tokens together, so longer
+    documents of one class do not raise every token.
+    """
     prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean"))
-    size = F.lit(PRIOR * (n_toxic + n_clean))
+    size = PRIOR * (n_toxic + n_clean)
 
-    def log_odds(seen, docs):
+    def log_odds(seen, n):
         a = seen + prior
-        return F.log(a / (F.lit(float(docs)) + size - a + F.lit(1.0)))
+        return F.log(a / (F.lit(n + size + 1.0) - a))
 
     rows = (
         counts.withColumn("odds", log_odds(F.col("toxic"), n_toxic) - log_odds(F.col("clean"), n_clean))
         .withColumn("error", F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
         .withColumn("score", F.col("odds") - F.signum("odds") * CAUTION * F.col("error"))
-        .where(F.signum("odds") == F.signum("score"))
+        .where((F.signum("odds") == F.signum("score")) & (F.abs("score") >= TELLING))
         .orderBy(F.desc(F.abs("score")), "token")
         .limit(vocabulary)
         .select("token", "score")
@@ -222,8 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
             if n_toxic:
                 model.offset = 60.0
             return model
-        telling = token_scores(token_counts(known), n_toxic, n_clean)
-        model.score = token_scores(context_counts(known, telling), n_toxic, n_clean)
+        seen = token_counts(known).cache()
+        total = seen.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+        telling = token_scores(seen, total["toxic"] or 0, total["clean"] or 0)
+        seen.unpersist()
+        model.score = token_scores(context_counts(known, telling), total["toxic"] or 0, total["clean"] or 0)
 
         def make():
             def work(texts: list[str]) -> dict[str, list]:
@@ -232,11 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
 
             return work
 
-        seen = map_texts(fresh, ["y"], "n long, scores array<double>", make).toArrow()
+        judged = map_texts(fresh, ["y"], "n long, scores array<double>", make).toArrow()
     finally:
         sample.unpersist()
-    y = np.array([v > 0 for v in seen["y"].to_pylist()], dtype=float)
-    size, scores = seen["n"].to_pylist(), seen["scores"].to_pylist()
+    y = np.array([v > 0 for v in judged["y"].to_pylist()], dtype=float)
+    size, scores = judged["n"].to_pylist(), judged["scores"].to_pylist()
     chance = [s for v, own in zip(y, scores) if not v for s in own]
     # Segments of clean texts come at rate k per token and thin out with exp(-lam s).
     model.k = (len(chance) + 1) / (sum(m for v, m in zip(y, size) if not v) + 1)
