@@ -19,7 +19,7 @@ HEADLINE = [
     "vitals_trend", "latest_readings", "clinical_alerts", "alert_history_transform", "enriched_clinical_alerts",
     "fraud_risk", "high_cost_trajectory", "fact_claim", "quality_measures", "star_simulation", "risk_scores",
     "readmit_30d", "readmission_features", "cost_by_category", "high_cost_claimants", "resolve_references",
-    "audit_gate", "graph_path", "claim_event_generator", "upsert_latest",
+    "audit_gate", "graph_path", "upsert_latest",
 ]
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpoint_folder(spark) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set."""
+    """The shared folder that the session names; a temporary one only on a single machine without one."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="carespark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)

@@ -131,22 +131,18 @@ def patient_costs(claims: DataFrame) -> DataFrame:
 
 
 def high_cost_claimants(
-    claims: DataFrame, conditions: DataFrame, share: float = 0.95, exact: bool = False
+    claims: DataFrame, conditions: DataFrame, share: float = 0.95
 ) -> DataFrame:
     """Patients at or above the paid percentile, with percent rank and conditions.
 
     Per-patient totals feed the threshold, the ranks and the result, so they are
-    written once. `exact` takes the threshold from the exact ranks instead of the
-    sketch. Ranks count equal totals once and run per value bucket: there is no
-    single-task window.
+    written once. The threshold comes from the exact ranks, which count equal
+    totals once and run per value bucket: there is no single-task window.
     """
     costs = cut_lineage(patient_costs(claims))
     ranks = rank_values(costs, "total_paid")
-    if exact:
-        n = costs.agg(F.count("*")).scalar()
-        keep = F.col("rank") <= n - F.ceil(n * F.lit(share)) + 1
-    else:
-        keep = F.col("total_paid") >= costs.agg(F.percentile_approx("total_paid", share, 10000)).scalar()
+    n = costs.agg(F.count("*")).scalar()
+    keep = F.col("rank") <= n - F.ceil(n * F.lit(share)) + 1
     top_values = cut_lineage(ranks.where(keep))
     bounds = top_values.agg(F.sum("n").alias("_size"), F.min("total_paid").alias("_floor"))
     top = costs.join(top_values.select("total_paid", "rank"), "total_paid")

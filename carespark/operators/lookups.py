@@ -152,18 +152,17 @@ def device_assignment(devices: DataFrame, patients: DataFrame) -> DataFrame:
     )
 
 
-def qualifying_patients(conditions: DataFrame, codes: list[tuple[str, str]], limit: int = 100) -> DataFrame:
-    """Patients by the first list entry they match; list order, then patient id."""
+def qualifying_patients(conditions: DataFrame, codes: list[tuple[str, str]], limit: int | None = None) -> DataFrame:
+    """Patients by the first list entry they match, or the first `limit` in list order, then patient id."""
     ranked = conditions.sparkSession.createDataFrame(
         [(c, d, i) for i, (c, d) in enumerate(codes)], "code string, condition string, rank int"
     )
-    return (
+    first = (
         conditions.where(F.col("patient_id") != "")
-        .select("patient_id", "code")
-        .join(F.broadcast(ranked), "code")
+        .join(F.broadcast(ranked.select("code", "rank")), "code")
         .groupBy("patient_id")
-        .agg(F.min(F.struct("rank", "condition")).alias("m"))
-        .select("patient_id", "m.condition", "m.rank")
-        .orderBy("rank", "patient_id")
-        .limit(limit)
+        .agg(F.min("rank").alias("rank"))
+        .join(F.broadcast(ranked.select("rank", "condition")), "rank")
+        .select("patient_id", "condition", "rank")
     )
+    return first if limit is None else first.orderBy("rank", "patient_id").limit(limit)

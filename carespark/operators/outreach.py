@@ -14,7 +14,6 @@ SOURCE = "synthetic-demo-enrichment"
 PAYERS = [("Medicare", "MCR"), ("Medicaid", "MCD"), ("Commercial", "COMM")]
 ADDED_CONDITIONS = [("44054006", "Type 2 diabetes mellitus"), ("59621000", "Essential hypertension")]
 ADDED_DRUGS = [("860975", "metformin 500 MG Oral Tablet"), ("314076", "lisinopril 10 MG Oral Tablet"), ("617314", "atorvastatin 20 MG Oral Tablet")]
-SCENARIO_PATIENTS = 30
 
 
 def resource_id(*parts) -> Column:
@@ -91,11 +90,13 @@ def outreach_sources(patients: DataFrame, stamp: Column) -> dict[str, DataFrame]
     }
 
 
-def enrich_cohort(patients: DataFrame, year: int, month: int, day: int) -> DataFrame:
+def enrich_cohort(
+    patients: DataFrame, year: int, month: int, day: int, scenario_patients: int | None = None
+) -> DataFrame:
     """Coverage, appointment, conditions and monthly fills as tagged resource rows.
 
-    Conditions and fills go to the first patients in id order; fills are
-    monthly for even indexes and every second month for odd ones.
+    Conditions and fills go to all patients, or to the first `scenario_patients`
+    in id order; fills are monthly for even indexes and every second month for odd ones.
     """
     indexed = sorted_index(patients.select("patient_id"), "patient_id", "index")
     pid, i = F.col("patient_id"), F.col("index")
@@ -126,7 +127,7 @@ def enrich_cohort(patients: DataFrame, year: int, month: int, day: int) -> DataF
         created=F.concat(F.date_sub(start, 7).cast("string"), F.lit("T14:00:00Z")),
         participant=F.array(F.struct(subject.alias("actor"), F.lit("accepted").alias("status"))),
     )
-    chosen = indexed.where(i < SCENARIO_PATIENTS)
+    chosen = indexed if scenario_patients is None else indexed.where(i < scenario_patients)
     literal = lambda pairs: F.inline(F.array(*[F.struct(F.lit(c).alias("code"), F.lit(n).alias("display")) for c, n in pairs]))
     concept = F.struct(F.array(F.struct("code", "display")).alias("coding"), F.col("display").alias("text"))
     conditions = rows(
@@ -171,7 +172,7 @@ def replay_check(before: DataFrame, after: DataFrame, keys: list[str], errors: D
     )
 
 
-def latest_errors(log: DataFrame, activities: list[str] | None = None, width: int = 600) -> DataFrame:
+def latest_errors(log: DataFrame, activities: list[str] | None = None) -> DataFrame:
     """Newest error per activity."""
     rows = log.where(F.lower("severity") == "error")
     if activities:
@@ -179,7 +180,7 @@ def latest_errors(log: DataFrame, activities: list[str] | None = None, width: in
     return (
         rows.groupBy("activity_name")
         .agg(F.max(F.struct("event_time", "message")).alias("m"), F.count("*").alias("errors"))
-        .select("activity_name", "m.event_time", F.substring("m.message", 1, width).alias("message"), "errors")
+        .select("activity_name", "m.event_time", "m.message", "errors")
     )
 
 

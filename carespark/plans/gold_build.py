@@ -22,7 +22,7 @@ OPTIONAL = {
 
 
 class GoldBuild:
-    def __init__(self, spark: SparkSession, lake: Lakehouse, as_of: str = ref.PERIOD_END, use_model: bool = False):
+    def __init__(self, spark: SparkSession, lake: Lakehouse, as_of: str = ref.PERIOD_END, use_model: bool = True):
         self.spark, self.lake, self.use_model = spark, lake, use_model
         self.as_of = F.lit(as_of).cast("date")
         self.written: dict[str, DataFrame] = {}
@@ -66,7 +66,7 @@ class GoldBuild:
         self.save("revenue_opportunity", risk.revenue_opportunity(scores))
 
         stays = risk.readmission_features(encounters, patients, conditions, medications, patient_payers, self.as_of)
-        if self.use_model:
+        if self.use_model and risk.can_fit(stays):  # else the fixed rule scores
             scored, performance = risk.readmission_model(stays)
         else:
             scored = risk.readmission_rule_score(stays)

@@ -320,7 +320,7 @@ class Lake:
 
     @cached_property
     def high_cost(self) -> DataFrame:
-        return cost.high_cost_claimants(self.fact_claim, self.conditions, exact=True)
+        return cost.high_cost_claimants(self.fact_claim, self.conditions)
 
     # --- reports ---
     @cached_property

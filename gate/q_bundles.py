@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from carespark.functions.fhir import ontology_patient_id, strip_ref, typed_reference
-from carespark.operators import bundles as b, gates as g, generators as gen, imaging as im, lookups, outreach as o, sdoh
+from carespark.operators import bundles as b, gates as g, imaging as im, lookups, outreach as o, sdoh
 from carespark.operators.alerts import device_patient_map
 from carespark.refdata import sdoh as sdoh_ref
 
@@ -407,8 +407,8 @@ CTES["v_indexed"] = "select patient_id, row_number() over (order by patient_id)
 query(
     "enrich_cohort",
     f"""select patient_id, 'Coverage' as resource_type, {OID("patient_id || ':coverage'")} as resource_id from v_indexed union all select patient_id, 'Appointment', {OID("patient_id || ':appointment'")} from v_indexed
- union all select patient_id, 'Condition', {OID("patient_id || ':condition:' || c")} from v_indexed, (values ('44054006'), ('59621000')) t(c) where i < 30
- union all select patient_id, 'MedicationRequest', {OID("patient_id || ':medication:' || c || ':2026:' || m")} from v_indexed, (values ('860975'), ('314076'), ('617314')) t(c), range(1, 8) r(m) where i < 30 and (i % 2 = 0 or m % 2 = 1)""",
+ union all select patient_id, 'Condition', {OID("patient_id || ':condition:' || c")} from v_indexed, (values ('44054006'), ('59621000')) t(c)
+ union all select patient_id, 'MedicationRequest', {OID("patient_id || ':medication:' || c || ':2026:' || m")} from v_indexed, (values ('860975'), ('314076'), ('617314')) t(c), range(1, 8) r(m) where i % 2 = 0 or m % 2 = 1""",
 )(lambda k: o.enrich_cohort(k.patient_facts, 2026, 7, 1).select("patient_id", "resource_type", "resource_id"))
 query("created_day", f"select encounter_id, {day_text('start_time')} as created_day from v_encounters")(lambda k: o.created_day(k.typed("encounters"), "start_time").select("encounter_id", "created_day"))
 query(
@@ -437,7 +437,7 @@ def run_log(k: Lake):
 CTES["v_log"] = "select event_type as activity_name, ts as event_time, case when event_id % 10 = 0 then 'error' else 'info' end as severity, concat('m', event_id, ' ', props) as message from events"
 query(
     "latest_errors",
-    f"select activity_name, {ts_text('max(event_time)')} as event_time, left(arg_max(message, row(event_time, message)), 600) as message, count(*) as errors from v_log where severity = 'error' group by 1",
+    f"select activity_name, {ts_text('max(event_time)')} as event_time, arg_max(message, row(event_time, message)) as message, count(*) as errors from v_log where severity = 'error' group by 1",
 )(lambda k: o.latest_errors(run_log(k)))
 query(
     "run_summary",
@@ -450,73 +450,3 @@ query(
     lambda k: o.replay_check(versions(k, "num % 2 = 0", 0).select("patient_id").distinct(), upsert(k), ["patient_id"], run_log(k)).withColumn("lost_keys", F.col("lost_keys").cast("int"))
 )
 CTES["v_before"] = "select distinct patient_id from v_encounters where num % 2 = 0"
-
-# --- generators, driven by rows of the given tables ---
-GID = lambda name: uuid5_sql(gen.NAMESPACE, name)
-HASH = lambda salt, n: f"cast('0x' || substr(md5('{salt}:' || {n}), 1, 8) as bigint)"
-
-
-def pick_sql(weights, salt: str) -> str:
-    total, upto, arms = sum(w for _, w in weights), 0, ""
-    for v, w in weights[:-1]:
-        upto += w
-        arms += f" when {HASH(salt, 'n')} % {total} < {upto} then '{v}'"
-    return f"(case{arms} else '{weights[-1][0]}' end)"
-
-
-by_dx = lambda table, salt: "(case dx " + " ".join(f"when '{d}' then {pick_sql(w, salt)}" for d, w in table.items()) + " end)"
-CTES["v_gen0"] = f"select o_orderkey as n, {pick_sql(gen.DIAGNOSES, 'diagnosis')} as dx from (select o_orderkey, o_orderkey as n from orders)"
-CTES["v_gen1"] = f"select n, dx, {by_dx(gen.PROCEDURES, 'procedure')} as p0, {by_dx(gen.CLAIM_TYPES, 'type')} as t0 from v_gen0"
-CTES["v_gen2"] = "select n, dx, case when n % 25 = 0 then '99215' else p0 end as procedure_code, case when n % 25 = 0 and t1 = 'pharmacy' then 'professional' else t1 end as claim_type from (select *, case when p0 in ('99281','99282','99283','99284','99285') then 'emergency' else t0 end as t1 from v_gen1)"
-query(
-    "claim_event_generator",
-    f"""select {GID("'claim-event:' || n")} as event_id, 'CLM-' || upper(substr(replace({GID("'claim:' || n")}, '-', ''), 1, 10)) as claim_id, {GID("'patient:' || (case when n % 12 = 0 then (n * 7) % 50 else (n * 37) % 100 end)")} as patient_id,
- case when n % 5 = 0 then 'TEST-PROVIDER' else 'PROV-' || lpad(cast((n * 29) % 650 + 1 as varchar), 4, '0') end as provider_id, dx as diagnosis_code, procedure_code, claim_type,
- concat_ws('|', case when n % 25 = 0 then 'upcoding' end, case when n % 20 = 0 then 'amount_outlier' end, case when n % 5 = 0 then 'velocity_burst' end, case when n % 40 = 0 then 'denial_pattern' end) as injected_fraud_flags from v_gen2""",
-)(
-    lambda k: gen.claim_event_generator(k.table("orders").select(F.col("o_orderkey").alias("counter")), F.lit("2026-07-01").cast("timestamp")).select(
-        "event_id", "claim_id", "patient_id", "provider_id", "diagnosis_code", "procedure_code", "claim_type", "injected_fraud_flags"
-    )
-)
-UNI = lambda low, high, salt, n: f"({low} + ({high} - ({low})) * ({HASH(salt, n)} % 10000) / 10000.0::double)"
-query(
-    "telemetry_generator",
-    f"""select device_id, {ts_text("timestamp '2026-07-01' + to_seconds(t)")} as ts, cast(90 + {HASH('signal', "device_id || ':' || t")} % 11 as int) as signal_iq from (select distinct device_id from v_telemetry), range(0, 60) r(t)""",
-)(lambda k: generated_telemetry(k).select("device_id", "ts", "signal_iq"))
-query(
-    "telemetry_generator_walk",
-    f"""select device_id, count(*) as readings, true as in_range from (select distinct device_id from v_telemetry), range(0, 60) r(t) group by 1""",
-)(
-    lambda k: generated_telemetry(k).groupBy("device_id").agg(
-        F.count("*").alias("readings"),
-        F.bool_and(F.col("spo2").between(88, 100) & F.col("pr").between(50, 140) & F.col("pi").between(0.5, 10) & F.col("pvi").between(5, 30) & F.col("sphb").between(11.5, 13.5)).alias("in_range"),
-    )
-)
-
-
-def generated_telemetry(k: Lake):
-    return gen.telemetry_generator(k.telemetry.select("device_id").distinct(), 60, F.lit("2026-07-01").cast("timestamp"))
-
-
-def cohort(k: Lake):
-    return gen.synthetic_cohort(k.table("customer").select(F.col("c_custkey").alias("idx")), k.as_of_day)
-
-
-query(
-    "synthetic_patients",
-    f"""select {GID("'patient:' || c_custkey")} as patient_id, 'SYN-' || lpad(cast(c_custkey + 1 as varchar), 6, '0') as mrn, {pick('c_custkey', gen.FIRST_NAMES)} as given, {pick('(c_custkey // 10)', gen.LAST_NAMES)} as family, case when c_custkey % 2 = 0 then 'female' else 'male' end as gender,
- cast(cast({ASOF} - to_years(cast(case when c_custkey % 8 in (5, 6, 7) then 8 + c_custkey % 10 else 35 + c_custkey % 50 end as integer)) as date) as varchar) as birth_date from customer""",
-)(lambda k: cohort(k)["Patient"])
-query(
-    "synthetic_cohort_counts",
-    "select 'Patient' as resource_type, count(*) as resources, count(*) as ids from customer union all select 'Encounter', count(*) * 5, count(*) * 5 from customer union all select 'Condition', count(*) * 2, count(*) * 2 from customer union all select 'MedicationRequest', count(*) * 12, count(*) * 12 from customer",
-)(
-    lambda k: __import__("functools").reduce(
-        lambda x, y: x.unionByName(y),
-        [df.agg(F.count("*").alias("resources"), F.count_distinct(df.columns[0]).alias("ids")).select(F.lit(n).alias("resource_type"), "resources", "ids") for n, df in cohort(k).items()],
-    )
-)
-query(
-    "synthetic_conditions",
-    f"select code, display, count(*) as n from (select {pick('(c_custkey + s * 3)', [c for c, _ in gen.COHORT_CONDITIONS])} as code, {pick('(c_custkey + s * 3)', [d for _, d in gen.COHORT_CONDITIONS])} as display from customer, range(0, 2) r(s)) group by 1, 2",
-)(lambda k: cohort(k)["Condition"].groupBy("code", "display").agg(F.count("*").alias("n")))

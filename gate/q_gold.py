@@ -167,7 +167,6 @@ query(
 # --- I ---
 HCC = ", ".join(f"('{a}', '{b}', '{c}', {d}::double, '{e}')" for a, b, c, d, e in ref.HCC_MAP)
 CTES["v_hcc_map"] = f"select * from (values {HCC}) t(code, hcc_code, hcc_name, coefficient, hierarchy_group)"
-query("dim_hcc", "select distinct hcc_code, hcc_name, coefficient, hierarchy_group from v_hcc_map")(lambda k: risk.dim_hcc(k.spark))
 CTES["v_patient_hcc"] = """select distinct patient_id, code as condition_code, display as condition_display, hcc_code, hcc_name, coefficient, hierarchy_group from v_conditions join v_hcc_map using (code)
  where clinical_status is null or clinical_status in ('active', 'recurrence', 'relapse')"""
 query("patient_hcc", "select * from v_patient_hcc")(lambda k: risk.patient_hcc(k.conditions))
@@ -190,10 +189,6 @@ query(
 )(lambda k: risk.risk_summary(k.risk_scores))
 OPP = "patient_id, raf_score, hcc_count, hcc_list, risk_tier, 0.3::double as potential_additional_raf, 3600.0::double as potential_revenue_uplift, payer_category"
 query("revenue_opportunity", f"select {OPP}, 'derived' as scenario_source from v_raf where hcc_count >= 2 and raf_score < 1.5")(lambda k: risk.revenue_opportunity(k.risk_scores))
-query(
-    "revenue_opportunity_marker",
-    f"select {OPP}, 'synthetic_demo_marker' as scenario_source from v_raf where raf_score < 1.5 and hcc_count < 2 order by hcc_count desc, raf_score desc, patient_id limit 1",
-)(lambda k: risk.revenue_opportunity(k.risk_scores.where("hcc_count < 2")))
 CTES["v_enc"] = "select encounter_id, patient_id, encounter_class, type_display, date_trunc('second', start_time) as admit_date, date_trunc('second', end_time) as discharge_date from v_encounters"
 CTES["v_stays"] = """select *, cast(greatest(date_diff('day', cast(admit_date as date), cast(discharge_date as date)), 1) as int) as los_days from v_enc where discharge_date is not null
  and (lower(encounter_class) in ('inpatient', 'imp', 'emergency') or regexp_matches(lower(type_display), 'inpatient|hospital|emergency'))"""
@@ -226,18 +221,43 @@ query(
     "readmission_summary",
     f"select risk_tier, payer_category, count(*) as encounter_count, {rdiv(MILLI, '(count(*) * 1000)', 3)} as avg_risk_probability, cast(sum(readmitted_30d) as bigint) as actual_readmissions, {rdiv('sum(readmitted_30d)', 'count(*)', 3)} as actual_readmission_rate from v_rscores group by 1, 2",
 )(lambda k: risk.readmission_summary(k.readmission))
+CTES["v_ranked"] = """select readmitted_30d, risk_probability, rank() over (order by risk_probability) + (count(*) over (partition by risk_probability) - 1) / 2.0 as low_rank from v_scored"""
+CTES["v_rule_auc"] = """select case when pos > 0 and neg > 0 then (s - pos * (pos + 1) / 2.0) / (pos * neg) else 0.5 end as auc from (
+ select count(*) filter (where readmitted_30d = 1) as pos, count(*) filter (where readmitted_30d = 0) as neg, coalesce(sum(low_rank) filter (where readmitted_30d = 1), 0) as s from v_ranked)"""
+CTES["v_rule_quality"] = """select avg(cast(hit = truth as int)) as accuracy, coalesce(count(*) filter (where hit and truth) / nullif(cast(count(*) filter (where hit) as double), 0), 0) as precision,
+ coalesce(count(*) filter (where hit and truth) / nullif(cast(count(*) filter (where truth) as double), 0), 0) as recall from (select risk_probability > 0.5 as hit, readmitted_30d = 1 as truth from v_scored)"""
+WEIGHT_ROWS = ", ".join(f"('{n}', 'coefficient', {ref.READMISSION_WEIGHTS.get(n, 0.0)}::double)" for n in ref.FEATURE_DEFAULTS)
 query(
     "readmission_rule_performance",
-    """select * from (select unnest(['auc_roc', 'accuracy', 'precision', 'recall', 'total_encounters', 'readmission_rate', 'high_risk_count', 'medium_risk_count', 'low_risk_count']) as name, 'metric' as type,
- round(unnest([0.5::double, 1, 0, 0, count(*), avg(readmitted_30d), count(*) filter (where risk_tier = 'High'), count(*) filter (where risk_tier = 'Medium'), count(*) filter (where risk_tier = 'Low')]), 9) as value from v_scored
- union all select unnest(['age','sex_male','los_days','comorbidity_count','medication_count','prior_admits_12mo','prior_ed_visits_6mo','has_diabetes','has_chf','has_copd','payer_is_medicare','payer_is_medicaid']), 'coefficient', 0.0::double)""",
+    f"""select * from (select unnest(['auc_roc', 'accuracy', 'precision', 'recall', 'total_encounters', 'readmission_rate', 'high_risk_count', 'medium_risk_count', 'low_risk_count']) as name, 'metric' as type,
+ round(unnest([(select auc from v_rule_auc), (select accuracy from v_rule_quality), (select precision from v_rule_quality), (select recall from v_rule_quality), count(*), avg(readmitted_30d), count(*) filter (where risk_tier = 'High'), count(*) filter (where risk_tier = 'Medium'), count(*) filter (where risk_tier = 'Low')]), 9) as value from v_scored
+ union all select * from (values {WEIGHT_ROWS}) w(name, type, value))""",
 )(lambda k: risk.rule_performance(risk.readmission_rule_score(k.readmission_features)).withColumn("value", F.round("value", 9)))
+CTES["v_split"] = """select *, sum(n) over (partition by readmitted_30d order by part) * 100 <= sum(n) over (partition by readmitted_30d) * 20 as is_test from (
+ select readmitted_30d, substr(md5(encounter_id), 1, 4) as part, count(*) as n from v_rfeat group by 1, 2)"""
+CTES["v_marked"] = "select f.encounter_id, f.readmitted_30d, s.is_test from v_rfeat f join v_split s on s.readmitted_30d = f.readmitted_30d and s.part = substr(md5(f.encounter_id), 1, 4)"
+query(
+    "readmission_split",
+    """select encounter_id, readmitted_30d, is_test, case when is_test then null else round(cast(n as double) / (2 * (case when readmitted_30d = 1 then pos else n - pos end)), 9) end as weight
+ from v_marked, (select count(*) as n, sum(readmitted_30d) as pos from v_marked where not is_test)""",
+)(
+    lambda k: risk.balance_weights(risk.holdout(k.readmission_features)).select(
+        "encounter_id", "readmitted_30d", "is_test", F.round("weight", 9).alias("weight")
+    )
+)
 query("readmission_model_scores")(lambda k: risk.readmission_model(k.readmission_features)[0])
 query("readmission_model_performance")(lambda k: risk.readmission_model(k.readmission_features)[1])
+query(
+    "readmission_model_balance",
+    "select name, true as balanced from (select unnest([" + ", ".join(f"'{n}'" for n in ref.FEATURE_DEFAULTS) + "]) as name)",
+)(
+    lambda k: risk.model_balance(*risk.readmission_model(k.readmission_features)).select(
+        "name", (F.abs("slope") < 2e-3).alias("balanced")
+    )
+)
 query(
     "rule_score_auc",
-    """select round((select sum(cast(cnt as double)) from (select count(*) filter (where n.risk_probability < p.risk_probability) + 0.5 * count(*) filter (where n.risk_probability = p.risk_probability) as cnt
- from v_scored p, v_scored n where p.readmitted_30d = 1 and n.readmitted_30d = 0)) / ((select count(*) from v_scored where readmitted_30d = 1) * (select count(*) from v_scored where readmitted_30d = 0)), 9) as value""",
+    "select round(auc, 9) as value from v_rule_auc",
 )(lambda k: risk.auc(risk.readmission_rule_score(k.readmission_features), "readmitted_30d").select(F.round("value", 9).alias("value")))
 E1 = f"coalesce(cov_end, {ASOF})"
 MB = f"""(date_part('year', {E1}) - date_part('year', cov_start)) * 12 + date_part('month', {E1}) - date_part('month', cov_start) + case when date_part('day', {E1}) = date_part('day', cov_start)

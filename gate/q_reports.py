@@ -42,8 +42,8 @@ query("risk_kpis_by_payer", f"select payer_category, {RISK} from v_raf group by
 query("opportunity_kpis", "select count(*) * 3600.0::double as total_revenue_at_risk, count(*) as coding_gap_count from v_raf where hcc_count >= 2 and raf_score < 1.5")(lambda k: m.opportunity_kpis(k.opportunity))
 MILLI = "sum(cast(round(risk_probability * 1000) as bigint))"
 CTES["v_readmit_kpis"] = f"select count(*) filter (where risk_tier = 'High') as high_risk_encounters, {rdiv(MILLI, '(count(*) * 1000)', 6)} as avg_readmission_risk, sum(readmitted_30d) / cast(count(*) as double) as actual_readmission_rate, count(*) as readmission_encounter_count from v_rscores"
-query("readmission_kpis", "select *, 0.5::double as model_auc, 1.0::double as model_accuracy from v_readmit_kpis")(
-    lambda k: m.readmission_kpis(k.readmission, risk.rule_performance(risk.readmission_rule_score(k.readmission_features)))
+query("readmission_kpis", "select k.*, round(a.auc, 9) as model_auc, round(q.accuracy, 9) as model_accuracy from v_readmit_kpis k, v_rule_auc a, v_rule_quality q")(
+    lambda k: m.readmission_kpis(k.readmission, risk.rule_performance(risk.readmission_rule_score(k.readmission_features)).withColumn("value", F.round("value", 9)))
 )
 ALOS = rdiv("sum(cast(round(avg_los * 10) as bigint))", "(count(avg_los) * 10)", 4)
 CTES["v_util_kpis"] = f"""select max(ip_per_1k) as ip_per_1k, max(ed_per_1k) as ed_per_1k, {ALOS} as alos, max(bed_days_per_1k) as bed_days_per_1k, max(pmpm) as monthly_pmpm, round(max(pmpm) - 950, 2) as pmpm_vs_benchmark,
@@ -220,7 +220,7 @@ QUAL = [("195967001", "Asthma"), ("44054006", "Type 2 diabetes mellitus"), ("596
 VALUES = ", ".join(f"('{c}', '{d}', {i})" for i, (c, d) in enumerate(QUAL))
 query(
     "qualifying_patients",
-    f"select patient_id, condition, rank from (select patient_id, condition, rank from v_conditions join (values {VALUES}) q(code, condition, rank) using (code) qualify row_number() over (partition by patient_id order by rank) = 1) order by rank, patient_id limit 100",
+    f"select patient_id, condition, rank from (select patient_id, condition, rank from v_conditions join (values {VALUES}) q(code, condition, rank) using (code) qualify row_number() over (partition by patient_id order by rank) = 1)",
 )(lambda k: lookups.qualifying_patients(k.conditions, QUAL))
 
 # --- cross-domain ---

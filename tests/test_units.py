@@ -154,14 +154,21 @@ def test_model_is_better_than_chance(spark):
     assert performance.where("type = 'coefficient'").count() == 12
 
 
-def test_readmission_markers(spark):
+def test_readmission_scores_add_no_row(spark):
     cols = "encounter_id string, patient_id string, admit_date timestamp, discharge_date timestamp, risk_probability double, risk_tier string, readmitted_30d int, los_days int"
     df = spark.createDataFrame([("e", "p", datetime(2026, 1, 1), datetime(2026, 1, 3), 0.2, "Medium", 0, 2)], cols)
     payers = spark.createDataFrame([("p", "Medicare")], "patient_id string, payer_category string")
-    out = risk.readmission_scores(df, payers).collect()
-    marks = [r for r in out if r.scenario_source == "synthetic_demo_marker"]
-    assert len(marks) == 9 and sum(r.readmitted_30d for r in marks) == 2
-    assert risk.readmission_scores(df, payers, add_markers=False).count() == 1
+    assert [r.scenario_source for r in risk.readmission_scores(df, payers).collect()] == ["observed"]
+
+
+def test_split_is_stratified_and_weights_see_training_rows(spark):
+    rows = [(f"e{i}", int(i % 10 == 0)) for i in range(3000)]
+    split = risk.balance_weights(risk.holdout(spark.createDataFrame(rows, "encounter_id string, readmitted_30d int"))).collect()
+    for y, n in ((0, 2700), (1, 300)):
+        test = sum(r.is_test for r in split if r.readmitted_30d == y)
+        assert 0.19 * n <= test <= 0.2 * n
+    assert all((r.weight is None) == r.is_test for r in split)
+    assert abs(sum(r.weight for r in split if r.weight and r.readmitted_30d) - sum(r.weight for r in split if r.weight and not r.readmitted_30d)) < 1e-6
 
 
 def bundle(*resources):
