@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import count_if, exact, mean, plain
 from ..functions.text import any_of, cascade, filled, first_filled
@@ -679,23 +679,47 @@ def readmission_digest(scores: DataFrame) -> DataFrame:
     )
 
 
+def notice_times(times, cooldown: int, last: int | None = None) -> list[int]:
+    """Positions in ascending integer times that are notified: each at least `cooldown` after the one before.
+
+    Jumps from notice to notice by binary search, so quiet stretches cost nothing.
+    """
+    chosen, at = [], 0 if last is None else int(times.searchsorted(last + cooldown))
+    while at < len(times):
+        chosen.append(at)
+        at = int(times.searchsorted(times[at] + cooldown))
+    return chosen
+
+
 def notify_candidates(
     alerts: DataFrame, cooldown_seconds: int, key: str = "device_id", ts: str = "alert_time"
 ) -> DataFrame:
-    """CRITICAL / URGENT rows, the first of each key and cooldown period.
+    """CRITICAL / URGENT rows, at most one per key and rolling cooldown, and the alerts up to the next notice.
 
-    Periods are aligned to the epoch, so the choice is a plain aggregation by
-    (key, period): a hot key spreads over its periods and combines map-side.
-    The streaming form keeps a rolling timer per key instead.
+    An alert that follows a pause of the cooldown or more is always notified,
+    so the runs between such pauses are independent: a hot key is divided into
+    its runs, and only the times and ids of a run meet in one task.
     """
-    period = F.floor(F.unix_timestamp(ts) / cooldown_seconds)
-    return (
+    kinds = {f.name: f.dataType.simpleString() for f in alerts.schema}
+    before = F.lag("_at").over(Window.partitionBy(key).orderBy("_at", "alert_id"))
+    upto = Window.partitionBy(key).orderBy("_at", "alert_id").rowsBetween(Window.unboundedPreceding, 0)
+    span = cooldown_seconds * 1_000_000
+    runs = (
         alerts.where(F.col("alert_tier").isin("CRITICAL", "URGENT"))
-        .groupBy(key, period.alias("period"))
-        .agg(
-            F.min_by(F.struct("alert_id", "alert_tier"), F.struct(ts, "alert_id")).alias("first"),
-            F.min(ts).alias(ts),
-            F.count("*").alias("suppressed_from"),
-        )
-        .select(key, ts, "first.alert_id", "first.alert_tier", "suppressed_from")
+        .select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), "alert_id", "alert_tier")
+        .withColumn("_new", F.coalesce((F.col("_at") - before >= span).cast("int"), F.lit(0)))
+        .withColumn("_run", F.sum("_new").over(upto))
+    )
+
+    def notify(rows):
+        rows = rows.sort_values(["_at", "alert_id"]).reset_index(drop=True)
+        chosen = notice_times(rows["_at"].to_numpy(), span)
+        out = rows.loc[chosen, [key, "_at", "alert_id", "alert_tier"]]
+        return out.assign(suppressed_from=[b - a for a, b in zip(chosen, [*chosen[1:], len(rows)])])
+
+    found = runs.groupBy(key, "_run").applyInPandas(
+        notify, f"`{key}` {kinds[key]}, _at long, alert_id {kinds['alert_id']}, alert_tier string, suppressed_from long"
+    )
+    return found.select(
+        key, F.timestamp_micros("_at").cast(kinds[ts]).alias(ts), "alert_id", "alert_tier", "suppressed_from"
     )

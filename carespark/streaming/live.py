@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbers import mean
 from ..functions.tiers import pulse_tier, spo2_tier
+from ..operators.alerts import notice_times
 from ..operators.telemetry import VITALS, latest_columns, vitals_trend_columns
 
 ROCKSDB = {
@@ -96,16 +97,14 @@ def cooldown_notifications(alerts: DataFrame, cooldown_seconds: int, key: str =
         frames = [b for b in batches if len(b)]
         if not frames:
             return
-        rows = pd.concat(frames).sort_values(["alert_time", "alert_id"])
-        out = []
-        for alert_id, tier, at in zip(rows["alert_id"], rows["alert_tier"], rows["alert_time"]):
-            micros = at.value // 1000
-            if last is None or micros - last >= cooldown_seconds * 1_000_000:
-                out.append((keys[0], at, alert_id, tier))
-                last = micros
-        if out:
-            state.update((last,))
-            yield pd.DataFrame(out, columns=[key, "alert_time", "alert_id", "alert_tier"])
+        rows = pd.concat(frames).sort_values(["alert_time", "alert_id"]).reset_index(drop=True)
+        micros = rows["alert_time"].astype("datetime64[us]").astype("int64").to_numpy()
+        chosen = notice_times(micros, cooldown_seconds * 1_000_000, last)
+        if chosen:
+            state.update((int(micros[chosen[-1]]),))
+            yield rows.loc[chosen, ["alert_time", "alert_id", "alert_tier"]].assign(**{key: keys[0]})[
+                [key, "alert_time", "alert_id", "alert_tier"]
+            ]
 
     chosen = alerts.where(F.col("alert_tier").isin("CRITICAL", "URGENT")).select(
         key, F.col("alert_time").cast("timestamp").alias("alert_time"), "alert_id", "alert_tier"

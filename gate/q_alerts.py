@@ -257,6 +257,6 @@ query(
 )(lambda k: a.triage_totals(triage(k)))
 query(
     "notify_candidates",
-    f"""select device_id, {ts_text('min(alert_time)')} as alert_time, arg_min(alert_id, row(alert_time, alert_id)) as alert_id, arg_min(alert_tier, row(alert_time, alert_id)) as alert_tier, count(*) as suppressed_from
- from v_history where alert_tier in ('CRITICAL', 'URGENT') group by device_id, epoch_us(alert_time) // 3600000000""",
-)(lambda k: a.notify_candidates(history(k), 3600))
+    f"""select device_id, {ts_text('alert_time')} as alert_time, alert_id, alert_tier, coalesce(lead(r) over (partition by device_id order by r), n + 1) - r as suppressed_from
+ from (select *, (select count(*) from v_ranked_alerts a where a.device_id = v_notified.device_id) as n from v_notified) where sent""",
+)(lambda k: a.notify_candidates(history(k), 21600))

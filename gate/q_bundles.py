@@ -67,7 +67,7 @@ RES = f"replace({RES}, '\"reference\":\"Patient?identifier=http://mrn|M' || o_cu
 CTES["v_resolved"] = f"select * replace ({RES} as resource) from v_entries"
 query(
     "resolve_references",
-    "select bundle_id, pos, full_url, resource_type, resource_id, resource, coalesce(n, 0) as resolved from v_resolved left join (select bundle_id, pos, cast(count(distinct ref) as int) as n from v_refs where ref like 'urn:uuid:%' and ref <> 'urn:uuid:missing' or ref like 'Patient?%' group by 1, 2) using (bundle_id, pos)",
+    f"select bundle_id, pos, full_url, resource_type, resource_id, {RES} as resource, cast(len(list_distinct([r for r in regexp_extract_all(resource, '\"reference\":\"([^\"]*)\"', 1) if r like 'urn:uuid:%' and r <> 'urn:uuid:missing' or r like 'Patient?%'])) as int) as resolved from v_entries",
 )(lambda k: b.resolve_references(entries(k)))
 query("flag_conditional_refs", "select bundle_id, pos, resource_type, contains(resource, '?identifier') as has_conditional_ref from v_resolved")(
     lambda k: b.flag_conditional_refs(b.resolve_references(entries(k))).select("bundle_id", "pos", "resource_type", "has_conditional_ref")

@@ -311,16 +311,16 @@ query(
 )(gap_alerts)
 query("critical_care_gaps", "select alert_id, patient_id, measure_name, gap_days_overdue, alert_priority, alert_text, alert_text as recommended_action from v_gap_alerts")(lambda k: payer.critical_care_gaps(gap_alerts(k)))
 CTES["v_worklist"] = f"""select score_id as alert_id, 'FRAUD' as alert_domain, risk_tier as priority, patient_id, provider_id, claim_id, fraud_score as metric_value, 'fraud_score' as metric_name,
- 'Fraud risk ' || {num_text('v_fraud.fraud_score')} || ' for claim ' || claim_id || ' provider ' || provider_id as message from v_fraud where risk_tier in ('CRITICAL', 'HIGH')
- union all select alert_id, 'HIGH_COST', risk_tier, patient_id, '', '', cast(s30 as double), 'rolling_spend_30d', '30d spend $' || {num_text('s30')} || '; ED visits=' || ed || '; trend=' || cost_trend from v_cost where risk_tier in ('CRITICAL', 'HIGH')
- union all select alert_id, 'CARE_GAP', alert_priority, patient_id, '', '', cast(gap_days_overdue as double), 'gap_days_overdue', alert_text from v_gap_alerts"""
+ 'Fraud risk ' || {num_text('v_fraud.fraud_score')} || ' for claim ' || claim_id || ' provider ' || provider_id as message, latitude, longitude from v_fraud where risk_tier in ('CRITICAL', 'HIGH')
+ union all select alert_id, 'HIGH_COST', risk_tier, patient_id, '', '', cast(s30 as double), 'rolling_spend_30d', '30d spend $' || {num_text('s30')} || '; ED visits=' || ed || '; trend=' || cost_trend, latitude, longitude from v_cost where risk_tier in ('CRITICAL', 'HIGH')
+ union all select alert_id, 'CARE_GAP', alert_priority, patient_id, '', '', cast(gap_days_overdue as double), 'gap_days_overdue', alert_text, null, null from v_gap_alerts"""
 
 
 def worklist(k):
     return payer.payer_ops_worklist(fraud(k), trajectory(k), gap_alerts(k))
 
 
-query("payer_ops_worklist", f"select *, {ts_text('(select as_of from v_claims_as_of)')} as alert_time from v_worklist")(lambda k: worklist(k).drop("latitude", "longitude"))
+query("payer_ops_worklist", f"select *, {ts_text('(select as_of from v_claims_as_of)')} as alert_time from v_worklist")(worklist)
 query(
     "priority_summary",
     f"""select alert_domain, priority, provider_id, count(*) as alert_count, count(distinct patient_id) as affected_members, count(distinct nullif(provider_id, '')) as affected_providers, max(metric_value) as max_metric,

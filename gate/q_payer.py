@@ -45,7 +45,8 @@ CTES["v_cost"] = """select *, case when s90 > 0 and s30 * 3 > s90 * 1.25 then 'A
  'HIGHCOST-' || patient_id || '-' || strftime((select as_of from v_claims_as_of), '%Y%m%d%H%M%S') as alert_id from (
  select *, case when s30 > 100000 or ed >= 5 then 'CRITICAL' when s30 > 50000 or ed >= 3 then 'HIGH' when s30 > 15000 then 'MEDIUM' else 'LOW' end as risk_tier from (
  select patient_id, coalesce(sum(claim_amount) filter (where new), 0) as s30, sum(claim_amount) as s90,
- cast(count(*) filter (where new and (lower(claim_type) = 'emergency' or procedure_code in ('99281','99282','99283','99284','99285'))) as int) as ed, max(event_timestamp) as last_claim_time
+ cast(count(*) filter (where new and (lower(claim_type) = 'emergency' or procedure_code in ('99281','99282','99283','99284','99285'))) as int) as ed, max(event_timestamp) as last_claim_time,
+ arg_max(latitude, row(event_timestamp, substr(md5(event_id), 1, 12))) as latitude, arg_max(longitude, row(event_timestamp, substr(md5(event_id), 1, 12))) as longitude
  from (select *, event_timestamp > (select as_of from v_claims_as_of) - interval 30 day as new from v_claims where event_timestamp > (select as_of from v_claims_as_of) - interval 90 day) group by 1)) where risk_tier <> 'LOW'"""
 
 
@@ -55,8 +56,8 @@ def cost(k):
 
 query(
     "high_cost_trajectory",
-    f"select alert_id, {ts_text('(select as_of from v_claims_as_of)')} as alert_timestamp, patient_id, cast(s30 as double) as rolling_spend_30d, cast(s90 as double) as rolling_spend_90d, ed as ed_visits_30d, false as readmission_flag, risk_tier, cost_trend, {ts_text('last_claim_time')} as last_claim_time from v_cost",
-)(lambda k: cost(k).drop("latitude", "longitude"))
+    f"select alert_id, {ts_text('(select as_of from v_claims_as_of)')} as alert_timestamp, patient_id, cast(s30 as double) as rolling_spend_30d, cast(s90 as double) as rolling_spend_90d, ed as ed_visits_30d, false as readmission_flag, risk_tier, cost_trend, {ts_text('last_claim_time')} as last_claim_time, latitude, longitude from v_cost",
+)(cost)
 query(
     "top_fraud_providers",
     f"""select provider_id, fraud_score, risk_tier, fraud_flags, claim_id, patient_id, {ts_text('score_timestamp')} as score_timestamp from

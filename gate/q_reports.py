@@ -298,7 +298,7 @@ CTES["v_edges"] = f"""select distinct src, dst, type, src_label, dst_label from
 query("graph_edges", "select * from v_edges")(lambda k: k.edges)
 query("graph_edge_counts", "select type, count(*) as edges, count(distinct src) as sources, count(distinct dst) as targets from v_edges group by 1")(lambda k: graph.edge_counts(k.edges))
 query("graph_one_hop", "select src, dst from v_edges where type = 'linkedToDevice'")(lambda k: graph.match_one_hop(k.edges_of("linkedToDevice"), "linkedToDevice"))
-query("graph_path", "select a.src as start, a.dst as middle, b.dst as \"end\" from v_edges a join v_edges b on a.dst = b.src where a.type = 'hasClaim' and b.type = 'coveredBy'")(lambda k: graph.match_path(k.edges_of("hasClaim", "coveredBy"), "hasClaim", "coveredBy"))
+query("graph_path", "select start, middle, \"end\" from (select distinct patient_id as start, claim_id as middle from v_fact_claim) join (select distinct claim_id as middle, coverage_id as \"end\" from v_fact_claim where coverage_id <> '') using (middle)")(lambda k: graph.match_path(k.edges_of("hasClaim", "coveredBy"), "hasClaim", "coveredBy"))
 query(
     "graph_fork_optional",
     "select a.src as start, a.dst as first_end, b.e as second_end, coalesce(b.n, 0) as second_count from v_edges a left join (select src, min(dst) as e, count(*) as n from v_edges where type = 'hasCareGap' group by 1) b using (src) where a.type = 'hasClaim'",
