@@ -98,12 +98,15 @@ def fact_claim(explanations: DataFrame, payers: DataFrame, patient_payers: DataF
 
     Category: the claim's own coverage, else the patient's newest coverage,
     else Unknown. Money stays decimal so totals do not depend on row order.
+    Claims without coverage join on keys of their own that match no payer, so
+    they spread over all tasks.
     """
     money = lambda c: c.cast("decimal(18,2)")
     zero = F.lit(0).cast("decimal(18,2)")
     by_coverage = payers.select(
-        F.col("payer_id").alias("coverage_id"), F.col("payer_category").alias("own_category")
+        F.col("payer_id").alias("_coverage"), F.col("payer_category").alias("own_category")
     )
+    alone = F.concat(F.lit("none:"), F.pmod(F.col("claim_key"), F.lit(4096)).cast("string"))
     by_patient = patient_payers.select("patient_id", F.col("payer_category").alias("patient_category"))
     return (
         explanations.select(
@@ -125,10 +128,11 @@ def fact_claim(explanations: DataFrame, payers: DataFrame, patient_payers: DataF
         )
         .withColumn("patient_responsibility", money(F.col("billed_amount") - F.col("paid_amount")))
         .withColumn("allowed_amount", F.col("billed_amount"))
-        .join(by_coverage, "coverage_id", "left")
+        .withColumn("_coverage", F.coalesce("coverage_id", alone))
+        .join(by_coverage, "_coverage", "left")
         .join(by_patient, "patient_id", "left")
         .withColumn("payer_category", F.coalesce("own_category", "patient_category", F.lit("Unknown")))
-        .drop("own_category", "patient_category")
+        .drop("own_category", "patient_category", "_coverage")
     )
 
 

@@ -155,19 +155,24 @@ def edge_counts(edge_rows: DataFrame) -> DataFrame:
 
 
 def edge_audit(edge_rows: DataFrame, node_rows: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Edges, dangling ends and a zero-row mark per type."""
-    ids = node_rows.select("id", "label").distinct()
-    known = lambda end: ids.select(
-        F.col("id").alias(end), F.col("label").alias(f"{end}_label"), F.lit(1).alias(f"{end}_known")
+    """Edges, dangling ends and a zero-row mark per type.
+
+    Both ends are counted per node before the join, so a node that ends most
+    edges (a diagnosis code) is one row there.
+    """
+    known = node_rows.select("id", "label").distinct().withColumn("known", F.lit(1))
+    ends = F.inline(
+        F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("id"), F.col(f"{e}_label").alias("label")) for e in ("src", "dst")])
     )
+    nodes = edge_rows.select("type", ends).groupBy("type", "end", "id", "label").agg(F.count("*").alias("n"))
+    dangling = lambda end: F.coalesce(F.sum(F.when((F.col("end") == end) & F.col("known").isNull(), F.col("n"))), F.lit(0))
     counted = (
-        edge_rows.join(known("src"), ["src", "src_label"], "left")
-        .join(known("dst"), ["dst", "dst_label"], "left")
+        nodes.join(known, ["id", "label"], "left")
         .groupBy("type")
         .agg(
-            F.count("*").alias("edges"),
-            F.count(F.when(F.col("src_known").isNull(), 1)).alias("dangling_src"),
-            F.count(F.when(F.col("dst_known").isNull(), 1)).alias("dangling_dst"),
+            F.sum(F.when(F.col("end") == "src", F.col("n"))).alias("edges"),
+            dangling("src").alias("dangling_src"),
+            dangling("dst").alias("dangling_dst"),
         )
     )
     wanted = edge_rows.sparkSession.createDataFrame([(k,) for k in kinds or EDGE_TYPES], "type string")

@@ -106,7 +106,7 @@ def high_cost_trajectory(claims: DataFrame, as_of, lookback_days: int = 90) -> D
     amount = F.col("claim_amount").cast("decimal(18,2)")
     s30, s90, ed = F.col("rolling_spend_30d"), F.col("rolling_spend_90d"), F.col("ed_visits_30d")
     # Position of the newest claim; of equal times the largest id hash, in one primitive key.
-    tie = F.conv(F.substring(F.md5("event_id"), 1, 12), 16, 10).cast("decimal(18,0)")
+    tie = F.conv(F.substring(F.md5("claim_id"), 1, 12), 16, 10).cast("decimal(18,0)")
     key = recency_key("event_timestamp", "_tie")
     return (
         recent(claims, "event_timestamp", as_of, days=lookback_days)

@@ -46,7 +46,7 @@ CTES["v_cost"] = """select *, case when s90 > 0 and s30 * 3 > s90 * 1.25 then 'A
  select *, case when s30 > 100000 or ed >= 5 then 'CRITICAL' when s30 > 50000 or ed >= 3 then 'HIGH' when s30 > 15000 then 'MEDIUM' else 'LOW' end as risk_tier from (
  select patient_id, coalesce(sum(claim_amount) filter (where new), 0) as s30, sum(claim_amount) as s90,
  cast(count(*) filter (where new and (lower(claim_type) = 'emergency' or procedure_code in ('99281','99282','99283','99284','99285'))) as int) as ed, max(event_timestamp) as last_claim_time,
- arg_max(latitude, row(event_timestamp, substr(md5(event_id), 1, 12))) as latitude, arg_max(longitude, row(event_timestamp, substr(md5(event_id), 1, 12))) as longitude
+ arg_max(latitude, row(event_timestamp, substr(md5(claim_id), 1, 12))) as latitude, arg_max(longitude, row(event_timestamp, substr(md5(claim_id), 1, 12))) as longitude
  from (select *, event_timestamp > (select as_of from v_claims_as_of) - interval 30 day as new from v_claims where event_timestamp > (select as_of from v_claims_as_of) - interval 90 day) group by 1)) where risk_tier <> 'LOW'"""
 
 
