@@ -69,20 +69,40 @@ def audit_gate(bronze: DataFrame, schema: str | None = None, max_share: float =
 # --- reference and name contracts ------------------------------------------------
 
 
+# Reference columns that downstream models need, by table.
+REFERENCE_CHECKS = {
+    "Condition": ["subject_string", "encounter_string"],
+    "Observation": ["subject_string", "encounter_string"],
+    "Procedure": ["subject_string", "encounter_string"],
+    "Encounter": ["subject_string"],
+    "CarePlan": ["subject_string"],
+    "MedicationRequest": ["subject_string"],
+    "Immunization": ["patient_string"],
+    "Coverage": ["beneficiary_string"],
+    "ImagingStudy": ["subject_string"],
+    "Basic": ["subject_string"],
+    "Claim": ["patient_string"],
+    "ExplanationOfBenefit": ["patient_string"],
+}
+REFERENCE = "reference string, msftSourceReference string, idOrig string, identifier struct<value:string>"
+
+
 def _no_reference(col: str) -> Column:
-    text = lambda path: filled(F.get_json_object(F.col(col), path))
-    return F.coalesce(
-        text("$.reference"), text("$.msftSourceReference"), text("$.idOrig"), text("$.identifier.value")
-    ).isNull()
+    """Holds none of the four reference forms; the text is parsed once."""
+    return F.exists(
+        F.array(F.from_json(col, REFERENCE)),
+        lambda r: first_filled(r["reference"], r["msftSourceReference"], r["idOrig"], r["identifier"]["value"]).isNull(),
+    )
 
 
-def reference_integrity(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+def reference_integrity(tables: dict[str, DataFrame], checks: dict[str, list[str]] = REFERENCE_CHECKS) -> DataFrame:
     """Rows whose reference column is set but holds no usable form, per column.
 
     One aggregation per table covers all its columns.
     """
     parts = []
-    for name, (df, columns) in tables.items():
+    for name, df in tables.items():
+        columns = checks[name]
         row = df.agg(*[count_if(F.col(c).isNotNull() & _no_reference(c)).alias(c) for c in columns])
         labelled = F.array(*[F.struct(F.lit(f"{name}.{c}").alias("check"), F.col(c).alias("broken_rows")) for c in columns])
         parts.append(row.select(F.inline(labelled)))
@@ -188,24 +208,27 @@ def _finding(df: DataFrame, rule: str, key: Column, detail: Column) -> DataFrame
 def manifest_findings(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Missing, extra, changed and non-bundle files.
 
-    `files` `(name, content)`, `manifest` `(name, sha256)`.
+    `files` `(name, content)`, `manifest` `(name, sha256)`. Contents are read
+    and hashed once; only hashes and types are joined.
     """
     hashed = files.select(
         "name",
         F.sha2(F.col("content").cast("binary"), 256).alias("actual"),
-        F.get_json_object(F.col("content").cast("string"), "$.resourceType").alias("kind"),
-        F.get_json_object(F.col("content").cast("string"), "$.type").alias("bundle_type"),
+        F.json_tuple(F.col("content").cast("string"), "resourceType", "type").alias("kind", "bundle_type"),
+        F.lit(True).alias("seen"),
     )
-    not_bundle = ~(F.col("kind").eqNullSafe("Bundle") & F.col("bundle_type").eqNullSafe("transaction"))
-    both = hashed.join(manifest, "name")
-    return _union(
-        [
-            _finding(manifest.join(hashed, "name", "left_anti"), "missing_file", F.col("name"), F.lit("")),
-            _finding(hashed.join(manifest, "name", "left_anti"), "extra_file", F.col("name"), F.lit("")),
-            _finding(both.where(F.col("actual") != F.col("sha256")), "checksum_mismatch", F.col("name"), F.lit("")),
-            _finding(hashed.where(not_bundle), "not_a_transaction_bundle", F.col("name"), F.coalesce("kind", F.lit(""))),
-        ]
+    both = hashed.join(manifest.withColumn("listed", F.lit(True)), "name", "full")
+    is_bundle = F.col("kind").eqNullSafe("Bundle") & F.col("bundle_type").eqNullSafe("transaction")
+    finding = lambda hit, rule, detail=F.lit(""): F.when(hit, F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
+    found = F.array_compact(
+        F.array(
+            finding(F.col("seen").isNull(), "missing_file"),
+            finding(F.col("listed").isNull(), "extra_file"),
+            finding(F.col("actual") != F.col("sha256"), "checksum_mismatch"),
+            finding(F.col("seen") & ~is_bundle, "not_a_transaction_bundle", F.coalesce("kind", F.lit(""))),
+        )
     )
+    return both.select("name", F.explode(found).alias("f")).select("f.rule", F.col("name").alias("key"), "f.detail")
 
 
 def duplicate_ids(entries: DataFrame, shared: tuple[str, ...] = ("Organization",)) -> DataFrame:
@@ -231,21 +254,60 @@ def dangling_references(entries: DataFrame) -> DataFrame:
 
 def missing_references(entries: DataFrame) -> DataFrame:
     """Resources whose required members hold no reference."""
-    lacks = lambda field: F.size(
-        reference_list(F.coalesce(F.get_json_object("resource", f"$.{field}"), F.lit("")))
-    ) == 0
+    rows = entries.select("resource_id", F.explode(_missing_fields()).alias("field"))
+    return _finding(rows, "missing_reference", F.col("field"), F.col("resource_id"))
+
+
+def _missing_fields() -> Column:
+    """`Type.member` of the required members of an entry without a reference; only these are parsed."""
     kind = F.col("resource_type")
-    candidates = F.array_compact(
+    required = cascade(
+        [(kind == t, F.array(*[F.lit(f) for f in fields])) for t, fields in REQUIRED_REFERENCES.items()],
+        F.array().cast("array<string>"),
+    )
+    member = lambda f: F.call_function("get_json_object", F.col("resource"), F.concat(F.lit("$."), f))
+    lacking = F.filter(required, lambda f: F.size(reference_list(F.coalesce(member(f), F.lit("")))) == 0)
+    return F.transform(lacking, lambda f: F.concat(kind, F.lit("."), f))
+
+
+def entry_findings(entries: DataFrame, shared: tuple[str, ...] = ("Organization",)) -> DataFrame:
+    """Duplicate ids, dangling and missing references in one pass over the entries.
+
+    Each entry gives the facts it adds: its id, its URL, its URN references and
+    its missing members. One aggregation by fact decides all three rules.
+    """
+    fact = lambda rule, a, b, given=False: F.struct(
+        F.lit(rule).alias("rule"), a.alias("a"), b.alias("b"), F.lit(given).alias("given")
+    )
+    bundle, url = F.col("bundle_id"), F.col("full_url")
+    urns = F.array_distinct(F.filter(reference_list(F.col("resource")), lambda r: F.startswith(r, F.lit("urn:uuid:"))))
+    own = F.array_compact(
         F.array(
-            *[
-                F.when((kind == t) & lacks(f), F.lit(f"{t}.{f}"))
-                for t, fields in REQUIRED_REFERENCES.items()
-                for f in fields
-            ]
+            F.when(~F.col("resource_type").isin(*shared), fact("duplicate_id", F.col("resource_type"), F.col("resource_id"))),
+            F.when(F.startswith(url, F.lit("urn:uuid:")), fact("dangling_reference", url, bundle, True)),
         )
     )
-    rows = entries.where(kind.isin(*REQUIRED_REFERENCES)).select("resource_id", F.explode(candidates).alias("field"))
-    return _finding(rows, "missing_reference", F.col("field"), F.col("resource_id"))
+    facts = F.concat(
+        own,
+        F.transform(F.coalesce(urns, F.array().cast("array<string>")), lambda r: fact("dangling_reference", r, bundle)),
+        F.transform(_missing_fields(), lambda f: fact("missing_reference", f, F.col("resource_id"))),
+    )
+    known = (
+        entries.select(F.inline(facts))
+        .groupBy("rule", "a", "b")
+        .agg(F.count("*").alias("n"), F.bool_or("given").alias("given"))
+        .where(
+            cascade([(F.col("rule") == "duplicate_id", F.col("n") > 1), (F.col("rule") == "dangling_reference", ~F.col("given"))], True)
+        )
+    )
+    twice = F.col("rule") == "duplicate_id"
+    again = F.sequence(F.lit(1), F.when(F.col("rule") == "missing_reference", F.col("n")).otherwise(1).cast("int"))
+    return known.select(
+        "rule",
+        F.when(twice, F.concat_ws("/", "a", "b")).otherwise(F.col("a")).alias("key"),
+        F.when(twice, F.col("n").cast("string")).otherwise(F.col("b")).alias("detail"),
+        F.explode(again).alias("again"),
+    ).drop("again")
 
 
 def age_findings(patients: DataFrame, as_of: Column, low: int = 0, high: int = 120) -> DataFrame:
@@ -294,9 +356,7 @@ def cohort_validate(
     """All cohort rules as (rule, key, detail) rows; empty means valid."""
     return _union(
         [
-            duplicate_ids(entries),
-            dangling_references(entries),
-            missing_references(entries),
+            entry_findings(entries),
             age_findings(patients, as_of),
             required_codes(conditions, codes, "missing_condition_code"),
             minimum_counts(encounters, "encounter_class", class_minimum, "insufficient_encounters"),
@@ -312,6 +372,14 @@ RECORD_SUFFIXES = ["csv", "tsv", "ndjson", "jsonl", "dcm", "avro", "orc", "feath
 ARCHIVE_SUFFIXES = ["zip", "tar", "gz", "tgz", "7z", "whl", "jar", "pbix"]
 DATABASE_SUFFIXES = ["db", "sqlite", "sqlite3"]
 JSON_SUFFIXES = ["json", "avsc", "bim", "pbir", "pbism"]
+# Folders and files that must not be in a repository.
+BLOCKED_PATHS = [
+    r"(^|/)(prepackaged|\.generated|\.hds-build|patientoutreachanalytics)(/|$)",
+    r"(^|/)canonical-fixture-manifest\.json$",
+    r"^output(/|$)",
+    r"^synthea/output(/|$)",
+    r"^vendor/microsoft-hds/[^/]+/([^/]+/)?(sampledata|referencedata)(/|$)",
+]
 NON_CLINICAL_TYPES = [
     "Bundle", "Organization", "CodeSystem", "ValueSet", "ConceptMap", "StructureDefinition", "SearchParameter",
     "CapabilityStatement", "OperationDefinition", "NamingSystem", "CompartmentDefinition", "ImplementationGuide",
@@ -329,9 +397,7 @@ def data_presence_scan(files: DataFrame) -> DataFrame:
     types = F.regexp_extract_all(payload, F.lit(r'"resourceType"\s*:\s*"([A-Z][A-Za-z0-9]*)"'), 1)
     clinical = F.exists(types, lambda t: ~t.isin(*NON_CLINICAL_TYPES))
     statistics = payload.rlike(r'numRecords\\?"\s*:\s*[1-9]') | payload.rlike(r'(min|max)Values\\?"\s*:\s*\{\\?"')
-    blocked = path.rlike(r"(^|/)(prepackaged|\.generated|\.hds-build|patientoutreachanalytics)/") | path.rlike(
-        r"(^|/)canonical-fixture-manifest\.json$"
-    )
+    blocked = path.rlike("|".join(BLOCKED_PATHS))
     has_output = payload.rlike(r'"outputs"\s*:\s*\[\s*[^\]\s]')
     rule = cascade(
         [

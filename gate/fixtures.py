@@ -70,6 +70,7 @@ LOINC = ["4548-4", "8480-6", "8462-4", "39156-5", "14959-1", "2708-6", "8867-4"]
 LOINC_NAMES = ["Hemoglobin A1c", "Systolic blood pressure", "Diastolic blood pressure", "Body mass index", "Urine albumin/creatinine", "Oxygen saturation", "Heart rate"]
 DRUGS = ["lisinopril 10 MG", "metformin 500 MG", "Atorvastatin 20 MG", "metoprolol 25 MG", "carvedilol 6.25 MG", "Losartan 50 MG", "insulin glargine", "simvastatin 40 MG", "albuterol inhaler", "amoxicillin 250 MG", "glipizide 5 MG", "rosuvastatin 10 MG"]
 CVX = ["33", "109", "133", "140", "150", "158", "208", "115"]
+OTHER_CVX = "21"  # in no measure
 PROCEDURES = ["99213", "99214", "99215", "99281", "99283", "99285", "71046", "80053", "93000", "36415", "99284"]
 CLAIM_TYPES = ["Professional", "Institutional", "Emergency", "Pharmacy", "Outpatient"]
 PAYORS = {  # market segment -> (code, display, text, payor)
@@ -179,12 +180,12 @@ def views(engine: str) -> dict[str, tuple[str, str | None, list[tuple[str, str]]
                 ("site", "concat('loc-', c_nationkey % 11)"),
             ],
         ),
-        "coverage": (
-            "customer", "c_custkey % 10 <> 3",
+        "coverage": (  # some patients have none: the next one holds two
+            "customer", None,
             [
                 ("num", "c_custkey"),
                 ("coverage_id", "concat('cov-', c_custkey)"),
-                ("patient_id", "concat('pat-', c_custkey)"),
+                ("patient_id", "concat('pat-', c_custkey + (case when c_custkey % 10 = 3 then 1 else 0 end))"),
                 ("type_code", seg(0)),
                 ("type_display", seg(1)),
                 ("type_text", seg(2)),
@@ -193,12 +194,12 @@ def views(engine: str) -> dict[str, tuple[str, str | None, list[tuple[str, str]]
                 ("cov_end", f"(case when c_custkey % 5 = 0 then {day('2025-12-31', 'c_custkey % 180')} else null end)"),
             ],
         ),
-        "coverage2": (
-            "customer", "c_custkey % 4 = 0",
+        "coverage2": (  # held by every fourth patient
+            "customer", None,
             [
                 ("num", "c_custkey"),
                 ("coverage_id", "concat('covb-', c_custkey)"),
-                ("patient_id", "concat('pat-', c_custkey)"),
+                ("patient_id", "concat('pat-', c_custkey - c_custkey % 4)"),
                 ("type_code", "'EHCPOL'"),
                 ("type_display", "'private plan'"),
                 ("type_text", "'ppo'"),
@@ -248,13 +249,13 @@ def views(engine: str) -> dict[str, tuple[str, str | None, list[tuple[str, str]]
             ],
         ),
         "immunizations": (
-            "orders", "o_orderkey % 3 = 0",
+            "orders", None,
             [
                 ("num", "o_orderkey"),
                 ("immunization_id", "concat('imm-', o_orderkey)"),
                 ("patient_id", "concat('pat-', o_custkey)"),
-                ("code", pick("o_orderkey", CVX)),
-                ("display", "concat('Vaccine ', " + pick("o_orderkey", CVX) + ")"),
+                ("code", f"(case when o_orderkey % 3 = 0 then {pick('o_orderkey', CVX)} else '{OTHER_CVX}' end)"),
+                ("display", f"concat('Vaccine ', case when o_orderkey % 3 = 0 then {pick('o_orderkey', CVX)} else '{OTHER_CVX}' end)"),
                 ("imm_date", day("2025-06-20", "o_orderkey % 400")),
             ],
         ),
@@ -269,12 +270,12 @@ def views(engine: str) -> dict[str, tuple[str, str | None, list[tuple[str, str]]
                 ("type_display", pick("o_orderkey", ["Hospital admission", "Office visit", "Emergency room visit", "Well child visit", "Inpatient stay", "Follow-up", "Telephone"])),
                 ("start_time", "o_orderdate"),
                 ("end_time", f"(case when o_orderkey % 50 = 0 then null else {q.ts_plus_hours('o_orderdate', '(o_orderkey % 9) * 24 + o_orderkey % 5')} end)"),
-                ("location_id", "concat('loc-', o_orderkey % 13)"),
+                ("location_id", "concat('loc-', o_orderkey % 29)"),  # some are unknown
                 ("provider_org", pick("o_orderkey", ["org-main", "org-peds", "org-east"])),
             ],
         ),
         "locations": (
-            "nation", "n_nationkey < 12",
+            "nation", None,
             [
                 ("location_id", "concat('loc-', n_nationkey)"),
                 ("id_orig", "(case when n_nationkey % 3 = 0 then concat('orig-', n_nationkey) else concat('loc-', n_nationkey) end)"),
