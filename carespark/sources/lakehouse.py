@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.timing import back
+from ..functions.timing import as_column, back
 
 
 class SchemaConflict(ValueError):
@@ -98,6 +98,16 @@ def retention(df: DataFrame, as_of, ts: str = "alert_time", days: int = 90) -> D
     return df.where(F.col(ts) > back(as_of, days=days))
 
 
+def rewrite_retained(table: str, target: str, spark: SparkSession, as_of, ts: str = "alert_time", days: int = 90) -> DataFrame:
+    """Copy of a day-partitioned folder without expired rows, and a frame that reads it.
+
+    Expired days are not read; only the rows of the oldest kept day are compared by time.
+    """
+    kept = day_window(spark.read.parquet(table), ts, as_column(as_of), days)
+    kept.write.mode("overwrite").partitionBy("day").parquet(target)
+    return spark.read.schema(kept.schema).parquet(target)
+
+
 def with_day(df: DataFrame, ts: str, out: str = "day") -> DataFrame:
     """Adds the partition column used for date pruning."""
     return df.withColumn(out, F.to_date(ts))

@@ -7,7 +7,6 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.lineage import cut_lineage
 from ..operators.outreach import upsert_latest
 from ..sources.events import ingest_json, split_bad_rows
 
@@ -21,9 +20,11 @@ def ingest_sink(fields: str, good_path: str, bad_path: str, column: str = "value
     """foreachBatch: typed rows to one table, unreadable rows to a side table."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_bad_rows(ingest_json(batch, fields, column))
+        parsed = ingest_json(batch, fields, column).persist()  # two outputs, read and parsed once
+        good, bad = split_bad_rows(parsed)
         write_batch(good, good_path, batch_id)
         write_batch(bad, bad_path, batch_id)
+        parsed.unpersist()
 
     return run
 
@@ -35,6 +36,7 @@ def snapshot_sink(score, append_path: str | None = None, replace_path: str | Non
         rows = score(batch)
         if append_path:
             write_batch(rows, append_path, batch_id)
+            rows = batch.sparkSession.read.parquet(f"{append_path}/batch_id={batch_id}")  # scored once
         if replace_path:
             rows.write.mode("overwrite").parquet(replace_path)
 
@@ -69,41 +71,48 @@ def late_row_sink(path: str, ts: str, delay: timedelta):
 
 
 class UpsertTable:
-    """Newest row per key in a folder partitioned by key bucket.
+    """Newest row per key in bucket folders, one version per merge.
 
-    A batch rewrites only the buckets it touches. The merged rows are
-    checkpointed before the buckets are replaced, and merging is idempotent, so
-    a repeated batch gives the same table.
+    A merge writes the buckets it touches to the folder of a new version; only
+    then a log entry names them. Each bucket is read from its newest logged
+    version, so a merge that fails half-way changes nothing, and repeating it
+    gives the same table. Older versions stay for readers that use them.
+    `buckets` should grow with the table, to a few files' worth of rows each.
     """
 
-    def __init__(self, path: str, keys: list[str], updated: str = "last_updated", buckets: int = 256):
+    def __init__(self, path: str, keys: list[str], updated: str = "last_updated", *, buckets: int):
         self.path, self.keys, self.updated, self.buckets = path, keys, updated, buckets
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
+    def _newest(self, spark: SparkSession) -> DataFrame:
+        """(bucket, version): one row per bucket."""
+        return spark.read.parquet(f"{self.path}/log").groupBy("bucket").agg(F.max("version").alias("version"))
+
+    def _rows(self, newest: DataFrame) -> DataFrame:
+        rows = newest.sparkSession.read.parquet(f"{self.path}/data")
+        return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("bucket", "version")
+
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path).drop("bucket")
+        return self._rows(self._newest(spark))
 
     def merge(self, batch: DataFrame, batch_id: int = 0) -> None:
         spark = batch.sparkSession
-        updates = self._bucketed(batch)
-        # At most `buckets` small integers reach the driver.
-        touched = [r[0] for r in updates.select("bucket").distinct().collect()]
-        if not touched:
+        if batch.isEmpty():
             return
         try:
-            current = spark.read.parquet(self.path).where(F.col("bucket").isin(touched)).select(*batch.columns)
+            newest = self._newest(spark)
+            version = newest.agg(F.max("version")).first()[0] + 1
+            touched = self._bucketed(batch).select("bucket").distinct()
+            current = self._rows(newest.join(touched, "bucket", "left_semi")).select(*batch.columns)
         except AnalysisException:
-            current = batch.limit(0)
-        merged = cut_lineage(self._bucketed(upsert_latest(current, batch, self.keys, self.updated)))
-        (
-            merged.repartition("bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(self.path)
-        )
+            current, version = batch.limit(0), 0
+        data = f"{self.path}/data/version={version}"
+        merged = self._bucketed(upsert_latest(current, batch, self.keys, self.updated))
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
+        entry = spark.read.parquet(data).select("bucket").distinct().coalesce(1)
+        entry.write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
 
 
 def replay_from_new_checkpoint(start, checkpoint: str, label: str):

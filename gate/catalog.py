@@ -7,6 +7,7 @@ from . import (  # noqa: F401  (imports register the queries)
     q_payer,
     q_reports,
     q_streams,
+    q_tables,
     q_telemetry,
 )
 from .registry import QUERIES, oracle

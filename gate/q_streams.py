@@ -91,12 +91,16 @@ CTES["v_notified"] = """select * from (with recursive walk as (select device_id,
 
 def claim_json(k: Lake) -> DataFrame:
     """Claim rows as JSON text; every 50th order's rows are cut short."""
-    base = stream(k, "lineitem").selectExpr(
-        "concat('EVT-', concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)) as event_id", "l_shipdate as event_timestamp",
-        "concat('prov-', l_suppkey) as provider_id", "l_extendedprice as claim_amount", "l_orderkey",
-    )
-    text = F.to_json(F.struct("event_id", F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss").alias("event_timestamp"), "provider_id", "claim_amount"))
-    return base.select(F.when(F.col("l_orderkey") % 50 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value"))
+    rows = stream(k, "lineitem").join(k.table("orders"), F.expr("l_orderkey = o_orderkey"))
+    rows = rows.selectExpr("l_orderkey", *[f"{e} as {n}" for n, e in k._views["claims"][2]])
+    return as_json(rows, F.col("l_orderkey") % 50 == 0)
+
+
+def as_json(rows: DataFrame, cut) -> DataFrame:
+    """Rows as JSON text with times to the second; `cut` ones are unreadable."""
+    times = [f.name for f in rows.schema if f.dataType.typeName().startswith("timestamp")]
+    text = F.to_json(F.struct(*[F.date_format(n, "yyyy-MM-dd HH:mm:ss").alias(n) if n in times else F.col(n) for n in rows.columns]))
+    return rows.select(F.when(cut, F.substring(text, 1, 20)).otherwise(text).alias("value"))
 
 
 def ingest(k: Lake) -> tuple[DataFrame, DataFrame]:
@@ -106,10 +110,11 @@ def ingest(k: Lake) -> tuple[DataFrame, DataFrame]:
     return k.spark.read.parquet(f"{folder}/good"), k.spark.read.parquet(f"{folder}/bad")
 
 
+CLAIM_FIELDS = [f.strip().split()[0] for f in ev.CLAIMS.split(",")]
 query(
     "stream_ingest_claims",
-    f"select 'EVT-' || concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as event_id, {ts_text("date_trunc('second', l_shipdate)")} as event_timestamp, 'prov-' || l_suppkey as provider_id, l_extendedprice as claim_amount from lineitem where l_orderkey % 50 <> 0",
-)(lambda k: ingest(k)[0].select("event_id", "event_timestamp", "provider_id", "claim_amount"))
+    f"select * replace ({ts_text("date_trunc('second', event_timestamp)")} as event_timestamp, cast(claim_amount as double) as claim_amount) from v_claims where cast(split_part(event_id, '-', 2) as bigint) % 50 <> 0",
+)(lambda k: ingest(k)[0].select(*CLAIM_FIELDS))
 query("stream_ingest_rejects", "select count(*) as rejected from lineitem where l_orderkey % 50 = 0")(lambda k: ingest(k)[1].agg(F.count("*").alias("rejected")))
 
 

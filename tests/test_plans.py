@@ -10,7 +10,7 @@ from gate.lake import Lake
 
 PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 # Fits a model or starts a stream: its plan is only the final read.
-EAGER = ("readmission_model", "stream_", "external_static", "snapshot_append")
+EAGER = ("readmission_model", "stream_", "external_static", "snapshot_", "gold_row_gate")
 
 
 def plan(df):
