@@ -312,6 +312,9 @@ def patient_location(encounters: DataFrame, locations: DataFrame) -> DataFrame:
         encounters.where(
             filled(F.col("patient_id")).isNotNull() & filled(F.col("location_key")).isNotNull()
         )
+        # visits of a place are combined before the aggregate that sorts
+        .groupBy("patient_id", "location_key")
+        .agg(F.max("start").alias("start"))
         .groupBy("patient_id")
         .agg(F.max_by("location_key", F.struct("start", "location_key")).alias("location_key"))
     )

@@ -88,7 +88,8 @@ def dim_diagnosis(conditions: DataFrame) -> DataFrame:
         F.when(chronic, 1).otherwise(0).alias("is_chronic"),
         F.lit(1).alias("is_active"),
     )
-    return keep_first(rows, ["icd_code"], ["icd_description", "code_system"]).withColumn(
+    # a few hundred distinct rows are left for the sorting aggregate
+    return keep_first(rows.distinct(), ["icd_code"], ["icd_description", "code_system"]).withColumn(
         "diagnosis_key", surrogate("icd_code")
     )
 

@@ -39,10 +39,11 @@ def assign_collection(patients: DataFrame, conditions: DataFrame) -> DataFrame:
     best = (
         conditions.where(snomed & F.col("code").isin([m[0] for m in MODALITY_MAP]))
         .select("patient_id", "code")
-        .join(F.broadcast(mapping), "code")
+        .join(F.broadcast(mapping.select("code", "rank")), "code")
         .groupBy("patient_id")
-        .agg(F.min(F.struct("rank", "modality", "collection")).alias("m"))
-        .select("patient_id", "m.modality", "m.collection")
+        .agg(F.min("rank").alias("rank"))
+        .join(F.broadcast(mapping.drop("code")), "rank")
+        .select("patient_id", "modality", "collection")
     )
     return patients.select("patient_id").join(best, "patient_id", "left").fillna(
         {"modality": DEFAULT_IMAGING[0], "collection": DEFAULT_IMAGING[1]}

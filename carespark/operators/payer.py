@@ -353,10 +353,15 @@ def cross_domain_context(
 ) -> DataFrame:
     """Patient x device x diagnosis x alert x claim x gap x payer x risk.
 
-    Each branch is first reduced to one row per patient, so the joins are
-    one-to-one and cannot multiply. The source names only the outputs.
+    Each branch is restricted to monitored patients and reduced to one row per
+    patient, so the joins are one-to-one and cannot multiply. The source names
+    only the outputs.
     """
-    device = _newest(device_patients, "patient_id", ["device_id"], ["device_id"])
+    device = device_patients.groupBy("patient_id").agg(F.max("device_id").alias("device_id"))
+    monitored = device_patients.select("patient_id").distinct()
+    alerts, conditions, claims, gaps, risk = (
+        df.join(monitored, "patient_id", "left_semi") for df in (alerts, conditions, claims, gaps, risk)
+    )
     alert = (
         alerts.where(F.col("patient_id") != "")
         .groupBy("patient_id")

@@ -112,6 +112,18 @@ def test_upsert_table_touches_only_its_buckets(spark, tmp_path, rows):
     assert len(got) == 21 and got["k3"] == "new" and got["k4"] == "old" and got["k99"] == "add"
 
 
+def test_upsert_table_ignores_an_unfinished_merge(spark, tmp_path, rows):
+    table = sinks.UpsertTable(str(tmp_path / "t"), ["k"], buckets=2)
+    make = lambda data: spark.createDataFrame(data, "k string, last_updated int, v string")
+    table.merge(make([("a", 1, "old"), ("b", 1, "old")]))
+    half = make([("a", 9, "half")]).withColumn("bucket", F.lit(0))
+    half.write.partitionBy("bucket").parquet(f"{table.path}/data/version=1")  # written, not logged
+    assert rows(table.read(spark)) == [("a", 1, "old"), ("b", 1, "old")]
+    for _ in range(2):
+        table.merge(make([("a", 2, "new")]), 7)
+    assert rows(table.read(spark)) == [("a", 2, "new"), ("b", 1, "old")]
+
+
 def test_ingest_sink_repeats_safely(spark, tmp_path):
     batch = spark.createDataFrame([('{"event_id":"1"}',), ("{",)], "value string")
     sink = sinks.ingest_sink("event_id string", str(tmp_path / "good"), str(tmp_path / "bad"))
