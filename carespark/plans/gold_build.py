@@ -31,14 +31,20 @@ class GoldBuild:
         self.written[name] = self.lake.write_gold(df, name)
         return self.written[name]
 
+    def parsed(self, name: str, df: DataFrame) -> DataFrame:
+        """Typed rows that several tables need, parsed from JSON once."""
+        path = self.lake.path("parsed", name)
+        df.write.format(self.lake.format).mode("overwrite").save(path)
+        return self.spark.read.format(self.lake.format).load(path)
+
     def run(self) -> DataFrame:
         """Builds all tables and returns the gate rows."""
         read = self.lake.read_silver
-        coverage = silver.coverage(read("Coverage"))
-        conditions = silver.conditions(read("Condition"), with_encounter=True)
-        patients = silver.patient_facts(read("Patient"))
-        medications = silver.medications(read("MedicationRequest"))
-        encounters = silver.encounters(read("Encounter"))
+        coverage = self.parsed("coverage", silver.coverage(read("Coverage")))
+        conditions = self.parsed("conditions", silver.conditions(read("Condition"), with_encounter=True))
+        patients = self.parsed("patients", silver.patient_facts(read("Patient")))
+        medications = self.parsed("medications", silver.medications(read("MedicationRequest")))
+        encounters = self.parsed("encounters", silver.encounters(read("Encounter")))
 
         payers = self.save("dim_payer", gold.dim_payer(coverage))
         patient_payers = self.save("patient_payer", gold.patient_payer(payers))

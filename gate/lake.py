@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from carespark.functions.lineage import checkpoint_folder
 from carespark.operators import alerts, cost, gold, graph, lookups, quality, risk, silver
 
 from .fixtures import SCHEMAS, views
 
 AS_OF_DAY = "2026-07-01"
+#: Rows of a written file; only more files than cores matter.
+FILE_ROWS = 20_000
+_WRITTEN: dict[tuple[str, str, str], tuple] = {}
 YEAR = ("2025-07-01", "2026-07-01")
 
 
@@ -76,7 +81,18 @@ class Lake:
 
     # --- silver: JSON text forms of the typed views ---
     def silver(self, name: str) -> DataFrame:
-        return getattr(self, f"_silver_{name}")
+        return self.written(name, lambda: getattr(self, f"_silver_{name}"))
+
+    def written(self, name: str, make) -> DataFrame:
+        """Rows written once per session and source folder, in files that all cores can read."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            df = make()
+            path = f"{checkpoint_folder(self.spark)}/lake-{uuid.uuid4().hex}/{name}"
+            df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+            _WRITTEN[key] = (path, df.schema)
+        path, schema = _WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     @cached_property
     def _silver_patient(self) -> DataFrame:

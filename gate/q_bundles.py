@@ -45,11 +45,12 @@ CTES["v_entries"] = " union all ".join(
 
 
 def documents(k: Lake):
-    return k.table("orders").selectExpr("concat('bundle-', o_orderkey) as bundle_id", f"{DOC} as content")
+    make = lambda: k.table("orders").selectExpr("o_custkey", "o_orderkey", "concat('bundle-', o_orderkey) as bundle_id", f"{DOC} as content")
+    return k.written("bundles", make)
 
 
 def entries(k: Lake):
-    return b.explode_bundles(documents(k))
+    return b.explode_bundles(documents(k).select("bundle_id", "content"))
 
 
 query("explode_bundles", "select bundle_id, pos, full_url, resource_type, resource_id, resource from v_entries")(entries)
@@ -91,8 +92,7 @@ CTES["v_sites"] = "select cast(substr(location_id, 5) as int) as site_index, * f
 
 def big_bundle(k: Lake):
     """Entries of all orders of a customer group as one bundle each."""
-    rows = k.table("orders").selectExpr("o_custkey", "o_orderkey", f"{DOC} as content", "concat('bundle-', o_orderkey) as bundle_id")
-    parsed = rows.select("o_custkey", "o_orderkey", F.posexplode(F.from_json("content", b.BUNDLE)["entry"]).alias("pos", "e"))
+    parsed = documents(k).select("o_custkey", "o_orderkey", F.posexplode(F.from_json("content", b.BUNDLE)["entry"]).alias("pos", "e"))
     return parsed.select(
         F.concat(F.lit("group-"), F.col("o_custkey") % 13).alias("bundle_id"),
         (F.col("o_orderkey") * 5 + F.col("pos")).alias("pos"),
