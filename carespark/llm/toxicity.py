@@ -135,39 +135,9 @@ def token_counts(sample: DataFrame) -> DataFrame:
     )
 
 
-def context_counts(sample: DataFrame, telling: dict[bytes, float]) -> DataFrame:
-    """(token, toxic, clean) for the telling tokens: distinct preceding tokens instead of documents.
-
-    A token that only spreads with copies of one passage always follows the
-    same token, so it counts once however many copies there are.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: dict[tuple[bytes, bytes], list[int]] = {}
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = tokens(text or "")
-                for before, word in zip([b"", *words], words):
-                    if word in telling:
-                        pairs.setdefault((word, before), [0, 0])[y > 0] = 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([w for w, _ in pairs], pa.binary()),
-                pa.array([b for _, b in pairs], pa.binary()),
-                pa.array([v[1] for v in pairs.values()], pa.int64()),
-                pa.array([v[0] for v in pairs.values()], pa.int64()),
-            ],
-            names=["token", "before", "toxic", "clean"],
-        )
-
-    return (
-        sample.select("text", "y")
-        .mapInArrow(run, "token binary, before binary, toxic long, clean long")
-        .groupBy("token", "before")
-        .agg(F.max("toxic").alias("toxic"), F.max("clean").alias("clean"))
-        .groupBy("token")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    )
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """(text, y): each distinct text once for each label it has, so exact copies count as one document."""
+    return sample.select(F.coalesce("text", F.lit("")).alias("text"), (F.col("y") > 0).cast("int").alias("y")).distinct()
 
 
 def token_scores(counts: DataFrame, n_toxic: int, n_clean: int, vocabulary: int = VOCABULARY) -> dict[bytes, float]:
@@ -213,8 +183,9 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> ToxicityModel:
     """Learn from at most `train_docs` labelled rows whose crc32(doc_id) mod 5 is not 0.
 
-    Two thirds of them give the token scores; the others, which the scores have
-    not seen, give the chance rate of segments and the calibration. Without toxic or without clean rows no token gets a score and every text
+    Two thirds of them give the token scores, by the distinct texts that hold a
+    token; the others, which the scores have not seen, give the chance rate of
+    segments and the calibration. Without toxic or without clean rows no token gets a score and every text
     scores the share of toxic rows, or 0 without any row.
     """
     sample = labelled_sample(docs, labels, "toxic", 5, 0, train_docs)
@@ -228,11 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
             if n_toxic:
                 model.offset = 60.0
             return model
-        seen = token_counts(known).cache()
+        seen = token_counts(distinct_texts(known)).cache()
         total = seen.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
-        telling = token_scores(seen, total["toxic"] or 0, total["clean"] or 0)
+        model.score = token_scores(seen, total["toxic"] or 0, total["clean"] or 0)
         seen.unpersist()
-        model.score = token_scores(context_counts(known, telling), total["toxic"] or 0, total["clean"] or 0)
 
         def make():
             def work(texts: list[str]) -> dict[str, list]:

@@ -511,6 +511,24 @@ def test_toxicity_finds_planted_words(spark):
     assert any(p["start_word"] <= words.index("nasty") <= p["end_word"] for p in found[8][1])
 
 
+def test_toxicity_counts_distinct_documents(spark):
+    rnd = random.Random(7)
+    rows, labels = [], []
+    for i in range(300):
+        words = rnd.choices([f"word{j}" for j in range(200)], k=40)
+        # "vile" always follows "utterly", which clean texts hold as well; "echo" spreads with copies of one text.
+        words[20:22] = ["utterly", "vile"] if i % 3 == 0 else ["utterly", "fine"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    for i in range(300, 500):
+        rows.append((i, "echo of one text"))
+        labels.append((i, 1, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.score[b"vile"] > 1
+    assert b"echo" not in model.score and b"utterly" not in model.score
+
+
 def test_toxicity_of_odd_rows(odd_docs, no_docs, odd_labels):
     model = toxicity.fit(odd_docs, odd_labels)
     scores = [r["score"] for r in toxicity.score_documents(odd_docs, model).collect()]
