@@ -51,8 +51,8 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fingerprint of each row's text as a signed long; null counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep` columns and fp: fingerprint of each row's text as a signed long; null counts as empty."""
 
     def make():
         def work(texts: list[str]) -> dict[str, list]:
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
         return work
 
-    return map_texts(docs, ["doc_id"], "fp long", make)
+    return map_texts(docs, list(keep), "fp long", make)
 
 
 def _mask(positions: tuple[int, ...], width: int) -> int:
@@ -166,6 +166,14 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _placed(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, least, root) of each distinct fingerprint: the root names its component."""
+    roots = components(near_pairs(nodes.select("fp"), max_bits))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id reachable over links of at most `max_bits` bits.
 
@@ -175,11 +183,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """
     prints = write_shared(fingerprints(docs, shingle))
     nodes = write_shared(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_pairs(nodes.select("fp"), max_bits))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    grouped = placed.where(F.col("root").isNotNull())
+    grouped = _placed(nodes, max_bits)
     names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     known = grouped.join(names, "root").select("fp", "component_id")
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
@@ -190,14 +194,29 @@ def hexadecimal(fp: Column | str) -> Column:
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component, all columns unchanged: the row with the smallest id.
+    """One row of each component, all columns unchanged: the row with the smallest id, of those the smallest text.
 
-    Ids name documents: of several rows with that id the smallest text stays.
-    Rows without an id cannot be named and stay. Texts are shuffled once, by id.
+    Rows with one id and unlike texts belong to several components; each keeps
+    its own. Rows without an id cannot be named and stay. Texts are shuffled
+    once, by id and digest; only texts that share an id and a component are
+    compared.
     """
-    found = near_duplicates(docs, shingle, max_bits)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = named.withColumn("__row", first).where(F.col("__row") == 1).select(*docs.columns)
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__digest", digest)
+    prints = write_shared(fingerprints(named, shingle, ("doc_id", "__digest")))
+    nodes = write_shared(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    placed = _placed(nodes, max_bits)
+    firsts = placed.groupBy("root").agg(F.min("least").alias("doc_id"))
+    holders = placed.join(firsts, "root").where(F.col("least") == F.col("doc_id")).select("fp", "doc_id", "root")
+    able = write_shared(prints.join(holders, ["fp", "doc_id"]).select("root", "doc_id", "__digest").distinct())
+    counted = able.groupBy("root", "doc_id").agg(F.count("*").alias("n"), F.min("__digest").alias("__digest"))
+    stay = counted.where(F.col("n") == 1).select("doc_id", "__digest")
+    tied = able.join(counted.where(F.col("n") > 1).select("root"), "root")
+    if not tied.isEmpty():
+        least = F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "doc_id", "__digest")).alias("least")
+        decided = named.select("doc_id", "__digest", "text").join(tied, ["doc_id", "__digest"]).groupBy("root").agg(least)
+        stay = stay.unionByName(decided.select("least.doc_id", "least.__digest"))
+    found = named.join(stay.hint("shuffle_hash"), ["doc_id", "__digest"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy("text"))
+    one = found.withColumn("__row", first).where(F.col("__row") == 1).select(*docs.columns)
     return one.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -323,6 +323,16 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_first(no_docs).count() == 0
 
 
+def test_keep_first_of_repeated_ids(spark):
+    a, b = "one two three four five six", "red green blue black white grey"
+    rows = [(3, a), (5, a), (5, b), (9, b), (7, b.upper()), (11, "Un deux trois"), (11, "un deux trois"), (11, "un deux trois")]
+    rows += [(None, a), (12, None), (12, "")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((i, t or "") for i, t in kept), key=repr) == sorted(
+        [(3, a), (5, b), (11, "Un deux trois"), (None, a), (12, "")], key=repr
+    )
+
+
 # --- quality ---------------------------------------------------------------------
 
 
