@@ -7,16 +7,17 @@ line is good, weighted by the length of the lines.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .common import blocks, filter_texts, labelled_sample, map_texts
 
-#: Bounds of the labelled sample: documents, and lines of a document in it.
+#: Bounds of the labelled sample: documents, and lines of a run that stands for a longer document.
 TRAIN_DOCS = 4000
 TRAIN_LINES = 400
 STEPS = 200
@@ -29,12 +30,18 @@ PROSE = b"abcdefghijklmnopqrstuvwxyz .,;:'\"?-()\t\r" + UPPER + DIGITS + bytes(r
 FEATURES = 15
 
 
-def line_features(text: str) -> tuple[list[list[float]], list[int]]:
-    """Features and lengths in bytes (at least 1) of all lines; an empty text is one empty line."""
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+def line_features(text: str, most: int | None = None) -> tuple[list[list[float]], list[int]]:
+    """Features and lengths in bytes (at least 1) of all lines; an empty text is one empty line.
+
+    Of more than `most` lines a run of so many that a hash of the text chooses;
+    repeated, first and last lines are those of the whole text.
+    """
+    data = text.encode("utf-8", "surrogatepass")
+    lines = data.split(b"\n")
     seen = Counter(lines)
     rows, sizes, end = [], [], len(lines) - 1
-    for i, line in enumerate(lines):
+    at = zlib.crc32(data) % (len(lines) - most + 1) if most and len(lines) > most else 0
+    for i, line in enumerate(lines[at:at + most] if most else lines, at):
         n = len(line)
         sizes.append(max(n, 1))
         if not n:
@@ -166,18 +173,17 @@ def train(own: np.ndarray, counts: np.ndarray, y: np.ndarray) -> QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> QualityModel:
     """Learn from at most `train_docs` labelled rows whose crc32(doc_id) mod 5 is not 0.
 
-    Only documents of at most `train_lines` lines are in the sample, so what
-    the driver gathers is bounded by docs x lines x features. Without any row
-    every line is as likely good as bad; with one label only, that label is
-    learned.
+    A document of more than `train_lines` lines is learned from a run of so many
+    lines, drawn by hash from anywhere in it, so what the driver gathers is
+    bounded by docs x lines x features. A null text is one empty line. Without
+    any row every line is as likely good as bad; with one label only, that label
+    is learned.
     """
-    sample = labelled_sample(docs, labels, "quality", 5, 0, train_docs).where(
-        F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < train_lines
-    )
+    sample = labelled_sample(docs, labels, "quality", 5, 0, train_docs)
 
     def make():
         def work(texts: list[str]) -> dict[str, list]:
-            found = [line_features(t)[0] for t in texts]
+            found = [line_features(t, train_lines)[0] for t in texts]
             return {"lines": [len(r) for r in found], "features": [np.array(r, dtype=np.float32).tobytes() for r in found]}
 
         return work

@@ -368,6 +368,29 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs, odd_labels):
     assert quality.score_documents(no_docs, model).count() == 0
 
 
+def test_quality_learns_from_long_documents(spark):
+    rows = [(i, "\n".join(("Plain words end here." if i % 2 else "||| 77 !!! ###") for _ in range(500))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"))
+    scores = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, model).collect()}
+    assert all((scores[i] > 0.5) == bool(i % 2) for i in scores)
+
+
+def test_quality_learns_null_texts_as_one_empty_line(spark):
+    docs = spark.createDataFrame([(1, None)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, quality int"))
+    assert quality.score_documents(docs, model).first()["score"] < 0.5
+
+
+def test_run_of_lines_is_part_of_the_whole():
+    text = "\n".join(f"line {i} {i * i}" for i in range(50))
+    rows, sizes = quality.line_features(text)
+    part, own = quality.line_features(text, 20)
+    at = [a for a in range(31) if rows[a:a + 20] == part]
+    assert at and sizes[at[0]:at[0] + 20] == own
+    assert quality.line_features(text, 50) == (rows, sizes)
+
+
 # --- mixing ----------------------------------------------------------------------
 
 
