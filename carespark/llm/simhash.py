@@ -1,16 +1,15 @@
-"""SimHash near-duplicates by a byte-position inverted index with count filtering.
+"""SimHash near-duplicates by a byte-position inverted index.
 
 Fingerprints within d bits differ in at most d of their 8 bytes, so they share
 at least 8 - d positional bytes. Postings are keyed by that many positional
-bytes at once: a pair meets in C(s, 8 - d) lists when it shares s bytes, so the
-number of lists is its tally, and lists stay as short as the guaranteed
-minimum allows. Pairs are verified by bit distance.
+bytes at once, so every pair that meets in a list shares enough of them: the
+choice of keys replaces a filter by the count of shared bytes, and lists stay as
+short as the guaranteed minimum allows. Pairs are verified by bit distance.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import xxhash
@@ -69,15 +68,6 @@ def _mask(positions: tuple[int, ...], width: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _shared(width: int) -> Column:
-    """Equal positional bytes (or half bytes) of fingerprints a and b."""
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    part = (1 << width) - 1
-    return sum(
-        (F.shiftrightunsigned(x, width * p).bitwiseAND(F.lit(part)) == 0).cast("int") for p in range(64 // width)
-    )
-
-
 def _lists(posted: DataFrame, keys: list[str], most: int | None) -> tuple[DataFrame, DataFrame | None]:
     """Posting lists of two to `most` fingerprints, and the rows of longer ones."""
     lists = posted.groupBy(*keys).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
@@ -109,9 +99,6 @@ def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, most: int = LIST)
     key = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(s, 8))).alias("bytes")) for i, s in enumerate(sets)]
     posted = distinct.select("fp", F.explode(F.array(*key)).alias("k")).select("fp", "k.part", "k.bytes")
     short, long = _lists(posted, ["part", "bytes"], most)
-    # The lists that a pair meets in tell its shared bytes: C(s, need) of them for s bytes.
-    tally = _pairs(short).groupBy("a", "b").agg(F.count("*").alias("lists"))
-    found = tally.where(F.col("lists") >= comb(need, need)).where(_shared(8) >= need).select("a", "b")
     fine = []
     for i, s in enumerate(sets):
         rest = [h for p in range(8) if p not in s for h in (2 * p, 2 * p + 1)]
@@ -128,9 +115,8 @@ def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, most: int = LIST)
         .select("fp", "part", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"))
     )
     finer, _ = _lists(split, ["part", "sub", "bytes"], None)
-    divided = _pairs(finer).where(_shared(4) >= 16 - max_bits)
     return (
-        found.unionByName(divided)
+        _pairs(short).unionByName(_pairs(finer))
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
         .distinct()
     )
