@@ -195,11 +195,11 @@ ORACLE = {
             select k + 1, (
                 select greatest(early.e, least(
                     list_max(list_filter(list_concat([0], ends), lambda v: v <= place + c)),
-                    case when coalesce(after - share < share - here, false) then after else here end))
+                    case when coalesce(after - share < share - here or here <= place, false) and after is not null then after else here end))
                 from (
-                    select share, list_max(list_filter(list_concat([0], ends), lambda v: v <= share)) as here,
+                    select place, share, list_max(list_filter(list_concat([0], ends), lambda v: v <= share)) as here,
                         list_min(list_filter(ends, lambda v: v > share)) as after
-                    from (select place + (total - place) // (16 - k) as share)
+                    from (select place, place + (total - place) // (16 - k) as share)
                 ), early where early.k = walk.k + 1
             )
             from walk, a, capacity where k < 15

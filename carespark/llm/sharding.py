@@ -23,6 +23,8 @@ from .common import write_shared
 SHARDS = 16
 #: Cells of a grid of group ends; a check holds at most two ends a cell.
 CELLS = 1 << 13
+#: Cells of a window for each shard, at least: what the rounds leave open is under 3 cells a shard, so windows shrink.
+WINDOW_CELLS = 12
 #: Runs of digests whose bytes are added up first: the leading 12 bits.
 BUCKETS = 1 << 12
 #: Halvings that bring any range of long integers down to one value.
@@ -86,8 +88,8 @@ def _points(ends: DataFrame, windows: list[tuple[int, int]], cells: int) -> Data
     return found.select(F.explode(F.when(F.col("n") > 1, both).otherwise(F.slice(both, 2, 1))).alias("p")).select("p.*")
 
 
-def _refined(ends: DataFrame, known: DataFrame, windows: list[tuple[int, int]], cells: int) -> DataFrame:
-    """Points with a finer grid in the windows."""
+def _refined(ends: DataFrame, known: DataFrame, windows: list[tuple[int, int]], cells: int, least: int) -> DataFrame:
+    """Points with a finer grid in the windows, of at least `least` cells each."""
     apart: list[tuple[int, int]] = []
     for a, b in sorted(windows):
         if apart and a <= apart[-1][1]:
@@ -95,7 +97,7 @@ def _refined(ends: DataFrame, known: DataFrame, windows: list[tuple[int, int]],
         else:
             apart.append((a, b))
     inside = reduce(Column.__or__, [F.col("end").between(a, b - 1) for a, b in apart])
-    return write_shared(known.where(~inside | (F.col("end") == 0)).unionByName(_points(ends, apart, cells)))
+    return write_shared(known.where(~inside | (F.col("end") == 0)).unionByName(_points(ends, apart, max(cells, least * len(apart)))))
 
 
 def _place(points: Column, x: Column) -> Column:
@@ -161,8 +163,8 @@ def _earliest(points: Column, capacity: Column, total: Column, shards: int) -> C
 def _level_cuts(points: Column, earliest: Column, capacity: Column, total: Column, shards: int) -> Column:
     """Ends of all runs but the last, none above the capacity.
 
-    A run ends as near to an even share of what is left as the capacity and
-    the room that the later runs need allow.
+    A run takes a group at least and ends as near to an even share of what is
+    left as the capacity and the room that the later runs need allow.
     """
 
     def cut(path: Column, k: Column) -> Column:
@@ -171,7 +173,7 @@ def _level_cuts(points: Column, earliest: Column, capacity: Column, total: Colum
 
         def nearest(i: Column) -> Column:
             here, after = F.get(points, i)["end"], F.get(points, i + 1)["end"]
-            return F.when(after - share < share - here, after).otherwise(here)
+            return F.when((after - share < share - here) | ((here <= start) & after.isNotNull()), after).otherwise(here)
 
         even = F.least(_let(_place(points, share), nearest), _reach(points, start, capacity, False))
         return F.concat(path, F.array(F.greatest(even, F.get(earliest, k - 1))))
@@ -232,7 +234,7 @@ def minimax_cuts(ends: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> C
         low, high = found["low"], found["high"]
         if high - low <= 1:
             break
-        known = _refined(ends, known, [(w["from"], w["to"]) for w in found["windows"] if w["open"]], cells)
+        known = _refined(ends, known, [(w["from"], w["to"]) for w in found["windows"] if w["open"]], cells, WINDOW_CELLS * shards)
     return Cuts(high, _leveled(ends, known, F.lit(high).cast("long"), total, shards, cells) if shards > 1 else [])
 
 
@@ -260,7 +262,7 @@ def _leveled(ends: DataFrame, known: DataFrame, capacity: Column, total: Column,
         found = cut.select("cuts", F.filter(F.transform(asked, gap), lambda g: g["open"]).alias("gaps")).first()
         if not found["gaps"]:
             break
-        known = _refined(ends, known, [(g["from"], g["to"]) for g in found["gaps"]], cells)
+        known = _refined(ends, known, [(g["from"], g["to"]) for g in found["gaps"]], cells, WINDOW_CELLS)
     cuts = found["cuts"]
     last = {r["end"]: bytes(r["digest"]) for r in ends.where(F.col("end").isin(cuts)).select("end", "digest").collect()}
     return [last.get(c, b"") for c in cuts]
