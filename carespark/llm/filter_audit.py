@@ -13,6 +13,7 @@ from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import write_shared
 from .sharding import text_digest
 
 FILTERS = "ABCDE"
@@ -55,7 +56,7 @@ def masks(docs: DataFrame) -> DataFrame:
     seen = docs.select(
         "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text_digest().alias("digest"), bits.alias("bits")
     )
-    counted = seen.groupBy("doc_id", "digest", "part", "bits").agg(F.count("*").alias("n"))
+    counted = write_shared(seen.groupBy("doc_id", "digest", "part", "bits").agg(F.count("*").alias("n")))  # texts are read once
     firsts = counted.where(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     marked = counted.join(firsts.withColumn("first", F.lit(True)), ["digest", "doc_id"], "left")
     copy = F.col("doc_id").isNotNull() & F.col("first").isNull()
