@@ -12,6 +12,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,8 +28,8 @@ END_ID = 1
 BLOCK_TOKENS = 4 << 20
 #: Cost of a token, and of a pair of tokens of the same piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
-#: Words whose ids a worker keeps; then it starts anew.
-MEMORY = 700_000
+#: Bytes of words and ids that a task remembers; then it starts anew. Size of an entry besides its characters.
+MEMORY, ENTRY = 64 << 20, 190
 END = END_ID.to_bytes(4, "little")
 
 # The tokenizer's own word pattern, for Latin-1 text in lower case.
@@ -42,17 +43,39 @@ def _bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> Tokenizer:
+    """The tokenizer itself stays with the worker: its size is fixed."""
+    return Tokenizer.from_file(path)
+
+
+class Budget:
+    """Bytes that several memories share; when they are spent, all start anew."""
+
+    def __init__(self, total: int):
+        self.total = self.left = total
+        self.memories: list[Memo] = []
+
+    def spend(self, size: int) -> None:
+        self.left -= size
+        if self.left < 0:
+            for m in self.memories:
+                m.clear()
+            self.left = self.total - size
+
+
 class Memo(dict):
-    """Ids, as little-endian bytes, of each word asked for so far."""
+    """Ids, as little-endian bytes, of the words asked for so far."""
 
-    def __init__(self, find):
+    def __init__(self, find, budget: Budget):
         super().__init__()
-        self.find = find
+        self.find, self.budget = find, budget
+        budget.memories.append(self)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        ids = self[word] = self.find(word)
+        ids = self.find(word)
+        self.budget.spend(len(word) + len(ids) + ENTRY)
+        self[word] = ids
         return ids
 
 
@@ -64,8 +87,8 @@ class WordEncoder:
     texts with strings of special tokens, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
-        self.whole = Tokenizer.from_file(path)
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.whole = tokenizer_of(path)
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # also characters that only Python takes for white space
         self.odd = re.compile("[\x1c-\x1f]|" + "|".join(map(re.escape, special)), re.IGNORECASE).search
@@ -73,9 +96,10 @@ class WordEncoder:
         others = [b for b in range(256) if b not in printable]
         chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.byte_chars = [chars[b] for b in range(256)]
-        pieces = Memo(self._piece)
+        budget = Budget(memory)
+        pieces = Memo(self._piece, budget)
         self.words = Memo(
-            lambda word: self._piece(word) if word.isalpha() else b"".join(map(pieces.__getitem__, PIECES.findall(word)))
+            lambda word: self._piece(word) if word.isalpha() else b"".join(map(pieces.__getitem__, PIECES.findall(word))), budget
         )
 
     def _piece(self, piece: str) -> bytes:
@@ -94,14 +118,9 @@ class WordEncoder:
         return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker and file, so words are remembered between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """An encoder for one task: what it remembers goes with the task."""
+    return WordEncoder(path)
 
 
 def capacities(total: int, sequence: int = SEQUENCE) -> list[int]:
