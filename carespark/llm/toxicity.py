@@ -1,8 +1,8 @@
 """Toxic passages: maximum-scoring segments of token log-odds.
 
-Tokens get log-odds of toxic against clean documents under an informative
-Dirichlet prior, lowered by their uncertainty. All maximal scoring segments of
-a text come from one linear scan (Ruzzo and Tompa). Extreme-value statistics
+Tokens get log-odds of toxic against clean documents under a Dirichlet prior,
+shrunken by their uncertainty. All maximal scoring segments of a text come
+from one linear scan (Ruzzo and Tompa). Extreme-value statistics
 (Karlin and Altschul) turn the best segment into the number of clean passages
 as good that a text of this length would hold by chance.
 """
@@ -18,21 +18,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filter_texts, labelled_sample, map_texts
+from .common import filter_texts, labelled_sample, map_texts, write_shared
 from .licenses import WORD_BYTES
 
-#: Bound of the labelled sample that the model is fitted on.
+#: Bound of the labelled sample that the model is fitted on: documents.
 TRAIN_DOCS = 20_000
-#: Bound of the tokens that the model holds.
-VOCABULARY = 1 << 16
-#: Prior weight as a share of a token's own document count.
-PRIOR = 0.1
-#: Standard errors by which log-odds are pulled towards zero.
-CAUTION = 2.0
-#: Log-odds that a token must keep after that to count at all.
-TELLING = 1.0
-#: Score of tokens that tell nothing: a passage ends after a few of them.
-DRIFT = -0.25
+#: Bytes of token scores that a model may hold; the sample bounds them, a larger model is an error.
+MODEL_BYTES = 256 << 20
+#: Prior documents of each token, shared by the two classes as all tokens are.
+PRIOR = 1.0
+#: Standard errors by which log-odds are pulled towards zero; those that cross it count as nothing.
+CAUTION = 1.5
+#: Cost of every token: a passage ends after a few that tell nothing.
+DRIFT = -1.0
+#: Parts of the sample; each is scored with what the others teach when segments are calibrated.
+FOLDS = 3
 #: Largest surprise that counts: beyond it a passage is never chance.
 CERTAIN = 20.0
 #: Chance passages a text may hold for a reported passage to count as significant.
@@ -84,7 +84,7 @@ class ToxicityModel:
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         words = tokens(text)
-        marked = [(i, s) for i, s in enumerate(map(self.score.get, words)) if s is not None]
+        marked = [(i, s + DRIFT) for i, s in enumerate(map(self.score.get, words)) if s is not None]
         return len(words), maximal_segments(marked, DRIFT)
 
     def surprise(self, n: int, best: float) -> float:
@@ -108,62 +108,59 @@ class ToxicityModel:
 
 
 def token_counts(sample: DataFrame) -> DataFrame:
-    """(token, toxic, clean): documents with the token. Each task adds up its own first."""
+    """(token, fold, toxic, clean): documents of (text, y, fold) with the token. Each task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
+        counts: dict[tuple[int, bool], Counter] = {}
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[y > 0].update(set(tokens(text or "")))
-        words = list(counts[0].keys() | counts[1].keys())
-        for a in range(0, len(words), 50_000):
-            part = words[a:a + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(part, pa.binary()),
-                    pa.array([counts[1][w] for w in part], pa.int64()),
-                    pa.array([counts[0][w] for w in part], pa.int64()),
-                ],
-                names=["token", "toxic", "clean"],
-            )
+            for text, y, fold in zip(*(c.to_pylist() for c in batch.columns)):
+                counts.setdefault((fold, y > 0), Counter()).update(set(tokens(text or "")))
+        for (fold, bad), own in counts.items():
+            words = list(own)
+            for a in range(0, len(words), 50_000):
+                part = words[a:a + 50_000]
+                n, none = pa.array([own[w] for w in part], pa.int64()), pa.array([0] * len(part), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.binary()), pa.array([fold] * len(part), pa.int32()), n if bad else none, none if bad else n],
+                    names=["token", "fold", "toxic", "clean"],
+                )
 
     return (
-        sample.select("text", "y")
-        .mapInArrow(run, "token binary, toxic long, clean long")
-        .groupBy("token")
+        sample.select("text", "y", "fold")
+        .mapInArrow(run, "token binary, fold int, toxic long, clean long")
+        .groupBy("token", "fold")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
 
 
-def distinct_texts(sample: DataFrame) -> DataFrame:
-    """(text, y): each distinct text once for each label it has, so exact copies count as one document."""
-    return sample.select(F.coalesce("text", F.lit("")).alias("text"), (F.col("y") > 0).cast("int").alias("y")).distinct()
+def token_scores(counts: DataFrame) -> dict[bytes, float]:
+    """Log-odds of each token under a Dirichlet prior, shrunken by their uncertainty; those that tell nothing are left out.
 
-
-def token_scores(counts: DataFrame, n_toxic: int, n_clean: int, vocabulary: int = VOCABULARY) -> dict[bytes, float]:
-    """Cautious log-odds of the `vocabulary` most telling tokens.
-
-    `n_toxic` and `n_clean` are the counts of all tokens together, so longer
-    documents of one class do not raise every token.
+    The totals are the counts of all tokens together, so longer documents of
+    one class do not raise every token. No token that tells is dropped.
     """
-    prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean"))
-    size = PRIOR * (n_toxic + n_clean)
-
-    def log_odds(seen, n):
-        a = seen + prior
-        return F.log(a / (F.lit(n + size + 1.0) - a))
-
+    seen = counts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    total = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+    toxic, clean = total["toxic"] or 0, total["clean"] or 0
+    if not toxic or not clean:
+        return {}
+    share = toxic / (toxic + clean)
+
+    def mass(seen_in: str, part: float):
+        return F.col(seen_in) + F.lit(PRIOR * part)
+
+    bad, good = mass("toxic", share), mass("clean", 1 - share)
+    odds = F.log(bad / (F.lit(toxic + PRIOR) - bad)) - F.log(good / (F.lit(clean + PRIOR) - good))
     rows = (
-        counts.withColumn("odds", log_odds(F.col("toxic"), n_toxic) - log_odds(F.col("clean"), n_clean))
-        .withColumn("error", F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
-        .withColumn("score", F.col("odds") - F.signum("odds") * CAUTION * F.col("error"))
-        .where((F.signum("odds") == F.signum("score")) & (F.abs("score") >= TELLING))
-        .orderBy(F.desc(F.abs("score")), "token")
-        .limit(vocabulary)
-        .select("token", "score")
-        .toArrow()
+        seen.select("token", odds.alias("odds"), (F.lit(CAUTION) * F.sqrt(1 / bad + 1 / good)).alias("doubt"))
+        .where(F.abs("odds") > F.col("doubt"))
+        .select("token", (F.col("odds") - F.signum("odds") * F.col("doubt")).alias("score"))
     )
-    return dict(zip((bytes(t) for t in rows["token"].to_pylist()), rows["score"].to_pylist()))
+    size = rows.agg(F.sum(F.octet_length("token") + F.lit(120))).first()[0] or 0
+    if size > MODEL_BYTES:
+        raise ValueError(f"token scores would take {size} bytes, more than {MODEL_BYTES}; use a smaller sample")
+    found = rows.toArrow()
+    return dict(zip((bytes(t) for t in found["token"].to_pylist()), found["score"].to_pylist()))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -183,45 +180,52 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> ToxicityModel:
     """Learn from at most `train_docs` labelled rows whose crc32(doc_id) mod 5 is not 0.
 
-    Two thirds of them give the token scores, by the distinct texts that hold a
-    token; the others, which the scores have not seen, give the chance rate of
-    segments and the calibration. Without toxic or without clean rows no token gets a score and every text
-    scores the share of toxic rows, or 0 without any row.
+    A distinct text counts once for each label it has, so exact copies are one
+    document. Tokens are scored over the whole sample. The chance rate of
+    segments and the calibration come from segments that each part of the
+    sample shows under scores learned from the other parts; equal texts are in
+    one part. Without toxic or without clean rows no token gets a score and
+    every text scores the share of toxic rows, or 0 without any row.
     """
-    sample = labelled_sample(docs, labels, "toxic", 5, 0, train_docs)
-    sample = sample.withColumn("fresh", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(3)) == 0).cache()
-    known, fresh = sample.where(~F.col("fresh")), sample.where("fresh")
-    try:
-        n = {r["t"]: r["n"] for r in known.groupBy((F.col("y") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
-        n_toxic, n_clean = n.get(True, 0), n.get(False, 0)
-        model = ToxicityModel({}, 1.0, 1.0, 0.0, -60.0)
-        if not n_toxic or not n_clean:
-            if n_toxic:
-                model.offset = 60.0
-            return model
-        seen = token_counts(distinct_texts(known)).cache()
-        total = seen.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
-        model.score = token_scores(seen, total["toxic"] or 0, total["clean"] or 0)
-        seen.unpersist()
-
-        def make():
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = write_shared(
+        labelled_sample(docs, labels, "toxic", 5, 0, train_docs).select(
+            "text", (F.col("y") > 0).cast("int").alias("y"), digest.alias("digest"), F.monotonically_increasing_id().alias("row")
+        )
+    )
+    # texts stay where they are: only digests are shuffled, of at most `train_docs` documents
+    firsts = rows.groupBy("digest", "y").agg(F.min("row").alias("row")).select("row")
+    fold = F.pmod(F.xxhash64("digest"), F.lit(FOLDS)).cast("int")
+    sample = rows.join(F.broadcast(firsts), "row", "left_semi").select("text", "y", fold.alias("fold"))
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    model = ToxicityModel({}, 1.0, 1.0, 0.0, -60.0)
+    if not n.get(1) or not n.get(0):
+        if n.get(1):
+            model.offset = 60.0
+        return model
+    seen = write_shared(token_counts(sample))
+    model.score = token_scores(seen)
+    n_scored, y, found = [], [], []
+    for part in range(FOLDS):
+        others = ToxicityModel(token_scores(seen.where(F.col("fold") != part)), 1.0, 1.0, 0.0, 0.0)
+
+        def make(others=others):
             def work(texts: list[str]) -> dict[str, list]:
-                found = [model.segments(t) for t in texts]
-                return {"n": [a for a, _ in found], "scores": [[s for _, _, s in b] for _, b in found]}
+                own = [others.segments(t) for t in texts]
+                return {"n": [a for a, _ in own], "scores": [[s for _, _, s in b] for _, b in own]}
 
             return work
 
-        judged = map_texts(fresh, ["y"], "n long, scores array<double>", make).toArrow()
-    finally:
-        sample.unpersist()
-    y = np.array([v > 0 for v in judged["y"].to_pylist()], dtype=float)
-    size, scores = judged["n"].to_pylist(), judged["scores"].to_pylist()
-    chance = [s for v, own in zip(y, scores) if not v for s in own]
+        judged = map_texts(rows.withColumn("fold", fold).where(F.col("fold") == part), ["y"], "n long, scores array<double>", make).toArrow()
+        y += judged["y"].to_pylist()
+        n_scored += judged["n"].to_pylist()
+        found += judged["scores"].to_pylist()
+    chance = [s for v, own in zip(y, found) if not v for s in own]
     # Segments of clean texts come at rate k per token and thin out with exp(-lam s).
-    model.k = (len(chance) + 1) / (sum(m for v, m in zip(y, size) if not v) + 1)
+    model.k = (len(chance) + 1) / (sum(m for v, m in zip(y, n_scored) if not v) + 1)
     model.lam = (len(chance) + 1) / (sum(chance) + 1)
-    x = np.array([model.best(m, own) for m, own in zip(size, scores)])
-    model.slope, model.offset = _calibrate(x, y)
+    x = np.array([model.best(m, own) for m, own in zip(n_scored, found)])
+    model.slope, model.offset = _calibrate(x, np.array(y, dtype=float))
     return model
 
 
