@@ -83,10 +83,11 @@ def base_places(text: str) -> list[tuple[int, str]]:
     """(word index, label) of every exact phrase in a normalised text."""
     if "license" not in text:
         return []
-    found = []
-    for _, label, pattern in _phrases():
-        found += [(text.count(" ", 0, m.start()), label) for m in pattern.finditer(text)]
-    return sorted(found)
+    found, word, at = [], 0, 0
+    for start, label in sorted((m.start(), label) for _, label, pattern in _phrases() for m in pattern.finditer(text)):
+        word, at = word + text.count(" ", at, start), start
+        found.append((word, label))
+    return found
 
 
 def notice_spans(text: str, notices=NOTICES) -> list[tuple[int, int, int, int]]:

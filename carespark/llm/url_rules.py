@@ -43,11 +43,16 @@ def reversed_labels(host: Column) -> Column:
     return F.reverse(F.split(host, r"\."))
 
 
-def url_keys(urls: DataFrame) -> DataFrame:
-    """One row per url and parent domain, the host itself included: (host, path, key)."""
-    labels = reversed_labels(F.col("host"))
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: canonical(F.slice(labels, 1, n), F.col("path")))
-    return urls.select("host", "path", F.explode(parents).alias("key"))
+def url_keys(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per url and parent domain of as many labels as some rule's host has: (host, path, key).
+
+    The numbers of labels travel as one broadcast row; a host of any length
+    makes no more keys than there are such numbers.
+    """
+    counts = rules.agg(F.collect_set(F.size(reversed_labels(F.col("host")))).alias("counts"))
+    labelled = urls.select("host", "path", reversed_labels(F.col("host")).alias("labels")).crossJoin(F.broadcast(counts))
+    own = F.filter("counts", lambda n: n <= F.size("labels"))
+    return labelled.select("host", "path", F.explode(F.transform(own, lambda n: canonical(F.slice("labels", 1, n), F.col("path")))).alias("key"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -67,7 +72,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     counted = split.groupBy("page_id", "host", "path").agg(F.count("*").alias("n"))
     distinct = counted.select("host", "path").distinct()
     keys = write_shared(
-        url_keys(distinct).repartitionByRange("key", "host", "path").withColumn("part", F.spark_partition_id())
+        url_keys(distinct, rules).repartitionByRange("key", "host", "path").withColumn("part", F.spark_partition_id())
     )
     spans = keys.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     known = rules.groupBy(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path")).agg(
