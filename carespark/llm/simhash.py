@@ -1,15 +1,16 @@
 """SimHash near-duplicates by a byte-position inverted index.
 
 Fingerprints within d bits differ in at most d of their 8 bytes, so they share
-at least 8 - d positional bytes. Postings are keyed by that many positional
-bytes at once, so every pair that meets in a list shares enough of them: the
-choice of keys replaces a filter by the count of shared bytes, and lists stay as
-short as the guaranteed minimum allows. Pairs are verified by bit distance.
+at least 8 - d positional bytes. Postings are keyed by 7 - d positional bytes at
+once, which keeps lists short; a pair that shares the guaranteed minimum of bytes
+meets in 8 - d lists or more. Meetings are tallied per pair, pairs below that
+count go, and what is left is verified by bit distance.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import xxhash
@@ -77,48 +78,49 @@ def _lists(posted: DataFrame, keys: list[str], most: int | None) -> tuple[DataFr
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
-    """Ordered pairs (a < b) of each list."""
+    """Ordered pairs (a < b) of each list, with its `part`."""
     return (
-        lists.select("fps", F.explode("fps").alias("a"))
-        .select("a", F.explode(F.filter("fps", lambda b: b > F.col("a"))).alias("b"))
+        lists.select("part", "fps", F.explode("fps").alias("a"))
+        .select("part", "a", F.explode(F.filter("fps", lambda b: b > F.col("a"))).alias("b"))
     )
 
 
+def key_sets(max_bits: int) -> tuple[list[tuple[int, ...]], int]:
+    """Byte positions that key the lists, and in how many of these lists a pair within `max_bits` meets at least."""
+    shared = 8 - max_bits
+    width = max(1, shared - 1)
+    return list(combinations(range(8), width)), comb(shared, width)
+
+
 def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, most: int = LIST) -> DataFrame:
     """(a, b) with a < b for all distinct fingerprints `fp` within `max_bits` bits.
 
-    A list holds fingerprints that differ only in `max_bits` bytes: at most
-    2^(8 max_bits), and far fewer in practice. Lists longer than `most` are
-    divided further by the half bytes of those bytes, of which a pair still
-    shares all but `max_bits`; nothing is dropped.
+    Lists longer than `most` are divided by the half bytes outside their key, of
+    which a pair still shares all but `max_bits`; a pair that meets in a finer
+    list has met in the long one, so it is tallied there and nothing is dropped.
     """
     if not 1 <= max_bits <= 4:
         raise ValueError("max_bits must be 1 to 4")
-    need = 8 - max_bits
-    sets = list(combinations(range(8), need))
+    sets, least = key_sets(max_bits)
     key = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(s, 8))).alias("bytes")) for i, s in enumerate(sets)]
     posted = distinct.select("fp", F.explode(F.array(*key)).alias("k")).select("fp", "k.part", "k.bytes")
     short, long = _lists(posted, ["part", "bytes"], most)
-    fine = []
-    for i, s in enumerate(sets):
+    finer_masks = []
+    for s in sets:
         rest = [h for p in range(8) if p not in s for h in (2 * p, 2 * p + 1)]
-        for j, free in enumerate(combinations(rest, max_bits)):
-            mask = _mask(tuple(h for h in range(16) if h not in free), 4)
-            fine.append((i, j, mask))
-    by_part = F.element_at(
-        F.create_map(*[v for i in range(len(sets)) for v in (F.lit(i), F.array(*[F.lit(m) for p, _, m in fine if p == i]))]),
-        F.col("part"),
-    )
+        finer_masks.append([_mask(tuple(h for h in range(16) if h not in free), 4) for free in combinations(rest, max_bits)])
+    by_part = F.get(F.array(*[F.array(*[F.lit(m) for m in own]) for own in finer_masks]), F.col("part"))
     split = (
         long.select("part", F.explode("fps").alias("fp"))
         .select("fp", F.posexplode(by_part).alias("sub", "mask"), "part")
         .select("fp", "part", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"))
     )
     finer, _ = _lists(split, ["part", "sub", "bytes"], None)
+    met = _pairs(short).unionByName(_pairs(finer).distinct())
     return (
-        _pairs(short).unionByName(_pairs(finer))
+        met.groupBy("a", "b").agg(F.count("*").alias("lists")).where(F.col("lists") >= least)
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        .distinct()
+        .select("a", "b")
     )
 
 
