@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.lineage import cut_lineage
 from ..functions.numbers import count_if, exact, mean, plain
 from ..functions.text import any_of, cascade, filled, first_filled
 from ..functions.tiers import (
@@ -694,35 +697,105 @@ def notice_times(times, cooldown: int, last: int | None = None) -> list[int]:
     return chosen
 
 
+def exits(times, start: int, cooldown: int) -> list[tuple[int, int]]:
+    """(upto, exit) of a block of ascending distinct times from `start` on, `upto` ascending.
+
+    Whoever may notify from a time up to `upto` on, and after the `upto` before,
+    sends the block's last notice at `exit`. Only entries within one cooldown
+    of the start can be told apart; walks that meet share their exit, so the table is short.
+    """
+    import numpy as np
+
+    first = min(len(times), int(times.searchsorted(start + cooldown)) + 1)
+    at, after = np.arange(first), times.searchsorted(times + cooldown)
+    while True:
+        following = after[at]
+        moved = np.where(following < len(times), following, at)
+        if (moved == at).all():
+            break
+        at = moved
+    out = times[at]
+    kept = np.append(out[1:] != out[:-1], True)
+    return list(zip(times[:first][kept].tolist(), out[kept].tolist()))
+
+
+#: Cooldowns that make up a time block.
+BLOCK_COOLDOWNS = 16
+
+
 def notify_candidates(
     alerts: DataFrame, cooldown_seconds: int, key: str = "device_id", ts: str = "alert_time"
 ) -> DataFrame:
     """CRITICAL / URGENT rows, at most one per key and rolling cooldown, and the alerts up to the next notice.
 
-    An alert that follows a pause of the cooldown or more is always notified,
-    so the runs between such pauses are independent: a hot key is divided into
-    its runs, and only the times and ids of a run meet in one task.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in alerts.schema}
-    before = F.lag("_at").over(Window.partitionBy(key).orderBy("_at", "alert_id"))
-    upto = Window.partitionBy(key).orderBy("_at", "alert_id").rowsBetween(Window.unboundedPreceding, 0)
-    span = cooldown_seconds * 1_000_000
-    runs = (
-        alerts.where(F.col("alert_tier").isin("CRITICAL", "URGENT"))
-        .select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), "alert_id", "alert_tier")
-        .withColumn("_new", F.coalesce((F.col("_at") - before >= span).cast("int"), F.lit(0)))
-        .withColumn("_run", F.sum("_new").over(upto))
-    )
+    `suppressed_from` counts the alerts from a notice to the next one, itself
+    included. Of alerts at one time the smallest id is notified.
 
-    def notify(rows):
-        rows = rows.sort_values(["_at", "alert_id"]).reset_index(drop=True)
-        chosen = notice_times(rows["_at"].to_numpy(), span)
-        out = rows.loc[chosen, [key, "_at", "alert_id", "alert_tier"]]
-        return out.assign(suppressed_from=[b - a for a, b in zip(chosen, [*chosen[1:], len(rows)])])
+    Alerts are counted per key and time; a key's times are cut into blocks of
+    `BLOCK_COOLDOWNS` cooldowns, each walked on its own. A block is first
+    reduced to a table from the time at which it may notify to its last notice;
+    these few rows are chained per key, and each block is walked again from
+    the time the chain gives it. So a key with a third of all alerts is spread
+    over its blocks, and no window or frame holds its rows.
+    """
+    import numpy as np
+    import pyarrow as pa
 
-    found = runs.groupBy(key, "_run").applyInPandas(
-        notify, f"`{key}` {kinds[key]}, _at long, alert_id {kinds['alert_id']}, alert_tier string, suppressed_from long"
-    )
-    return found.select(
-        key, F.timestamp_micros("_at").cast(kinds[ts]).alias(ts), "alert_id", "alert_tier", "suppressed_from"
+    span = cooldown_seconds * 1_000_000
+    length = span * BLOCK_COOLDOWNS
+    urgent = alerts.where(F.col("alert_tier").isin("CRITICAL", "URGENT")).select(
+        F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), "alert_id", "alert_tier"
+    )
+    block = F.expr(f"(at - pmod(at, {length}L)) div {length}L").alias("block")
+    times = cut_lineage(urgent.groupBy(F.col("key").cast("string").alias("key"), block, "at").agg(F.count("*").alias("n")))
+
+    def summary(table: pa.Table) -> pa.Table:
+        at = np.sort(table["at"].to_numpy())
+        number = table["block"][0].as_py()
+        rows = exits(at, number * length, span)
+        return pa.table({
+            "key": pa.array([table["key"][0].as_py()] * len(rows), pa.string()), "block": pa.array([number] * len(rows), pa.int64()),
+            "upto": pa.array([a for a, _ in rows], pa.int64()), "exit": pa.array([b for _, b in rows], pa.int64()),
+        })
+
+    def chain(table: pa.Table) -> pa.Table:
+        out, last = [], None
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("block", "upto", "exit"))))
+        for number, own in groupby(rows, key=lambda r: r[0]):
+            out.append((number, last))
+            own = list(own)
+            entry = None if last is None else last + span
+            last = next((e for _, upto, e in own if entry is None or upto >= entry), last)
+        return pa.table({
+            "key": pa.array([table["key"][0].as_py()] * len(out), pa.string()),
+            "block": pa.array([b for b, _ in out], pa.int64()), "last": pa.array([e for _, e in out], pa.int64()),
+        })
+
+    def walk(table: pa.Table, entered: pa.Table) -> pa.Table:
+        order = np.argsort(table["at"].to_numpy())
+        at, n = table["at"].to_numpy()[order], table["n"].to_numpy()[order]
+        last = entered["last"][0].as_py()
+        chosen = notice_times(at, span, last)
+        upto = np.concatenate(([0], np.cumsum(n)))
+        rows = [(int(at[a]), int(upto[b] - upto[a])) for a, b in zip(chosen, [*chosen[1:], len(at)])]
+        before = int(upto[chosen[0]] if chosen else upto[-1])
+        if last is not None and before:
+            rows.append((last, before))  # still suppressed by the notice of an earlier block
+        return pa.table({
+            "key": pa.array([table["key"][0].as_py()] * len(rows), pa.string()),
+            "at": pa.array([a for a, _ in rows], pa.int64()), "n": pa.array([c for _, c in rows], pa.int64()),
+        })
+
+    tables = times.groupBy("key", "block").applyInArrow(summary, "key string, block long, upto long, exit long")
+    entries = tables.groupBy("key").applyInArrow(chain, "key string, block long, last long")
+    walked = times.groupBy("key", "block").cogroup(entries.groupBy("key", "block")).applyInArrow(walk, "key string, at long, n long")
+    notices = walked.groupBy("key", "at").agg(F.sum("n").alias("suppressed_from"))
+    # only alerts at the time of a notice
+    least = (
+        urgent.alias("u").join(notices.alias("n"), F.col("u.key").cast("string").eqNullSafe(F.col("n.key")) & (F.col("u.at") == F.col("n.at")))
+        .groupBy("u.key", "u.at", "suppressed_from").agg(F.min(F.struct("alert_id", "alert_tier")).alias("first"))
+    )
+    kinds = {f.name: f.dataType for f in alerts.schema}
+    return least.select(
+        F.col("key").alias(key), F.timestamp_micros("at").cast(kinds[ts]).alias(ts), "first.alert_id", "first.alert_tier", "suppressed_from"
     )

@@ -7,6 +7,7 @@ watermarks; use the RocksDB state store on a cluster.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.numbers import mean
 from ..functions.tiers import pulse_tier, spo2_tier
@@ -83,36 +84,91 @@ def breach_sessions(readings: DataFrame, gap: str = "5 minutes", delay: str = "1
     )
 
 
-def cooldown_notifications(alerts: DataFrame, cooldown_seconds: int, key: str = "device_id") -> DataFrame:
-    """CRITICAL / URGENT alerts, at most one per key and rolling cooldown.
+class Cooldown(StatefulProcessor):
+    """Per key: the last notice, and the times that wait for the watermark, each with its smallest alert.
 
-    Keyed state holds the time of the last notice; each micro-batch is walked in
-    event-time order. The rows of a key within one micro-batch are the unit of
-    work, so bound it with the source's rate options.
+    A timer at a waiting time fires when the watermark has passed it; then all
+    earlier times are known and the walk goes on in event-time order, whatever
+    the order of arrival. A second timer one cooldown after the last notice
+    clears the key: from then on it suppresses nothing, so idle keys leave no state.
     """
-    import pandas as pd
-
-    def notify(keys, batches, state):
-        last = state.get[0] if state.exists else None
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        rows = pd.concat(frames).sort_values(["alert_time", "alert_id"]).reset_index(drop=True)
-        micros = rows["alert_time"].astype("datetime64[us]").astype("int64").to_numpy()
-        chosen = notice_times(micros, cooldown_seconds * 1_000_000, last)
-        if chosen:
-            state.update((int(micros[chosen[-1]]),))
-            yield rows.loc[chosen, ["alert_time", "alert_id", "alert_tier"]].assign(**{key: keys[0]})[
-                [key, "alert_time", "alert_id", "alert_tier"]
-            ]
-
-    chosen = alerts.where(F.col("alert_tier").isin("CRITICAL", "URGENT")).select(
-        key, F.col("alert_time").cast("timestamp").alias("alert_time"), "alert_id", "alert_tier"
+
+    def __init__(self, key: str, cooldown_seconds: int):
+        self.key, self.span = key, cooldown_seconds * 1_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at bigint")
+        self.waiting = handle.getMapState("waiting", "at bigint", "alert_id string, alert_tier string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get()[0] if self.last.exists() else None
+        known = timerValues.getCurrentWatermarkInMs() * 1000 + 999  # all of the watermark's millisecond
+        timer = None
+        for chunk in rows:  # one chunk of rows in memory at a time
+            at = chunk["alert_time"].astype("datetime64[us]").astype("int64")
+            fresh = chunk.assign(at=at)[(at > known) & ((at >= last + self.span) if last is not None else True)]
+            for t, alert, tier in fresh.sort_values(["at", "alert_id"]).drop_duplicates("at")[["at", "alert_id", "alert_tier"]].itertuples(index=False):
+                if not self.waiting.containsKey((t,)) or alert < self.waiting.getValue((t,))[0]:
+                    self.waiting.updateValue((t,), (alert, tier))
+                    timer = t if timer is None else min(timer, t)
+        if timer is not None:
+            self.handle.registerTimer(timer // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import numpy as np
+        import pandas as pd
+
+        known = timerValues.getCurrentWatermarkInMs() * 1000 + 999  # all of the watermark's millisecond
+        last = self.last.get()[0] if self.last.exists() else None
+        times = np.sort(np.fromiter((k[0] for k in self.waiting.keys()), np.int64))
+        ready, later = times[times <= known], times[times > known]
+        sent = [int(ready[i]) for i in notice_times(ready, self.span, last)]
+        told = [(t, *self.waiting.getValue((t,))) for t in sent]
+        last = sent[-1] if sent else last
+        for t in ready.tolist():
+            self.waiting.removeKey((t,))
+        if last is not None and last + self.span <= known:
+            last = None
+            self.last.clear()
+        elif sent:
+            self.last.update((last,))
+        if last is not None:
+            for t in later[later < last + self.span].tolist():  # never to be notified
+                self.waiting.removeKey((t,))
+            later = later[later >= last + self.span]
+            self.handle.registerTimer((last + self.span) // 1000)
+        if len(later):
+            self.handle.registerTimer(int(later[0]) // 1000)
+        if told:
+            yield pd.DataFrame({
+                self.key: [key[0]] * len(told), "alert_time": pd.to_datetime([t for t, _, _ in told], unit="us"),
+                "alert_id": [a for _, a, _ in told], "alert_tier": [b for _, _, b in told],
+            })
+
+    def close(self) -> None:
+        pass
+
+
+def cooldown_notifications(alerts: DataFrame, cooldown_seconds: int, key: str = "device_id", delay: str = "0 seconds") -> DataFrame:
+    """CRITICAL / URGENT alerts, at most one per key and rolling cooldown, in event-time order.
+
+    An alert is decided once the watermark has passed it, `delay` behind the
+    newest alert; rows that come later than that are left out. The session gets
+    the RocksDB state store, which keyed state with timers needs.
+    """
+    spark = alerts.sparkSession
+    for name, value in ROCKSDB.items():
+        spark.conf.set(name, value)
+    kind = alerts.schema[key].dataType.simpleString()
+    chosen = watermarked(
+        alerts.where(F.col("alert_tier").isin("CRITICAL", "URGENT")).select(key, F.col("alert_time").cast("timestamp").alias("alert_time"), "alert_id", "alert_tier"),
+        "alert_time", delay,
     )
-    return chosen.groupBy(key).applyInPandasWithState(
-        notify,
-        outputStructType=f"{key} string, alert_time timestamp, alert_id string, alert_tier string",
-        stateStructType="last_micros bigint",
+    return chosen.groupBy(key).transformWithStateInPandas(
+        Cooldown(key, cooldown_seconds),
+        outputStructType=f"{key} {kind}, alert_time timestamp, alert_id string, alert_tier string",
         outputMode="append",
-        timeoutConf="NoTimeout",
+        timeMode="eventTime",
     )

@@ -1,5 +1,6 @@
 """Streams over bounded input equal their batch twins; late rows are counted."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -101,6 +102,56 @@ def test_batch_cooldown_rolls(spark):
     assert got == [("a00", 2), ("a03", 2), ("a05", 2)]
 
 
+def brute_notices(rows, seconds):
+    """{key: [(alert_id, alerts up to the next notice)]} by one walk per key."""
+    out = {}
+    for key in {r[2] for r in rows}:
+        own = sorted((r[1], r[0]) for r in rows if r[2] == key and r[3] in ("CRITICAL", "URGENT"))
+        last = None
+        for t, alert in own:
+            if last is None or (t - last).total_seconds() >= seconds:
+                out.setdefault(key, []).append([alert, 0])
+                last = t
+            out[key][-1][1] += 1
+    return out
+
+
+@pytest.mark.parametrize("seconds", [600, 3600])
+def test_cooldown_in_blocks_equals_one_walk(spark, seconds):
+    pick = random.Random(seconds)
+    rows = [
+        (f"a{i:05d}", T0 + timedelta(seconds=pick.choice([1, 60, 599, 600]) * pick.randrange(4000)), pick.choice(["hot", "hot", "D1", None]), pick.choice(["CRITICAL", "URGENT", "WARNING"]))
+        for i in range(4000)
+    ]
+    # an endless run without a pause
+    rows += [(f"b{i:05d}", T0 + timedelta(seconds=97 * i), "endless", "URGENT") for i in range(6000)]
+    df = spark.createDataFrame(rows, "alert_id string, alert_time timestamp, device_id string, alert_tier string")
+    got = {}
+    for r in notify_candidates(df, seconds).orderBy("alert_time").collect():
+        got.setdefault(r.device_id, []).append([r.alert_id, r.suppressed_from])
+    assert got == brute_notices(rows, seconds)
+
+
+def test_cooldown_stream_equals_batch_and_forgets_idle_keys(spark, tmp_path):
+    pick = random.Random(4)
+    rows = [(f"a{i:04d}", T0 + timedelta(seconds=30 * i + pick.randrange(600)), f"D{i % 3}" if i < 300 else "D9", "URGENT") for i in range(600)]
+    parts = [rows[a:a + 150] for a in range(0, 600, 150)]
+    closing = [("z", T0 + timedelta(days=2), "close", "CRITICAL")]
+    for p in (*parts, closing):
+        spark.createDataFrame(p, "alert_id string, alert_time timestamp, device_id string, alert_tier string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = finish(live.cooldown_notifications(src, 1800, delay="20 minutes"), tmp_path)
+    found = {}
+    for r in got.orderBy("alert_time").collect():
+        found.setdefault(r.device_id, []).append(r.alert_id)
+    assert found == {k: [a for a, _ in v] for k, v in brute_notices(rows, 1800).items()}
+    left = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "c"))
+    assert {r.key.device_id for r in left.collect()} == {"close"}  # the watermark has not reached it
+    last = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "c"))
+    assert last.count() == 0
+
+
 def test_upsert_table_touches_only_its_buckets(spark, tmp_path, rows):
     table = sinks.UpsertTable(str(tmp_path / "t"), ["k"], buckets=4)
     make = lambda data: spark.createDataFrame(data, "k string, last_updated int, v string")
