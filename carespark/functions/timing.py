@@ -23,8 +23,14 @@ def back(as_of, *, days: int = 0, hours: int = 0, minutes: int = 0, seconds: int
 
 
 def recent(df: DataFrame, ts: str, as_of, **span: int) -> DataFrame:
-    """Rows strictly newer than `as_of - span`; the bound reaches the scan."""
-    return df.where(F.col(ts) > back(as_of, **span))
+    """Rows strictly newer than `as_of - span`; the bound reaches the scan.
+
+    Where the rows have a `day` of their time, as history tables do, earlier
+    day partitions are not read.
+    """
+    since = back(as_of, **span)
+    rows = df.where(F.col(ts) > since)
+    return rows.where(F.col("day") >= F.to_date(since)) if dict(df.dtypes).get("day") == "date" else rows
 
 
 def seconds_between(later, earlier) -> Column:

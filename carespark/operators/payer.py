@@ -38,6 +38,51 @@ def provider_window_stats(claims: DataFrame, as_of, window_minutes: int = 60) ->
     )
 
 
+def provider_partials(claims: DataFrame) -> DataFrame:
+    """Mergeable aggregates per provider: counts, sums and sums of squares in cents, extremes.
+
+    Sums are exact decimals, so the order in which parts are merged is without effect.
+    """
+    cents = (F.col("claim_amount").cast("decimal(18,2)") * 100).cast("decimal(18,0)")
+    return claims.where(F.col("event_type") == "CLAIM_SUBMITTED").groupBy("provider_id").agg(
+        F.count("*").alias("claims"),
+        F.count(cents).alias("amounts"),
+        F.sum(cents).cast("decimal(38,0)").alias("cents"),
+        F.sum((cents * cents).cast("decimal(36,0)")).cast("decimal(38,0)").alias("cents_squared"),
+        F.min(cents).cast("decimal(38,0)").alias("least"),
+        F.max(cents).cast("decimal(38,0)").alias("most"),
+        count_if(F.col("procedure_code") == UPCODED).alias("upcoded"),
+        F.min("event_timestamp").alias("first_claim"),
+        F.max("event_timestamp").alias("last_claim"),
+    )
+
+
+def merge_provider_partials(parts: DataFrame) -> DataFrame:
+    """One row per provider from `provider_partials` of disjoint claims."""
+    added = [F.sum(c).cast(t).alias(c) for c, t in (("claims", "long"), ("amounts", "long"), ("cents", "decimal(38,0)"), ("cents_squared", "decimal(38,0)"), ("upcoded", "long"))]
+    return parts.groupBy("provider_id").agg(
+        *added, F.min("least").alias("least"), F.max("most").alias("most"), F.min("first_claim").alias("first_claim"), F.max("last_claim").alias("last_claim")
+    )
+
+
+def provider_running_stats(merged: DataFrame, window_minutes: float) -> DataFrame:
+    """The columns of `provider_window_stats`, extremes and span, from merged aggregates."""
+    n = F.col("amounts").cast("double")
+    spread = (F.col("amounts").cast("decimal(18,0)") * F.col("cents_squared") - F.col("cents") * F.col("cents")).cast("double")
+    return merged.select(
+        "provider_id",
+        F.col("claims").alias("provider_claims"),
+        (F.col("claims") * F.lit(60.0) / F.lit(float(window_minutes))).alias("claims_per_hour"),
+        F.try_divide(F.col("cents").cast("double"), n * 100).alias("avg_amount"),
+        F.when(F.col("amounts") > 1, F.sqrt(spread / (n * (n - 1))) / 100).alias("stdev_amount"),
+        (F.lit(100.0) * F.col("upcoded") / F.col("claims")).alias("upcode_rate"),
+        (F.col("least").cast("double") / 100).alias("min_amount"),
+        (F.col("most").cast("double") / 100).alias("max_amount"),
+        "first_claim",
+        "last_claim",
+    )
+
+
 def fraud_risk(
     claims: DataFrame,
     as_of,
@@ -50,6 +95,14 @@ def fraud_risk(
     Aggregate-then-join: the joined side has one row per provider, and the
     claims of a hot provider stay splittable (no window over raw claims).
     """
+    stats = provider_window_stats(claims, as_of, window_minutes)
+    return score_claims(submitted(claims, as_of, window_minutes), stats, as_of, velocity, z_limit)
+
+
+def score_claims(
+    claims: DataFrame, stats: DataFrame, as_of, velocity: tuple[float, float] = (20.0, 10.0), z_limit: float = 3.0
+) -> DataFrame:
+    """Fraud scores of claims by the statistics of their providers, whatever these were gathered from."""
     flags, rate = F.col("injected_fraud_flags"), F.col("claims_per_hour")
     z = F.col("amount_zscore")
     points = {
@@ -64,8 +117,7 @@ def fraud_risk(
     slots = [F.when(p > 0, F.lit(name)).otherwise("") for name, p in points.items()]
     total = F.col("fraud_score")
     return (
-        submitted(claims, as_of, window_minutes)
-        .join(provider_window_stats(claims, as_of, window_minutes), "provider_id", "left")
+        claims.join(stats, "provider_id", "left")
         .withColumn(
             "amount_zscore",
             F.when(

@@ -60,21 +60,32 @@ def sliding_vitals(
     )
 
 
-def latest_per_device(readings: DataFrame) -> DataFrame:
-    """Newest reading per device; run in update or complete mode. State: one row per device."""
-    return readings.groupBy("device_id").agg(F.max("ts").alias("timestamp"), *latest_columns(VITALS))
+def latest_per_device(readings: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Newest reading per device and day; run in update mode into `upsert_sink`.
+
+    A batch gives only the devices that it changes. The state holds the days
+    that the watermark has not passed, so a silent device is forgotten; its
+    newest reading stays in the table that the rows are upserted into.
+    """
+    return (
+        watermarked(readings, "ts", delay)
+        .groupBy("device_id", F.window("ts", "1 day").alias("d"))
+        .agg(F.max("ts").alias("timestamp"), *latest_columns(VITALS))
+        .drop("d")
+    )
 
 
 def breach_sessions(readings: DataFrame, gap: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Runs of saturation or pulse breaches without a pause longer than `gap`.
 
-    The breach filter is pushed below the watermark, so the watermark follows
-    the breaches: a run closes when a later breach arrives.
+    The watermark follows all readings, so a run closes as time goes on, also
+    when no further breach comes: the condition names the event time, which
+    keeps it above the watermark in the plan.
     """
     breach = spo2_tier(F.col("spo2")).isNotNull() | pulse_tier(F.col("pr"), F.col("pr")).isNotNull()
     return (
         watermarked(readings, "ts", delay)
-        .where(breach)
+        .where(F.when(F.col("ts").isNotNull(), breach).otherwise(False))
         .groupBy("device_id", F.session_window("ts", gap).alias("s"))
         .agg(F.count("*").alias("breaches"), F.min("spo2").alias("min_spo2"), F.max("pr").alias("max_pr"))
         .select(

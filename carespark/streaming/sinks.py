@@ -43,11 +43,54 @@ def snapshot_sink(score, append_path: str | None = None, replace_path: str | Non
     return run
 
 
-def late_row_sink(path: str, ts: str, delay: timedelta):
-    """foreachBatch: count rows behind the highest time of earlier batches less the delay.
+def running_scores_sink(
+    partial, merge, path: str, *, score=None, append_path: str | None = None, snapshot=None, replace_path: str | None = None,
+    fold_every: int = 32,
+):
+    """foreachBatch: scores from aggregates over all batches so far, not of one batch alone.
+
+    `partial(batch)` gives mergeable rows per key (counts, sums, sums of
+    squares, extremes), which are kept per batch; `merge(rows)` adds them up.
+    `score(batch, merged)` rows are appended, `snapshot(merged)` replaces the
+    snapshot. A repeated batch replaces its own partial rows and scores. Every
+    `fold_every` batches the rows so far are folded into one base, so a batch
+    reads the newest base before it and the few batches since.
+    """
+
+    def merged_until(spark: SparkSession, batch_id: int) -> DataFrame:
+        rows = spark.read.parquet(f"{path}/partial").where(F.col("batch_id") <= batch_id)
+        try:
+            base = spark.read.parquet(f"{path}/base").where(F.col("upto") < batch_id)
+        except AnalysisException:
+            return merge(rows.drop("batch_id"))
+        newest = base.agg(F.max("upto")).first()[0]
+        if newest is None:
+            return merge(rows.drop("batch_id"))
+        since = rows.where(F.col("batch_id") > newest).drop("batch_id")
+        return merge(since.unionByName(base.where(F.col("upto") == newest).drop("upto")))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # aggregated and scored
+        write_batch(partial(batch), f"{path}/partial", batch_id)
+        merged = merged_until(batch.sparkSession, batch_id)
+        if (batch_id + 1) % fold_every == 0:
+            merged.write.mode("overwrite").parquet(f"{path}/base/upto={batch_id}")
+        if append_path:
+            write_batch(score(batch, merged), append_path, batch_id)
+        if replace_path:
+            snapshot(merged).write.mode("overwrite").parquet(replace_path)
+        batch.unpersist()
 
-    One row per batch is kept; the highest time is read back from it, so a
-    restart goes on where it stopped.
+    return run
+
+
+def late_row_sink(path: str, ts: str, delay: timedelta, late_path: str | None = None, good_path: str | None = None):
+    """foreachBatch: split rows behind the watermark from the others, and count both.
+
+    The watermark of a batch is that of a streaming operator: the highest time
+    of all earlier batches less the delay. One counting row per batch is kept
+    at `path`; the highest time is read back from it, so a restart goes on where
+    it stopped. Late rows go to `late_path`, the others to `good_path`.
     """
 
     def highest(spark: SparkSession, batch_id: int):
@@ -60,66 +103,73 @@ def late_row_sink(path: str, ts: str, delay: timedelta):
     def run(batch: DataFrame, batch_id: int) -> None:
         top = highest(batch.sparkSession, batch_id)
         t = F.col(ts).cast("timestamp")
-        late = F.lit(False) if top is None else t < F.lit(top - delay)
+        late = F.lit(False) if top is None else F.coalesce(t < F.lit(top - delay), F.lit(False))
+        batch.persist()  # counted and split
+        if late_path:
+            write_batch(batch.where(late), late_path, batch_id)
+        if good_path:
+            write_batch(batch.where(~late), good_path, batch_id)
         row = batch.agg(
             F.count("*").alias("rows"), F.count(F.when(late, 1)).alias("late_rows"),
             F.greatest(F.max(t), F.lit(top)).alias("max_ts"),
         )
         write_batch(row, path, batch_id)
+        batch.unpersist()
 
     return run
 
 
-class UpsertTable:
-    """Newest row per key in bucket folders, one version per merge.
+def upsert_sink(path: str, keys: list[str], updated: str = "last_updated", *, buckets: int, label: str = "live"):
+    """foreachBatch: the newest row per key, in a table partitioned by key bucket.
 
-    A merge writes the buckets it touches to the folder of a new version; only
-    then a log entry names them. Each bucket is read from its newest logged
-    version, so a merge that fails half-way changes nothing, and repeating it
-    gives the same table. Older versions stay for readers that use them.
-    `buckets` should grow with the table, to a few files' worth of rows each.
+    Only the buckets that a batch touches are read (partition pruning), merged
+    and written: first as a staged table, then into the table by dynamic
+    partition overwrite. The staged rows of the last two batches stay, so a
+    batch that failed half-way through the overwrite is overwritten again from
+    them when it is repeated; one that failed before is merged again. Merging
+    keeps the newest row, so a replay from the start changes nothing: give it a
+    `label` of its own, as its batches count from 0. `buckets` should grow with
+    the table, to a few files' worth of rows each.
     """
 
-    def __init__(self, path: str, keys: list[str], updated: str = "last_updated", *, buckets: int):
-        self.path, self.keys, self.updated, self.buckets = path, keys, updated, buckets
+    def merge(batch: DataFrame, batch_id: int = 0) -> None:
+        spark = batch.sparkSession
+        staged = f"{path}_staged/{label}/{batch_id % 2}"
+        if not _staged(spark, staged, batch_id):
+            own = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+            touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # at most `buckets` numbers
+            if not touched:
+                return
+            try:
+                current = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(*own.columns)
+            except AnalysisException:
+                current = own.limit(0)
+            merged = upsert_latest(current, own, [*keys, "bucket"], updated).withColumn("staged_batch", F.lit(batch_id))
+            merged.repartition("bucket").write.mode("overwrite").parquet(staged)
+        rows = spark.read.parquet(staged).drop("staged_batch")
+        swap = rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        swap.partitionBy("bucket").parquet(path)
 
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+    return merge
 
-    def _newest(self, spark: SparkSession) -> DataFrame:
-        """(bucket, version): one row per bucket."""
-        return spark.read.parquet(f"{self.path}/log").groupBy("bucket").agg(F.max("version").alias("version"))
 
-    def _rows(self, newest: DataFrame) -> DataFrame:
-        rows = newest.sparkSession.read.parquet(f"{self.path}/data")
-        return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("bucket", "version")
+def _staged(spark: SparkSession, staged: str, batch_id: int) -> bool:
+    """Whether the batch was staged whole: an unfinished write leaves no table."""
+    try:
+        return not spark.read.parquet(staged).where(F.col("staged_batch") == batch_id).isEmpty()
+    except AnalysisException:
+        return False
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return self._rows(self._newest(spark))
 
-    def merge(self, batch: DataFrame, batch_id: int = 0) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():
-            return
-        try:
-            newest = self._newest(spark)
-            version = newest.agg(F.max("version")).first()[0] + 1
-            touched = self._bucketed(batch).select("bucket").distinct()
-            current = self._rows(newest.join(touched, "bucket", "left_semi")).select(*batch.columns)
-        except AnalysisException:
-            current, version = batch.limit(0), 0
-        data = f"{self.path}/data/version={version}"
-        merged = self._bucketed(upsert_latest(current, batch, self.keys, self.updated))
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
-        entry = spark.read.parquet(data).select("bucket").distinct().coalesce(1)
-        entry.write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
 
 
 def replay_from_new_checkpoint(start, checkpoint: str, label: str):
     """Reprocess a source under a fresh checkpoint; the old one stays untouched.
 
     `start(checkpoint_folder)` starts the query. Sinks must be idempotent, as
-    `UpsertTable` is. Returns the folder and the finished query.
+    `upsert_sink` is. Returns the folder and the finished query.
     """
     folder = f"{checkpoint.rstrip('/')}_replay_{label}"
     query = start(folder)

@@ -5,16 +5,20 @@ the written rows. Folders live under the session's checkpoint folder.
 """
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
 from carespark.functions.lineage import checkpoint_folder
-from carespark.operators import alerts as a
+from carespark.functions.timing import recent
+from carespark.operators import alerts as a, payer as p
+from carespark.plans import live_alerts
 from carespark.sources import events as ev
 from carespark.streaming import live, sinks
 
 from .lake import Lake
 from .q_alerts import TIER_P, TIER_S
+from .q_payer import HAS, MONTH
 from .registry import CTES, avg_dec, query, ts_text
 
 
@@ -44,6 +48,24 @@ def run(k: Lake, df: DataFrame, mode: str = "append") -> DataFrame:
     return k.spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+FILES = 4
+
+
+def in_batches(k: Lake, df: DataFrame, part, n: int) -> DataFrame:
+    """The rows as a stream of `n` micro-batches: first those of part 0, then of part 1 and so on."""
+    folder = f"{scratch(k)}/in"
+    for i in range(n):
+        df.where(part == i).repartition(FILES).write.mode("append").parquet(folder)
+    return k.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+
+
+def by_time(k: Lake, n: int) -> DataFrame:
+    """Readings as a stream of `n` micro-batches in order of time."""
+    low, high = k.telemetry.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * n / (high - low + 1))
+    return in_batches(k, k.telemetry, part, n)
+
+
 WATERMARK = "(select max(ts) from v_telemetry) - interval 10 minute"
 query(
     "stream_alert_history",
@@ -65,14 +87,25 @@ query("stream_dedupe_events", f"select event_id, device_id, {ts_text('ts')} as t
 query(
     "stream_latest_per_device",
     f"select device_id, {ts_text('ts')} as timestamp, cast(spo2 as double) as spo2, pr, cast(pi as double) as pi, pvi, cast(sphb as double) as sphb, signal_iq from v_latest",
-)(lambda k: run(k, live.latest_per_device(readings(k)), "complete"))
+)(lambda k: newest(k).select("device_id", "timestamp", "spo2", "pr", "pi", "pvi", "sphb", "signal_iq"))
+
+
+def newest(k: Lake) -> DataFrame:
+    """Changed devices of each of four batches, upserted into a table."""
+    folder = scratch(k)
+    sink = sinks.upsert_sink(f"{folder}/table", ["device_id"], "timestamp", buckets=8)
+    rows = live.latest_per_device(by_time(k, 4)).writeStream.outputMode("update").foreachBatch(sink)
+    rows.option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    return sinks.read_upserted(k.spark, f"{folder}/table")
+
+
 CTES["v_breach"] = "select device_id, ts, spo2, pr from v_telemetry where spo2 < 94 or pr > 110 or pr < 50"
 CTES["v_breach_runs"] = "select *, sum(new) over (partition by device_id order by ts) as run from (select *, case when ts >= lag(ts) over (partition by device_id order by ts) + interval 2 hour then 1 else 0 end as new from v_breach)"
 query(
     "stream_breach_sessions",
     f"""select device_id, {ts_text('min(ts)')} as session_start, {ts_text('max(ts) + interval 2 hour')} as session_end, count(*) as breaches, cast(min(spo2) as double) as min_spo2, max(pr) as max_pr from v_breach_runs group by device_id, run
- having max(ts) + interval 2 hour <= (select max(ts) from v_breach) - interval 10 minute""",
-)(lambda k: run(k, live.breach_sessions(readings(k), "2 hours")))
+ having max(ts) + interval 2 hour <= (select max(ts) from v_telemetry) - interval 10 minute""",
+)(lambda k: run(k, live.breach_sessions(by_time(k, 4), "2 hours")))
 
 
 def stream_history(k: Lake) -> DataFrame:
@@ -120,12 +153,13 @@ query("stream_ingest_rejects", "select count(*) as rejected from lineitem where
 
 def upserted(k: Lake) -> DataFrame:
     folder = scratch(k)
-    table = sinks.UpsertTable(f"{folder}/table", ["patient_id"], buckets=16)
-    src = stream(k, "orders").selectExpr("concat('pat-', o_custkey) as patient_id", "o_orderdate as last_updated", "concat('enc-', o_orderkey) as payload")
+    orders = k.table("orders").selectExpr("concat('pat-', o_custkey) as patient_id", "o_orderdate as last_updated", "concat('enc-', o_orderkey) as payload", "dayofyear(o_orderdate) % 3 as part")  # rows of one time meet in one batch
+    src = in_batches(k, orders, F.col("part"), 3).drop("part")
     for n in ("first", "again"):  # the second run replays everything under a new checkpoint
-        start = lambda c: src.writeStream.foreachBatch(table.merge).option("checkpointLocation", c).trigger(availableNow=True).start()
+        sink = sinks.upsert_sink(f"{folder}/table", ["patient_id"], buckets=16, label=n)
+        start = lambda c: src.writeStream.foreachBatch(sink).option("checkpointLocation", c).trigger(availableNow=True).start()
         sinks.replay_from_new_checkpoint(start, f"{folder}/c", n)
-    return table.read(k.spark)
+    return sinks.read_upserted(k.spark, f"{folder}/table")
 
 
 query(
@@ -165,3 +199,101 @@ query(
     "retention",
     f"select alert_id, {ts_text('alert_time')} as alert_time from v_history where alert_time > (select as_of from v_as_of) - interval 10 day",
 )(lambda k: __import__("carespark.sources.lakehouse", fromlist=["x"]).retention(a.alert_history_transform(k.telemetry), k.as_of, days=10).select("alert_id", "alert_time"))
+
+
+# --- scores over all batches so far ---
+LIVE_RATE = (0.8, 0.4)
+PARTS = 4
+
+
+def live_claims(k: Lake) -> DataFrame:
+    return in_batches(k, k.claims, F.dayofmonth("event_timestamp") % PARTS, PARTS)
+
+
+def provider_scores(k: Lake) -> DataFrame:
+    """The snapshot after the last of four batches; partial rows are folded after every second one."""
+    folder = scratch(k)
+    sink = sinks.running_scores_sink(
+        p.provider_partials, p.merge_provider_partials, f"{folder}/state", fold_every=2,
+        snapshot=lambda merged: p.provider_running_stats(merged, MONTH), replace_path=f"{folder}/scores",
+    )
+    live_claims(k).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    rates = ["claims_per_hour", "avg_amount", "stdev_amount", "upcode_rate"]
+    return k.spark.read.parquet(f"{folder}/scores").withColumns({c: F.round(c, 6) for c in rates})
+
+
+CENTS = "cast(claim_amount * 100 as hugeint)"
+SPREAD = "sqrt(cast(n * cc - c * c as double) / (n * cast(n - 1 as double))) / 100"
+query(
+    "live_provider_scores",
+    f"""select provider_id, n as provider_claims, round(n * 60.0::double / 43200.0::double, 6) as claims_per_hour, round(cast(c as double) / (n * 100.0::double), 6) as avg_amount,
+ case when n > 1 then round({SPREAD}, 6) end as stdev_amount, round(100.0::double * up / n, 6) as upcode_rate, cast(lo as double) as min_amount, cast(hi as double) as max_amount, {ts_text('t0')} as first_claim, {ts_text('t1')} as last_claim
+ from (select provider_id, count(*) as n, sum({CENTS}) as c, sum({CENTS} * {CENTS}) as cc, count(*) filter (where procedure_code = '99215') as up, min(claim_amount) as lo, max(claim_amount) as hi, min(event_timestamp) as t0, max(event_timestamp) as t1 from v_claims group by 1)""",
+)(provider_scores)
+
+
+def fraud_scores(k: Lake) -> DataFrame:
+    """Each batch's claims, scored by all claims of their providers so far and appended."""
+    folder, as_of = scratch(k), k.claims.agg(F.max("event_timestamp")).first()[0]
+    sink = sinks.running_scores_sink(
+        p.provider_partials, p.merge_provider_partials, f"{folder}/state", fold_every=2,
+        score=lambda claims, merged: p.score_claims(claims, p.provider_running_stats(merged, MONTH), as_of, LIVE_RATE), append_path=f"{folder}/scores",
+    )
+    live_claims(k).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    rows = k.spark.read.parquet(f"{folder}/scores")
+    return rows.select("batch_id", "claim_id", "provider_id", "fraud_score", "risk_tier", F.round("amount_zscore", 6).alias("amount_zscore"))
+
+
+CTES["v_live_stats"] = f"""select b, provider_id, n, cast(c as double) / (n * 100.0::double) as mean, case when n > 1 then {SPREAD} end as spread from (
+ select b, provider_id, count(*) as n, sum({CENTS}) as c, sum({CENTS} * {CENTS}) as cc from v_claims, (select unnest(range(0, {PARTS})) as b) where day(event_timestamp) % {PARTS} <= b group by 1, 2)"""
+CTES["v_live_points"] = f"""select c.*, b, n * 60.0::double / 43200.0::double as claims_per_hour, case when spread > 0 then (cast(claim_amount as double) - mean) / spread else 0 end as z
+ from v_claims c join v_live_stats s on s.provider_id = c.provider_id and s.b = day(c.event_timestamp) % {PARTS}"""
+CTES["v_live_fraud"] = f"""select b, claim_id, provider_id, z, case when claims_per_hour >= {LIVE_RATE[0]} then 30 when claims_per_hour >= {LIVE_RATE[1]} then 15 else 0 end
+ + case when z >= 3 or {HAS.format('amount_outlier')} then 25 else 0 end + case when {HAS.format('denial_pattern')} then 25 else 0 end
+ + case when procedure_code = '99215' or {HAS.format('upcoding')} then 20 else 0 end as score from v_live_points"""
+query(
+    "live_fraud_scores",
+    """select cast(b as integer) as batch_id, claim_id, provider_id, cast(score as double) as fraud_score,
+ case when score >= 80 then 'CRITICAL' when score >= 50 then 'HIGH' when score >= 25 then 'MEDIUM' else 'LOW' end as risk_tier, round(z, 6) as amount_zscore from v_live_fraud""",
+)(fraud_scores)
+
+# --- rows behind the watermark of a running stream ---
+CTES["v_arrivals"] = "select *, event_id % 3 as b from v_telemetry"
+CTES["v_marks"] = "select b, n, late, top from (select b, count(*) as n, max(ts) as own from v_arrivals group by b) m, lateral (select max(ts) as top, max(ts) filter (where a.b < m.b) - interval 6 hour as late from v_arrivals a where a.b <= m.b)"
+
+
+def arrivals(k: Lake) -> str:
+    """Readings in three batches that each span all days; the folder of counts, late rows and others."""
+    folder = scratch(k)
+    sink = sinks.late_row_sink(f"{folder}/counts", "ts", timedelta(hours=6), f"{folder}/late", f"{folder}/good")
+    src = in_batches(k, k.telemetry, F.col("event_id") % 3, 3)
+    src.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    return folder
+
+
+query(
+    "late_rows",
+    f"select cast(b as integer) as batch_id, n as n_rows, (select count(*) from v_arrivals a where a.b = m.b and a.ts < m.late) as late_rows, {ts_text('top')} as max_ts from v_marks m",
+)(lambda k: k.spark.read.parquet(f"{arrivals(k)}/counts").select("batch_id", F.col("rows").alias("n_rows"), "late_rows", "max_ts"))
+query(
+    "late_row_events",
+    f"select cast(b as integer) as batch_id, event_id, device_id, {ts_text('ts')} as ts, ts < late as is_late from v_arrivals join v_marks using (b) where ts < late or event_id % 2 = 0".replace("ts < late as", "coalesce(ts < late, false) as"),
+)(
+    lambda k: (lambda f: k.spark.read.parquet(f"{f}/late").withColumn("is_late", F.lit(True)).unionByName(
+        k.spark.read.parquet(f"{f}/good").where("event_id % 2 = 0").withColumn("is_late", F.lit(False))
+    ))(arrivals(k)).select("batch_id", "event_id", "device_id", "ts", "is_late")
+)
+
+
+# --- history by day, compacted, and a look-back that reads its days only ---
+def history_table(k: Lake) -> DataFrame:
+    folder = scratch(k)
+    live_alerts.start_history(a.alert_history_transform(by_time(k, 3)), f"{folder}/history", f"{folder}/c", once=True).awaitTermination()
+    before = k.telemetry.agg(F.date_sub(F.max("ts"), 3)).first()[0]
+    return live_alerts.compact_history(k.spark, f"{folder}/history", f"{folder}/compact", str(before))
+
+
+query(
+    "stream_history_lookback",
+    f"select alert_id, {ts_text('alert_time')} as alert_time, device_id, alert_tier from v_history where alert_time > (select as_of from v_as_of) - interval 5 day",
+)(lambda k: recent(history_table(k), "alert_time", k.as_of, days=5).select("alert_id", "alert_time", "device_id", "alert_tier"))

@@ -1,6 +1,5 @@
 """Layered tables, ingestion of all event kinds, retention and the Gold build, over the given tables."""
 
-from datetime import timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -77,21 +76,6 @@ def replaced(k: Lake) -> DataFrame:
 query("snapshot_replace", "select provider_id, count(*) as provider_claims from v_claims group by 1")(replaced)
 
 
-def late(k: Lake) -> DataFrame:
-    """Even events are the first batch, odd ones the second."""
-    folder = scratch(k)
-    sink = sinks.late_row_sink(folder, "ts", timedelta(hours=6))
-    for n in (0, 1):
-        sink(k.telemetry.where(F.col("event_id") % 2 == n), n)
-    return k.spark.read.parquet(folder).select("batch_id", F.col("rows").alias("n_rows"), "late_rows", "max_ts")
-
-
-query(
-    "late_rows",
-    f"""select 0 as batch_id, count(*) as n_rows, 0 as late_rows, {ts_text('max(ts)')} as max_ts from v_telemetry where event_id % 2 = 0
- union all select 1, count(*) filter (where event_id % 2 = 1), count(*) filter (where event_id % 2 = 1 and ts < (select max(ts) from v_telemetry where event_id % 2 = 0) - interval 6 hour), {ts_text('max(ts)')} from v_telemetry""",
-)(late)
-
 # --- event kinds: the same expressions make the rows in both engines ---
 PLACE = [("latitude", "cast(33 + (num % 100) * 0.01 as double)"), ("longitude", "cast(-84 - (num % 100) * 0.01 as double)")]
 KINDS = {

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from carespark.operators.alerts import alert_history_transform, notify_candidates
+from carespark.functions.timing import recent
 from carespark.operators.telemetry import binned_metric
-from carespark.plans.live_alerts import start_alert_history
+from carespark.plans.live_alerts import compact_history, start_alert_history, start_history
 from carespark.streaming import live, sinks
 
 T0 = datetime(2026, 1, 1)
@@ -152,27 +153,116 @@ def test_cooldown_stream_equals_batch_and_forgets_idle_keys(spark, tmp_path):
     assert last.count() == 0
 
 
-def test_upsert_table_touches_only_its_buckets(spark, tmp_path, rows):
-    table = sinks.UpsertTable(str(tmp_path / "t"), ["k"], buckets=4)
-    make = lambda data: spark.createDataFrame(data, "k string, last_updated int, v string")
-    table.merge(make([(f"k{i}", 1, "old") for i in range(20)]))
-    update = make([("k3", 2, "new"), ("k4", 0, "stale"), ("k99", 1, "add")])
-    table.merge(update, 1)
-    table.merge(update, 1)
-    got = {r.k: r.v for r in table.read(spark).collect()}
-    assert len(got) == 21 and got["k3"] == "new" and got["k4"] == "old" and got["k99"] == "add"
-
-
-def test_upsert_table_ignores_an_unfinished_merge(spark, tmp_path, rows):
-    table = sinks.UpsertTable(str(tmp_path / "t"), ["k"], buckets=2)
-    make = lambda data: spark.createDataFrame(data, "k string, last_updated int, v string")
-    table.merge(make([("a", 1, "old"), ("b", 1, "old")]))
-    half = make([("a", 9, "half")]).withColumn("bucket", F.lit(0))
-    half.write.partitionBy("bucket").parquet(f"{table.path}/data/version=1")  # written, not logged
-    assert rows(table.read(spark)) == [("a", 1, "old"), ("b", 1, "old")]
-    for _ in range(2):
-        table.merge(make([("a", 2, "new")]), 7)
-    assert rows(table.read(spark)) == [("a", 2, "new"), ("b", 1, "old")]
+def upsert_rows(spark):
+    return lambda data: spark.createDataFrame(data, "k string, last_updated int, v string")
+
+
+def test_upsert_touches_only_its_buckets(spark, tmp_path):
+    path, make = str(tmp_path / "t"), upsert_rows(spark)
+    merge = sinks.upsert_sink(path, ["k"], buckets=16)
+    merge(make([(f"k{i}", 1, "old") for i in range(40)]), 0)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").glob("bucket=*/*.parquet")}
+    merge(make([("k3", 2, "new"), ("k4", 0, "stale"), ("k99", 1, "add")]), 1)
+    got = {r.k: r.v for r in sinks.read_upserted(spark, path).collect()}
+    assert len(got) == 41 and got["k3"] == "new" and got["k4"] == "old" and got["k99"] == "add"
+    kept = {f for f in (tmp_path / "t").glob("bucket=*/*.parquet") if files.get(f) == f.stat().st_mtime_ns}
+    assert len(kept) >= len(files) - 3
+
+
+def test_upsert_replayed_and_empty_batches(spark, tmp_path, rows):
+    path, make = str(tmp_path / "t"), upsert_rows(spark)
+    batches = [make([("a", 1, "x"), ("b", 5, "y")]), make([("a", 3, "z")]), make([]), make([("b", 4, "late"), ("c", 1, "n")])]
+    want = [("a", 3, "z"), ("b", 5, "y"), ("c", 1, "n")]
+    for label in ("live", "again"):
+        merge = sinks.upsert_sink(path, ["k"], buckets=4, label=label)
+        for i, b in enumerate(batches):
+            merge(b, i)
+        merge(batches[-1], len(batches) - 1)
+        assert rows(sinks.read_upserted(spark, path)) == want
+
+
+def test_upsert_goes_on_from_staged_rows(spark, tmp_path, rows):
+    path, make = str(tmp_path / "t"), upsert_rows(spark)
+    merge = sinks.upsert_sink(path, ["k"], buckets=2)
+    merge(make([(f"k{i}", 1, "old") for i in range(8)]), 0)
+    merge(make([(f"k{i}", 2, "new") for i in range(8)]), 1)
+    for f in (tmp_path / "t").glob("bucket=0/*"):  # as if the overwrite had broken off here
+        f.rename(tmp_path / f"lost-{f.name}")
+    assert sinks.read_upserted(spark, path).count() < 8
+    merge(make([(f"k{i}", 2, "new") for i in range(8)]), 1)
+    assert rows(sinks.read_upserted(spark, path)) == [(f"k{i}", 2, "new") for i in range(8)]
+
+
+def test_running_scores_repeat_and_fold(spark, tmp_path, rows):
+    merge = lambda r: r.groupBy("k").agg(F.sum("n").alias("n"))
+    sink = sinks.running_scores_sink(
+        lambda b: b.groupBy("k").agg(F.count("*").alias("n")), merge, str(tmp_path / "s"), fold_every=2,
+        snapshot=lambda m: m, replace_path=str(tmp_path / "out"),
+    )
+    make = lambda keys: spark.createDataFrame([(k,) for k in keys], "k string")
+    for i, keys in enumerate(["aab", "bc", "a", "c", "cc"]):
+        sink(make(keys), i)
+        sink(make(keys), i)  # repeated after a failure
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("a", 3), ("b", 2), ("c", 4)]
+    assert sorted(p.name for p in (tmp_path / "s/base").glob("upto=*")) == ["upto=1", "upto=3"]
+
+
+def test_a_calm_stream_closes_its_last_session(spark, tmp_path):
+    breach = spark.createDataFrame([(1, "D", T0, 85.0, 70, 2.0, 9, 12.0, 95)], SCHEMA)
+    calm = [spark.createDataFrame([(2 + i, "D", T0 + timedelta(minutes=30 * (i + 1)), 98.0, 70, 2.0, 9, 12.0, 95)], SCHEMA) for i in range(3)]
+    got = finish(live.breach_sessions(stream(spark, tmp_path, [breach, *calm])), tmp_path).collect()
+    assert [(r.device_id, r.breaches) for r in got] == [("D", 1)]
+
+
+def test_newest_reading_writes_changed_devices_only(spark, tmp_path):
+    seen = []
+    make = lambda dev, minute, n: spark.createDataFrame([(n, dev, T0 + timedelta(minutes=minute), 95.0 + n, 70, 2.0, 9, 12.0, 95)], SCHEMA)
+    src = stream(spark, tmp_path, [make("D1", 0, 1).unionByName(make("D2", 1, 2)), make("D2", 9, 3), make("D2", 5, 4)])
+    merge = sinks.upsert_sink(str(tmp_path / "t"), ["device_id"], "timestamp", buckets=4)
+
+    def sink(batch, batch_id):
+        seen.append(sorted(r.device_id for r in batch.collect()))
+        merge(batch, batch_id)
+
+    live.latest_per_device(src).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert seen[:3] == [["D1", "D2"], ["D2"], ["D2"]]
+    got = {r.device_id: r.spo2 for r in sinks.read_upserted(spark, str(tmp_path / "t")).collect()}
+    assert got == {"D1": 96.0, "D2": 98.0}
+
+
+def test_late_rows_are_those_behind_the_operators_watermark(spark, tmp_path):
+    parts = [readings(spark, [0, 60]), readings(spark, [61], 10), readings(spark, [62, 5, 52], 20), readings(spark, [400, 40], 30)]
+    src = stream(spark, tmp_path, parts)
+    q = live.binned_metric(src, "spo2", "1 minute", "10 minutes").writeStream.format("memory").queryName("late_bins")
+    q = q.option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    marks = {p["batchId"]: p["eventTime"]["watermark"] for p in q.recentProgress if p["numInputRows"]}
+    sink = sinks.late_row_sink(str(tmp_path / "n"), "ts", timedelta(minutes=10), str(tmp_path / "late"), str(tmp_path / "good"))
+    src.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    late = {(r.batch_id, r.ts) for r in spark.read.parquet(str(tmp_path / "late")).collect()}
+    want = set()
+    for i, df in enumerate(parts):
+        mark = datetime.fromisoformat(marks[i].rstrip("Z"))
+        want |= {(i, r.ts) for r in df.collect() if r.ts < mark}
+    assert late == want == {(2, T0 + timedelta(minutes=5)), (3, T0 + timedelta(minutes=40))}
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 6
+
+
+def test_history_by_day_is_compacted_and_pruned(spark, tmp_path, rows):
+    days = [alerts_frame(spark, [(1440 * d + m, "URGENT") for m in range(5)]).withColumn("alert_id", F.concat(F.lit(f"d{d}-"), "alert_id")) for d in range(6)]
+    for df in days:
+        df.repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(days[0].schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    start_history(src, str(tmp_path / "h"), str(tmp_path / "c"), once=True).awaitTermination()
+    assert len(list((tmp_path / "h").glob("day=*"))) == 6
+    whole = compact_history(spark, str(tmp_path / "h"), str(tmp_path / "k"), "2026-01-05")
+    assert rows(whole.drop("day")) == rows(spark.read.parquet(str(tmp_path / "h")).drop("day"))
+    assert len(list((tmp_path / "k").glob("day=*/*.parquet"))) == 4
+    late = recent(spark.read.parquet(str(tmp_path / "h")), "alert_time", "2026-01-06 00:00:00", days=1)
+    assert late.count() == 9
+    assert {f.split("day=")[1][:10] for f in late.inputFiles()} >= {"2026-01-05", "2026-01-06"}
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "day" in plan.split("PartitionFilters")[1].split("]")[0]
 
 
 def test_ingest_sink_repeats_safely(spark, tmp_path):
