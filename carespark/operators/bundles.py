@@ -76,17 +76,103 @@ def conditional_ref_map(entries: DataFrame) -> DataFrame:
     )
 
 
+#: A `reference` member's text in compact JSON. Quotes inside a text are escaped, so a bare quote
+#: after a brace or comma opens a member name: text that merely looks like a member never matches.
+MEMBER = r'(?<=[{,]"reference":")(?:[^"\\]|\\.)*+(?=")'
+
+
+def _unescaped(text: Column) -> Column:
+    parsed = F.get_json_object(F.concat(F.lit('{"v":"'), text, F.lit('"}')), "$.v")
+    return F.when(text.contains("\\"), parsed).otherwise(text)
+
+
+def _escaped(text: Column) -> Column:
+    # to_json of a one-element array gives the escaped text in brackets and quotes.
+    quoted = F.to_json(F.array(text))
+    return F.when(text.rlike(r'["\\\x00-\x1F]'), F.substring(quoted, F.lit(3), F.length(quoted) - 4)).otherwise(text)
+
+
 def reference_list(resource: Column) -> Column:
-    """Every `reference` text at any depth, unescaped.
+    """Every `reference` text at any depth of compact JSON, unescaped."""
+    return F.transform(F.regexp_extract_all(resource, F.lit(MEMBER), 0), _unescaped)
+
+
+def _let(value: Column, then) -> Column:
+    """`then(value)` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    Inside JSON text a quote in a value is escaped, so the key pattern can only
-    match a real member.
+
+def _last_upto(pairs: Column, ref: Column) -> Column:
+    """Index of the last of the sorted pairs whose `ref` is not above the given one, by halving; -1 without."""
+    steps = F.filter(F.array(*[F.lit(1 << b) for b in range(24, -1, -1)]), lambda b: b <= F.size(pairs))
+    return F.aggregate(
+        steps, F.lit(-1), lambda p, b: F.when(F.coalesce(F.get(pairs, p + b)["ref"] <= ref, F.lit(False)), p + b).otherwise(p)
+    )
+
+
+def rewrite_references(resource: Column, pairs: Column) -> Column:
+    """Struct of the resource with each reference that `pairs` (ref, pos, direct_ref) knows replaced, and how many distinct ones.
+
+    The text is cut at its reference members and put together again, so each
+    is replaced once and nothing else is touched. `pairs` is sorted; of equal
+    references the one with the largest position counts.
     """
-    raw = F.regexp_extract_all(resource, F.lit(r'"reference"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
-    unescaped = F.transform(
-        raw, lambda r: F.get_json_object(F.concat(F.lit('{"v":"'), r, F.lit('"}')), "$.v")
+    raw = F.regexp_extract_all(resource, F.lit(MEMBER), 0)
+
+    def target(text: Column) -> Column:
+        def known(ref: Column) -> Column:
+            return _let(F.get(pairs, _last_upto(pairs, ref)), lambda p: F.when(p["ref"] == ref, p["direct_ref"]))
+
+        return F.struct(text.alias("raw"), _let(_unescaped(text), known).alias("direct"))
+
+    def joined(found: Column) -> Column:
+        pieces = F.split(resource, MEMBER, -1)
+        rest = F.zip_with(found, F.slice(pieces, F.lit(2), F.size(found)), lambda f, piece: F.concat(F.coalesce(_escaped(f["direct"]), f["raw"]), piece))
+        whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+        return F.struct(
+            F.when(F.size(found) > 0, whole).otherwise(resource).alias("resource"),
+            F.size(F.array_distinct(F.filter(found, lambda f: f["direct"].isNotNull()))).alias("resolved"),
+        )
+
+    return _let(F.transform(raw, target), joined)
+
+
+HEAD = "struct<resourceType:string, id:string, identifier:array<struct<system:string, value:string>>>"
+
+
+def resolve_bundles(bundles: DataFrame) -> DataFrame:
+    """Entries of (bundle_id, content) with URN and conditional references made direct; unknown ones stay.
+
+    A bundle is one row, and so are its references: the map is an array sorted
+    in the row, each reference is looked up by halving. One read, no shuffle.
+    """
+    parsed = bundles.select("bundle_id", F.from_json("content", BUNDLE)["entry"].alias("entry"))
+    entry = F.transform(
+        "entry",
+        lambda e, i: F.struct(i.alias("pos"), e["fullUrl"].alias("full_url"), e["resource"].alias("resource"), F.from_json(e["resource"], HEAD).alias("head")),
+    )
+
+    def own(e: Column) -> Column:
+        kind, rid, url = e["head"]["resourceType"], e["head"]["id"], e["full_url"]
+        pair = lambda ref, target: F.struct(ref.alias("ref"), e["pos"].alias("pos"), target.alias("direct_ref"))
+        direct = F.when(filled(kind).isNotNull() & filled(rid).isNotNull() & filled(url).isNotNull(), F.array(pair(url, F.concat(kind, F.lit("/"), rid))))
+        uuid = cascade(
+            [(url.startswith("urn:uuid:"), F.replace(url, F.lit("urn:uuid:"), F.lit(""))), (url.contains("/"), F.element_at(F.split(url, "/"), -1))], rid
+        )
+        usable = F.filter(
+            e["head"]["identifier"],
+            lambda x: filled(uuid).isNotNull() & filled(x["system"]).isNotNull() & filled(x["value"]).isNotNull() & kind.isNotNull(),
+        )
+        named = F.transform(usable, lambda x: pair(F.concat(kind, F.lit("?identifier="), x["system"], F.lit("|"), x["value"]), F.concat(kind, F.lit("/"), uuid)))
+        none = F.array().cast("array<struct<ref:string,pos:int,direct_ref:string>>")
+        return F.concat(F.coalesce(direct, none), F.coalesce(named, none))
+
+    known = parsed.select("bundle_id", entry.alias("entry")).select("*", F.sort_array(F.flatten(F.transform("entry", own))).alias("pairs"))
+    return known.select("bundle_id", "pairs", F.explode("entry").alias("e")).select(
+        "bundle_id", "e.pos", "e.full_url", "e.head.resourceType", "e.head.id", rewrite_references(F.col("e.resource"), F.col("pairs")).alias("new")
+    ).select(
+        "bundle_id", "pos", "full_url", F.col("resourceType").alias("resource_type"), F.col("id").alias("resource_id"), "new.resource", "new.resolved"
     )
-    return F.when(F.exists(raw, lambda r: r.contains("\\")), unescaped).otherwise(raw)
 
 
 def extract_references(entries: DataFrame) -> DataFrame:
@@ -96,30 +182,24 @@ def extract_references(entries: DataFrame) -> DataFrame:
 
 
 def resolve_references(entries: DataFrame) -> DataFrame:
-    """Replace URN and conditional references by direct ones; unknown ones stay.
+    """`resolve_bundles` for entries that are rows already, such as those of a bundle too large for one.
 
     Distinct references join the maps on (bundle, reference), so the shuffle key
-    is fine even for a huge bundle. Each resource then gets its own small
-    replacement map, applied to the canonical JSON text.
+    is fine even for a huge bundle; each resource then gets its own small map.
     """
     maps = full_url_map(entries).unionByName(conditional_ref_map(entries))
     used = extract_references(entries).select("bundle_id", "pos", "ref").distinct()
     found = (
         used.join(maps, ["bundle_id", "ref"])
         .groupBy("bundle_id", "pos")
-        .agg(F.sort_array(F.collect_list(F.struct("ref", "direct_ref"))).alias("pairs"))
-    )
-    quoted = lambda v: F.concat(F.lit('"reference":'), F.to_json(F.array(v)))
-    # to_json of a one-element array gives the escaped text in brackets.
-    member = lambda v: F.regexp_replace(quoted(v), r'^"reference":\[(.*)\]$', '"reference":$1')
-    rewritten = F.aggregate(
-        "pairs", F.col("resource"), lambda acc, p: F.replace(acc, member(p["ref"]), member(p["direct_ref"]))
+        .agg(F.sort_array(F.collect_list(F.struct("ref", F.lit(0).alias("pos"), "direct_ref"))).alias("pairs"))
     )
     return (
         entries.join(found, ["bundle_id", "pos"], "left")
-        .withColumn("resource", F.when(F.col("pairs").isNull(), F.col("resource")).otherwise(rewritten))
-        .withColumn("resolved", F.coalesce(F.size("pairs"), F.lit(0)))
-        .drop("pairs")
+        .withColumn("_new", F.when(F.col("pairs").isNotNull(), rewrite_references(F.col("resource"), F.col("pairs"))))
+        .withColumn("resource", F.coalesce("_new.resource", "resource"))
+        .withColumn("resolved", F.coalesce("_new.resolved", F.lit(0)))
+        .drop("pairs", "_new")
     )
 
 

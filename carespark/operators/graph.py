@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fhir import REFERENCE, ontology_patient_id
 
@@ -140,6 +140,31 @@ def match_fork(edge_rows: DataFrame, first: str, second: str, optional: bool = F
     return a.join(b, "start", "left" if optional else "inner").fillna(0, ["second_count"])
 
 
+def match_fork_rows(first: DataFrame, second: DataFrame, optional: bool = False, limit: int | None = None) -> DataFrame:
+    """Rows (start, first_end, second_end) of two relations that share their start.
+
+    `first` is (start, first_end), `second` (start, second_end). With `optional`
+    a start without a second relation keeps its rows, `second_end` being null.
+
+    With `limit`, the first rows in (start, first_end, second_end) order. Every
+    start gives a row at least, so only as many starts as rows are wanted, and
+    of each only as many ends, are joined at all: a hub with many ends on both
+    sides is never expanded beyond that.
+    """
+    if limit is not None:
+        if not optional:
+            first = first.join(second.select("start").distinct(), "start", "left_semi")
+        starts = F.broadcast(first.select("start").distinct().orderBy("start").limit(limit))
+
+        def least(edges: DataFrame, end: str) -> DataFrame:
+            order = Window.partitionBy("start").orderBy(F.col(end).asc_nulls_first())
+            return edges.join(starts, "start", "left_semi").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+
+        first, second = least(first, "first_end"), least(second, "second_end")
+    rows = first.join(second, "start", "left" if optional else "inner").select("start", "first_end", "second_end")
+    return rows if limit is None else rows.orderBy("start", "first_end", "second_end").limit(limit)
+
+
 def fork_path_count(edge_rows: DataFrame, first: str, second: str) -> DataFrame:
     """Number of (first, second) pairs over all starts, without forming them."""
     degree = lambda k, n: match_one_hop(edge_rows, k).groupBy("src").agg(F.count("*").alias(n))

@@ -1,11 +1,15 @@
 """Bundle, gate, imaging, social-determinant, outreach and generator queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from carespark.functions.fhir import ontology_patient_id, strip_ref, typed_reference
+from carespark.functions.lineage import checkpoint_folder, cut_lineage
 from carespark.operators import bundles as b, gates as g, imaging as im, lookups, outreach as o, sdoh
 from carespark.operators.alerts import device_patient_map
 from carespark.refdata import sdoh as sdoh_ref
+from carespark.sources.bundle_files import load_changed_files, loaded_bundles
 
 from .fixtures import CONDITION_CODES, LINE_KEY, pick
 from .lake import AS_OF_DAY, Lake
@@ -69,9 +73,13 @@ CTES["v_resolved"] = f"select * replace ({RES} as resource) from v_entries"
 query(
     "resolve_references",
     f"select bundle_id, pos, full_url, resource_type, resource_id, {RES} as resource, cast(len(list_distinct([r for r in regexp_extract_all(resource, '\"reference\":\"([^\"]*)\"', 1) if r like 'urn:uuid:%' and r <> 'urn:uuid:missing' or r like 'Patient?%'])) as int) as resolved from v_entries",
-)(lambda k: b.resolve_references(entries(k)))
+)(lambda k: b.resolve_bundles(documents(k).select("bundle_id", "content")))
+query(
+    "resolve_references_by_join",
+    f"select bundle_id, pos, {RES} as resource from v_entries",
+)(lambda k: b.resolve_references(entries(k)).select("bundle_id", "pos", "resource"))
 query("flag_conditional_refs", "select bundle_id, pos, resource_type, contains(resource, '?identifier') as has_conditional_ref from v_resolved")(
-    lambda k: b.flag_conditional_refs(b.resolve_references(entries(k))).select("bundle_id", "pos", "resource_type", "has_conditional_ref")
+    lambda k: b.flag_conditional_refs(b.resolve_bundles(documents(k).select("bundle_id", "content"))).select("bundle_id", "pos", "resource_type", "has_conditional_ref")
 )
 UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
 query(
@@ -272,6 +280,46 @@ query(
     """select 'missing_file' as rule, bundle_id || '.json' as key, '' as detail from v_bundles where o_orderkey % 20 <> 1 and o_orderkey % 40 = 0 union all select 'extra_file', bundle_id || '.json', '' from v_bundles where o_orderkey % 20 = 1
  union all select 'checksum_mismatch', bundle_id || '.json', '' from v_bundles where o_orderkey % 20 <> 1 and o_orderkey % 40 <> 0 and o_orderkey % 31 = 0 union all select 'not_a_transaction_bundle', bundle_id || '.json', 'Bundle' from v_bundles where o_orderkey % 40 <> 0 and o_orderkey % 97 = 0""",
 )(lambda k: g.manifest_findings(*shown_files(k)))
+
+
+# --- files of bundles: one of ten customers each, loaded in two runs ---
+CTES["v_file_texts"] = """select 'file-' || o_custkey // 10 || '.json' as name, o_custkey // 10 as n,
+ '{"resourceType":"Bundle","type":"transaction","entry":[' || string_agg('{"fullUrl":"' || full_url || '","resource":' || resource || '}', ',' order by o_orderkey, pos) || ']}' as content from v_entries group by 1, 2"""
+
+
+def file_texts(k: Lake):
+    entry = F.concat(F.lit('{"fullUrl":"'), "full_url", F.lit('","resource":'), "resource", F.lit("}"))
+    order = F.regexp_extract("bundle_id", r"(\d+)$", 1).cast("bigint")
+    rows = entries(k).join(k.table("orders").selectExpr("concat('bundle-', o_orderkey) as bundle_id", "o_custkey div 10 as n"), "bundle_id")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "pos", entry.alias("e")))), lambda s: s["e"])
+    text = F.concat(F.lit('{"resourceType":"Bundle","type":"transaction","entry":['), F.array_join(listed, ","), F.lit("]}"))
+    return rows.groupBy("n").agg(text.alias("content")).select(F.concat(F.lit("file-"), "n", F.lit(".json")).alias("name"), "n", "content")
+
+
+def file_loads(k: Lake) -> str:
+    """Every 7th file comes with the second run, for which every 5th of the others is changed."""
+    folder = f"{checkpoint_folder(k.spark)}/files-{uuid.uuid4().hex}"
+    texts = cut_lineage(file_texts(k))
+
+    def write(rows):
+        rows.drop("n").repartition("name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(f"{folder}/in")
+
+    write(texts.where("n % 7 <> 0"))
+    load_changed_files(k.spark, f"{folder}/in", f"{folder}/table", 0, by_folder=True)
+    changed = F.when(F.col("n") % 7 != 0, F.concat("content", F.lit(" "))).otherwise(F.col("content"))
+    write(texts.where("n % 7 = 0 or n % 5 = 0").withColumn("content", changed))
+    load_changed_files(k.spark, f"{folder}/in", f"{folder}/table", 1, by_folder=True)
+    return f"{folder}/table"
+
+
+query(
+    "bundle_file_loads",
+    """select 0 as batch_id, name, 'added' as status, sha256(content || chr(10)) as sha256 from v_file_texts where n % 7 <> 0
+ union all select 1, name, case when n % 7 = 0 then 'added' else 'changed' end, sha256(content || case when n % 7 = 0 then '' else ' ' end || chr(10)) from v_file_texts where n % 7 = 0 or n % 5 = 0""",
+)(lambda k: k.spark.read.parquet(file_loads(k)).select("batch_id", "name", "status", "sha256"))
+query("loaded_bundle_entries", "select 'file-' || o_custkey // 10 || '.json' as bundle_id, resource_type, resource_id from v_entries")(
+    lambda k: b.explode_bundles(loaded_bundles(k.spark, file_loads(k))).select("bundle_id", "resource_type", "resource_id")
+)
 query("bundle_checksums", "select bundle_id, sha256(content) as sha256 from v_bundles")(lambda k: documents(k).select("bundle_id", F.sha2(F.col("content").cast("binary"), 256).alias("sha256")))
 query("dangling_references", "select 'dangling_reference' as rule, 'urn:uuid:missing' as key, bundle_id as detail from v_bundles where o_orderkey % 11 = 0")(lambda k: g.dangling_references(entries(k)))
 query("missing_references", "select 'missing_reference' as rule, 'Observation.encounter' as key, 'observation-' || o_orderkey as detail from v_bundles where o_orderkey % 13 = 0")(lambda k: g.missing_references(entries(k)))

@@ -303,6 +303,19 @@ query(
     "graph_fork_optional",
     "select a.src as start, a.dst as first_end, b.e as second_end, coalesce(b.n, 0) as second_count from v_edges a left join (select src, min(dst) as e, count(*) as n from v_edges where type = 'hasCareGap' group by 1) b using (src) where a.type = 'hasClaim'",
 )(lambda k: graph.match_fork(k.edges_of("hasClaim", "hasCareGap"), "hasClaim", "hasCareGap", optional=True))
+
+
+def claims_and_gaps(k, limit=None):
+    """Patients with their claims and, where there are any, their care gaps."""
+    claims = graph.match_one_hop(k.edges_of("hasClaim"), "hasClaim").select(F.col("src").alias("start"), F.col("dst").alias("first_end"))
+    gaps = k.care_gaps.select(F.col("patient_id").alias("start"), F.col("gap_type").alias("second_end"))
+    rows = graph.match_fork_rows(claims, gaps, optional=True, limit=limit)
+    return rows.select(F.col("start").alias("patient_id"), F.col("first_end").alias("claim_id"), F.col("second_end").alias("care_gap"))
+
+
+CTES["v_claim_gaps"] = "select e.src as patient_id, e.dst as claim_id, g.gap_type as care_gap from v_edges e left join v_gaps g on g.patient_id = e.src where e.type = 'hasClaim'"
+query("graph_fork_rows", "select * from v_claim_gaps")(claims_and_gaps)
+query("graph_fork_first_rows", "select * from v_claim_gaps order by patient_id, claim_id, care_gap nulls first limit 10")(lambda k: claims_and_gaps(k, 10))
 query(
     "graph_fork_path_count",
     "select count(*) as paths, count(distinct a.src) as starts from v_edges a join v_edges b using (src) where a.type = 'hasCondition' and b.type = 'hasEncounter'",
@@ -311,20 +324,30 @@ query(
 
 def node_rows(k):
     return (
-        graph.nodes(k.patient_facts.where("patient_id not like '%7'"), "Patient", "patient_id", "gender")
+        graph.nodes(k.patient_facts, "Patient", "patient_id", "gender")
         .unionByName(graph.nodes(k.telemetry.select("device_id").distinct(), "Device", "device_id"))
         .unionByName(graph.nodes(k.dim_payer, "Payer", "payer_id", "payer_name"))
         .unionByName(graph.nodes(k.fact_claim, "Claim", "claim_id"))
     )
 
 
-query("graph_nodes", "select label, count(*) as n, count(distinct id) as ids from (select 'Patient' as label, patient_id as id from v_patients where patient_id not like '%7' union all select 'Device', device_id from (select distinct device_id from v_telemetry) union all select 'Payer', coverage_id from v_payer union all select 'Claim', claim_id from v_fact_claim) group by 1")(
+query("graph_nodes", "select label, count(*) as n, count(distinct id) as ids from (select 'Patient' as label, patient_id as id from v_patients union all select 'Device', device_id from (select distinct device_id from v_telemetry) union all select 'Payer', coverage_id from v_payer union all select 'Claim', claim_id from v_fact_claim) group by 1")(
     lambda k: node_rows(k).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 )
 AUDIT = ["linkedToDevice", "hasClaim", "coveredBy", "hasProcedure"]
 query(
     "graph_edge_audit",
     """select t.type, count(e.src) as edges, count(e.src) filter (where s.id is null) as dangling_src, count(e.src) filter (where d.id is null) as dangling_dst, count(e.src) = 0 as is_empty from (values ('linkedToDevice'), ('hasClaim'), ('coveredBy'), ('hasProcedure')) t(type)
- left join v_edges e using (type) left join v_node_ids s on s.id = e.src and s.label = e.src_label left join v_node_ids d on d.id = e.dst and d.label = e.dst_label group by 1""",
-)(lambda k: graph.edge_audit(k.edges_of(*AUDIT[:3]), node_rows(k), AUDIT))
-CTES["v_node_ids"] = "select distinct 'Patient' as label, patient_id as id from v_patients where patient_id not like '%7' union all select distinct 'Device', device_id from v_telemetry union all select distinct 'Payer', coverage_id from v_payer union all select distinct 'Claim', claim_id from v_fact_claim"
+ left join v_moved_edges e using (type) left join v_node_ids s on s.id = e.src and s.label = e.src_label left join v_node_ids d on d.id = e.dst and d.label = e.dst_label group by 1""",
+)(lambda k: graph.edge_audit(moved_edges(k), node_rows(k), AUDIT))
+CTES["v_moved_edges"] = "select case when type = 'hasClaim' and src like '%7' then src || '-moved' else src end as src, case when type = 'linkedToDevice' and dst like '%3' then 'unknown' else dst end as dst, type, src_label, dst_label from v_edges"
+
+
+def moved_edges(k):
+    """Edges of which some ends name nodes that do not exist."""
+    src = F.when((F.col("type") == "hasClaim") & F.col("src").endswith("7"), F.concat("src", F.lit("-moved"))).otherwise(F.col("src"))
+    dst = F.when((F.col("type") == "linkedToDevice") & F.col("dst").endswith("3"), F.lit("unknown")).otherwise(F.col("dst"))
+    return k.edges_of(*AUDIT[:3]).withColumns({"src": src, "dst": dst})
+
+
+CTES["v_node_ids"] = "select distinct 'Patient' as label, patient_id as id from v_patients union all select distinct 'Device', device_id from v_telemetry union all select distinct 'Payer', coverage_id from v_payer union all select distinct 'Claim', claim_id from v_fact_claim"

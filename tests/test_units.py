@@ -12,7 +12,7 @@ from carespark.functions.ids import uuid5
 from carespark.functions.lineage import checkpoint_folder
 from carespark.functions.ranking import index_within, rank_values, sorted_index
 from carespark.functions.text import has_term, mask_id, mask_name
-from carespark.operators import bundles, gates, lookups, outreach, quality, risk, sdoh
+from carespark.operators import bundles, gates, graph, lookups, outreach, quality, risk, sdoh
 from carespark.sources import events
 from carespark.sources.lakehouse import Lakehouse, SchemaConflict, additive, mirror_write
 
@@ -197,6 +197,48 @@ def test_references_resolve_at_any_depth(spark):
     assert "urn:uuid:1" in e["note"]
 
 
+def test_bundles_are_rewritten_as_trees(spark):
+    import json
+
+    patient = {"resourceType": "Patient", "id": "p1", "identifier": [{"system": "s", "value": 'q"1'}, {"system": "", "value": "x"}, {"value": "y"}]}
+    plan = {
+        "resourceType": "CarePlan", "id": "c1", "subject": {"reference": "urn:uuid:1"},
+        "addresses": [{"reference": "Patient/p1"}, {"reference": "urn:uuid:1"}, {"reference": ""}, {"reference": 'Patient?identifier=s|q"1'}],
+        "contained": [{"resourceType": "Observation", "subject": {"reference": "urn:uuid:1", "display": "ä \\ \" {"}}],
+        'odd"reference': "urn:uuid:1", "text": 'see ,"reference":"urn:uuid:1", {"reference":"urn:uuid:1"}', "reference": {"reference": "urn:uuid:2"},
+    }
+    docs = [
+        ("a", bundle(("urn:uuid:1", {"resourceType": "Old", "id": "o"}), ("urn:uuid:1", patient), ("urn:uuid:2", plan), ("Patient/p1", {"resourceType": "Group", "id": "g"}), ("urn:uuid:3", {"id": "untyped"}))),
+        ("empty", json.dumps({"resourceType": "Bundle", "entry": []})), ("none", "{}"), ("cut", "{"), ("null", None),
+    ]
+    frame = spark.createDataFrame(docs, "bundle_id string, content string")
+    rows = bundles.resolve_bundles(frame).collect()
+    assert [(r.bundle_id, r.pos) for r in sorted(rows, key=lambda r: r.pos)] == [("a", i) for i in range(5)]
+    got = {r.resource_id: r for r in rows}
+    want = json.loads(json.dumps(plan))
+    want["subject"]["reference"] = want["contained"][0]["subject"]["reference"] = "Patient/p1"
+    want["addresses"] = [{"reference": v} for v in ("Group/g", "Patient/p1", "", "Patient/1")]
+    want["reference"]["reference"] = "CarePlan/c1"
+    assert json.loads(got["c1"].resource) == want and got["c1"].resolved == 4
+    assert json.loads(got["p1"].resource) == patient and got["p1"].resolved == 0
+    joined = {r.pos: (r.resource, r.resolved) for r in bundles.resolve_references(bundles.explode_bundles(frame)).collect()}
+    assert joined == {r.pos: (r.resource, r.resolved) for r in rows}
+    plan_text = bundles.resolve_bundles(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan_text and "Join" not in plan_text
+
+
+def test_fork_rows(spark, rows):
+    first = spark.createDataFrame([("p1", "c2"), ("p1", "c1"), ("p2", "c3"), ("p3", "c4")] + [("p0", f"c{i:03d}") for i in range(200)], "start string, first_end string")
+    second = spark.createDataFrame([("p1", "g2"), ("p1", "g1"), ("p3", None), ("p9", "g")] + [("p0", f"g{i:03d}") for i in range(200)], "start string, second_end string")
+    every = [(a, x, y) for a, x in map(tuple, first.collect()) for y in ([e for s, e in map(tuple, second.collect()) if s == a] or [None])]
+    assert rows(graph.match_fork_rows(first, second, optional=True)) == sorted(every, key=repr)
+    key = lambda r: (r[0], r[1], r[2] is not None, r[2] or "")
+    for n in (3, 250):
+        assert sorted(map(tuple, graph.match_fork_rows(first, second, True, n).collect()), key=key) == sorted(every, key=key)[:n]
+    inner = [r for r in every if r[0] != "p2"]
+    assert sorted(map(tuple, graph.match_fork_rows(first, second, False, 7).collect()), key=key) == sorted(inner, key=key)[:7]
+
+
 def test_chunks_keep_small_bundles_whole(spark):
     rows = [("big", i, "Patient" if i < 2 else "Condition") for i in range(12)] + [("small", i, "Condition") for i in range(5)]
     df = spark.createDataFrame(rows, "bundle_id string, pos int, resource_type string")
