@@ -55,6 +55,10 @@ def project_node_table(silver: DataFrame, name: str) -> DataFrame:
         from_json = F.get_json_object("period_string", "$.start")
         own = F.col("period_start") if "period_start" in df.columns else F.lit(None).cast("string")
         df = df.withColumn("period_start", F.coalesce(F.nullif(F.trim(own), F.lit("")), from_json))
+    if name == "Observation" and "valueQuantity_string" in df.columns:
+        for part, kind in (("value", "double"), ("unit", "string")):
+            own = F.col(f"valueQuantity_{part}") if f"valueQuantity_{part}" in df.columns else F.lit(None).cast(kind)
+            df = df.withColumn(f"valueQuantity_{part}", F.coalesce(own, F.get_json_object("valueQuantity_string", f"$.{part}").cast(kind)))
     df = with_optional(df, **columns)
     if reference is None:
         return df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])

@@ -218,11 +218,14 @@ query(
  when 'PR_ABNORMAL' then 'Pulse ' || pr || ' bpm outside threshold' else 'Multiple vital-sign thresholds breached' end as reason,
  case when escalated then 'Escalated by conditions: ' || qualifying_conditions when qualifying_conditions = '' then 'Vital-sign threshold only' else 'Conditions: ' || qualifying_conditions end as context, {ACTION} from v_enriched_week v_e {ORDER} 50""",
 )(lambda k: a.alert_reasons(enriched(k, WEEK)))
+CTES["v_both_windows"] = "select * from v_enriched union all select * from v_enriched_week"
+CTES["v_risk_rows"] = """select device_id, patient_name, patient_id, max(alert_time) as latest, count(*) as n, count(*) filter (where alert_tier = 'CRITICAL') as critical, count(*) filter (where alert_tier = 'URGENT') as urgent, bool_or(escalated) as escalated,
+ coalesce(array_to_string((list_sort(list_distinct(list(qualifying_conditions) filter (where qualifying_conditions <> ''))))[1:5], ', '), '') as conditions from v_both_windows group by 1, 2, 3"""
 query(
     "patient_risk_context",
-    f"""select device_id, patient_name, patient_id, {ts_text('alert_time')} as latest_alert, 1 as alert_count, cast(alert_tier = 'CRITICAL' as int) as critical, cast(alert_tier = 'URGENT' as int) as urgent,
- case when escalated then 'Escalated by conditions: ' || qualifying_conditions when qualifying_conditions = '' then 'Vital-sign threshold only' else 'Conditions: ' || qualifying_conditions end as risk_context from v_enriched_week""",
-)(lambda k: a.patient_risk_context(enriched(k, WEEK)))
+    f"""select device_id, patient_name, patient_id, {ts_text('latest')} as latest_alert, n as alert_count, critical, urgent,
+ case when escalated then 'Escalated by conditions: ' || conditions when conditions = '' then 'Vital-sign threshold only' else 'Conditions: ' || conditions end as risk_context from v_risk_rows""",
+)(lambda k: a.patient_risk_context(enriched(k).unionByName(enriched(k, WEEK))))
 query(
     "alerts_by_point",
     f"select location_name, latitude, longitude, city, state, count(*) as alert_count, {TIERS}, count(distinct patient_name) as patients, count(distinct device_id) as devices from v_located group by 1, 2, 3, 4, 5",

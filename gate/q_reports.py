@@ -264,14 +264,19 @@ query("graph_device_table", "select device_id as \"idOrig\", cast(null as varcha
 query("graph_encounter_table", "select encounter_id as \"idOrig\", '{\"code\":\"' || encounter_class || '\"}' as class_string, cast(null as varchar) as status, strftime(start_time, '%Y-%m-%d %H:%M:%S') as period_start, case when num % 4 = 0 then null else patient_id end as patient_id from v_encounters")(
     lambda k: graph.project_node_table(k.silver("encounter"), "Encounter")
 )
-for _label, _table, _view, _key in [
-    ("Condition", "condition", "v_conditions", "condition_id"),
-    ("MedicationRequest", "medication", "v_medications", "medication_id"),
-    ("Observation", "observation", "v_observations", "observation_id"),
+LINKED = "case when num % 4 = 0 then null else patient_id end as patient_id"
+
+
+def coded(system: str, code: str = "code", display: str = "display") -> str:
+    return f"""'{{"coding":[{{"system":"' || {system} || '","code":"' || {code} || '","display":"' || {display} || '"}}]}}'"""
+
+
+for _label, _table, _sql in [
+    ("Condition", "condition", f"select condition_id as \"idOrig\", {coded('system')} as code_string, {coded("'status'", 'clinical_status', 'clinical_status')} as \"clinicalStatus_string\", {LINKED} from v_conditions"),
+    ("MedicationRequest", "medication", f"select medication_id as \"idOrig\", {coded("'rxnorm'")} as \"medicationCodeableConcept_string\", status, {day_text('authored_date')} as \"authoredOn\", {LINKED} from v_medications"),
+    ("Observation", "observation", f"select observation_id as \"idOrig\", {coded("'http://loinc.org'")} as code_string, cast(value as double) as \"valueQuantity_value\", unit as \"valueQuantity_unit\", {day_text('obs_date')} as \"effectiveDateTime\", {LINKED} from v_observations"),
 ]:
-    query(f"graph_{_table}_table", f"select {_key} as \"idOrig\", case when num % 4 = 0 then null else patient_id end as patient_id from {_view}")(
-        lambda k, n=_label, t=_table: graph.project_node_table(k.silver(t), n).select("idOrig", "patient_id")
-    )
+    query(f"graph_{_table}_table", _sql)(lambda k, n=_label, t=_table: graph.project_node_table(k.silver(t), n))
 query("graph_imaging_table", "select study_id as \"idOrig\", description, case when (num // 20) % 4 = 0 then null else patient_id end as patient_id, cast(number_of_series as bigint) as \"numberOfSeries\", cast(number_of_instances as bigint) as \"numberOfInstances\" from v_imaging")(
     lambda k: graph.project_node_table(k.silver("imaging"), "ImagingStudy")
 )
