@@ -29,7 +29,7 @@ BLOCK_TOKENS = 4 << 20
 #: Cost of a token, and of a pair of tokens of the same piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
 #: Bytes of words and ids that a task remembers; then it starts anew. Size of an entry besides its characters.
-MEMORY, ENTRY = 64 << 20, 190
+MEMORY, ENTRY = 128 << 20, 190
 END = END_ID.to_bytes(4, "little")
 
 # The tokenizer's own word pattern, for Latin-1 text in lower case.
@@ -91,7 +91,9 @@ class WordEncoder:
         self.whole = tokenizer_of(path)
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # also characters that only Python takes for white space
-        self.odd = re.compile("[\x1c-\x1f]|" + "|".join(map(re.escape, special)), re.IGNORECASE).search
+        odd = re.compile("[\x1c-\x1f]|" + "|".join(map(re.escape, special)), re.IGNORECASE).search
+        heads = {*"\x1c\x1d\x1e\x1f", *(c for t in special for c in (t[0].lower(), t[0].upper()))}
+        self.odd = lambda text: any(c in text for c in heads) and odd(text)  # most texts hold no such character
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
