@@ -107,15 +107,12 @@ def edges(tables: dict[str, DataFrame], kinds: list[str] | None = None) -> DataF
         if table not in tables:
             continue
         text = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+        pairs = tables[table].select(text(src).alias("src"), text(dst).alias("dst")).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+        # distinct pairs of one table: joins of it that add no rows and no end are dropped by the optimizer
         parts.append(
-            tables[table]
-            .select(
-                text(src).alias("src"), text(dst).alias("dst"), F.lit(kind).alias("type"),
-                F.lit(src_label).alias("src_label"), F.lit(dst_label).alias("dst_label"),
-            )
-            .where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+            pairs.distinct().select("src", "dst", F.lit(kind).alias("type"), F.lit(src_label).alias("src_label"), F.lit(dst_label).alias("dst_label"))
         )
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def match_one_hop(edge_rows: DataFrame, kind: str) -> DataFrame:
