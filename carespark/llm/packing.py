@@ -120,9 +120,9 @@ class WordEncoder:
         return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, memory: int = MEMORY) -> WordEncoder:
     """An encoder for one task: what it remembers goes with the task."""
-    return WordEncoder(path)
+    return WordEncoder(path, memory)
 
 
 def capacities(total: int, sequence: int = SEQUENCE) -> list[int]:
@@ -211,10 +211,11 @@ def assign(lengths: list[int], sequence: int = SEQUENCE) -> list[list[tuple[int,
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, block_tokens: int = BLOCK_TOKENS, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, block_tokens: int = BLOCK_TOKENS, with_ids: bool = True, memory: int = MEMORY) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    `ids` holds little-endian unsigned 32-bit ids and is left out on request.
+    `ids` holds little-endian unsigned 32-bit ids and is left out on request. A
+    task remembers words in at most about `memory` bytes: more memory saves time.
 
     Each document is its token ids and the end id. `tokenizer` is the path of a
     tokenizer file that every machine has. A task packs its rows in blocks of
@@ -229,7 +230,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, block_tokens
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer)
+        words = encoder(tokenizer, memory)
         arrow = to_arrow_schema(schema)
         number = TaskContext.get().partitionId() << 36
 

@@ -28,7 +28,7 @@ def tokenizer_path() -> str:
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(read_table(spark, folder, "documents"), tokenizer_path(), with_ids=False)
+    return packing.pack(read_table(spark, folder, "documents"), tokenizer_path(), with_ids=False, memory=128 << 20)
 
 
 def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
