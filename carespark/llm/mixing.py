@@ -75,6 +75,7 @@ def tilts(sized: DataFrame, goal: DataFrame, most: float = MOST) -> DataFrame:
     distinct size. The dual is convex in each source's tilt: the expected words
     rise with it. A Newton step that leaves the bracket known so far is replaced
     by its middle. Sources at `most` times their size have no finite tilt (null).
+    Raises where a source is still off its target after `STEPS` steps.
     """
     counted = sized.where(F.col("size") > 0).groupBy("source", "size").agg(F.sum("n").alias("n"))
     scale = (F.col("source_size") / F.col("source_rows")).alias("scale")
@@ -125,6 +126,8 @@ def tilts(sized: DataFrame, goal: DataFrame, most: float = MOST) -> DataFrame:
         )
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"the tilts of some sources miss their targets after {STEPS} steps")
     return goal.join(
         state.select(key.alias("s"), F.col("scale").alias("at"), "tilt"), goal["source"].eqNullSafe(F.col("s")), "left"
     ).select("source", "source_size", "source_rows", "target", F.coalesce("at", F.lit(1.0)).alias("scale"), "tilt")
