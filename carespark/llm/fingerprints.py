@@ -8,6 +8,7 @@ when the texts share the picked k-mers in the same order.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,9 @@ from .common import texts_of
 K = 8
 PICKS = 2
 SKETCHES = 48
-#: Documents per neighbour bucket; more rows make more buckets.
-BUCKET_ROWS = 4096
+#: Documents per neighbour bucket; more rows make more buckets, up to `BUCKETS` for each shuffle partition.
+BUCKET_ROWS, BUCKETS = 4096, 4
+LOWEST = -(1 << 63)
 
 _rng = np.random.default_rng(20240607)
 _ODD = (_rng.integers(0, 1 << 32, SKETCHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -129,35 +131,72 @@ def add_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprin
     return docs.select(*names).mapInArrow(run, schema)
 
 
-def neighbour_buckets(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(bucket, guard, key, doc_id, text): rows in runs of ascending key, each run closed by a guard.
+def bucket_starts(keyed: DataFrame, bucket_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First (key, hash) of each bucket, ascending; the lowest hash stands for any row of its key.
 
-    The bounds are ids of the table: eight bytes for each `bucket_rows` rows. A row that opens a bucket goes to the bucket before as well,
-    as its guard; the first row of all guards the last bucket. The key is the
-    id, a null id comes first.
+    Buckets hold about `bucket_rows` rows, and there are at most `BUCKETS` for
+    each shuffle partition, so what the driver holds does not grow with the
+    table. A key that fills several buckets is cut by equal parts of the hash;
+    those parts start where their first row is.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = keyed.count()
-    n = max(1, -(-rows // bucket_rows))
+    rows, first = keyed.agg(F.count("*"), F.min("key")).first()
+    most = BUCKETS * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(-(-rows // bucket_rows), most))
+    if n == 1:
+        return np.array([first or 0], dtype=np.int64), np.array([LOWEST], dtype=np.int64)
     at = [i / n for i in range(n)]
-    bounds = sorted(set(keyed.agg(F.percentile_approx("key", at, 10 * n)).first()[0] or [])) if n > 1 else []
-    first = keyed.agg(F.min("key")).first()[0]
-    bounds = sorted({*bounds, first}) if first is not None else [0]
-    starts = np.array(bounds, dtype=np.int64)
+    marks = Counter(keyed.agg(F.percentile_approx("key", at, 10 * n)).first()[0])
+    marks[first] = max(1, marks[first])
+    cut = sorted((k, LOWEST + (j << 64) // m) for k, m in marks.items() for j in range(m))
+    hot = [k for k, m in marks.items() if m > 1]
+    if hot:
+        own = keyed.where(F.col("key").isin(hot)).select("key", "hash", place(*_arrays(cut)).alias("at"))
+        found = own.groupBy("key", "at.bucket").agg(F.min("hash").alias("hash")).collect()
+        cut = sorted([(k, LOWEST) for k, m in marks.items() if m == 1] + [(r["key"], r["hash"]) for r in found])
+    return _arrays(cut)
+
+
+def _arrays(starts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, hashes = zip(*starts)
+    return np.array(keys, dtype=np.int64), np.array(hashes, dtype=np.int64)
+
+
+def place(starts: np.ndarray, lows: np.ndarray):
+    """Column (bucket, opens) of `key` and `hash`: the last start that is not above the row, and whether the row is that start."""
+    values, counts = np.unique(starts, return_counts=True)
+    hot = values[counts > 1]
 
     @F.pandas_udf("struct<bucket:int,opens:boolean>")
-    def place(keys: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(starts, keys.to_numpy(), side="right") - 1
-        return pd.DataFrame({"bucket": at, "opens": starts[at] == keys.to_numpy()})
+    def found(keys: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        k, h = keys.to_numpy(), hashes.to_numpy()
+        at = np.searchsorted(starts, k, side="right") - 1
+        for value in np.intersect1d(hot, k):
+            a, b = np.searchsorted(starts, value), np.searchsorted(starts, value, side="right")
+            same = k == value
+            at[same] = np.maximum(a, a + np.searchsorted(lows[a:b], h[same], side="right") - 1)
+        return pd.DataFrame({"bucket": at, "opens": (starts[at] == k) & ((lows[at] == LOWEST) | (lows[at] == h))})
 
-    before = F.when(F.col("bucket") == 0, F.lit(len(bounds) - 1)).otherwise(F.col("bucket") - 1)
-    placed = keyed.withColumn("at", place("key")).select("*", "at.bucket", "at.opens")
+    return found("key", "hash")
+
+
+def neighbour_buckets(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(bucket, guard, key, hash, doc_id, text): rows in runs of ascending (key, hash), each run closed by a guard.
+
+    The key is the id, a null id comes first; the hash is that of the text. A
+    row that opens a bucket goes to the bucket before as well, as its guard;
+    the first row of all guards the last bucket.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(key.alias("key"), F.xxhash64(text).alias("hash"), "doc_id", text.alias("text"))
+    starts, lows = bucket_starts(keyed, bucket_rows)
+    before = F.when(F.col("bucket") == 0, F.lit(len(starts) - 1)).otherwise(F.col("bucket") - 1)
+    placed = keyed.withColumn("at", place(starts, lows)).select("*", "at.bucket", "at.opens")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guard"))
     extra = F.struct(before.alias("bucket"), F.lit(1).alias("guard"))
     return placed.select(
-        F.explode(F.when(F.col("opens"), F.array(own, extra)).otherwise(F.array(own))).alias("p"), "key", "doc_id", "text"
-    ).select("p.bucket", "p.guard", "key", "doc_id", "text")
+        F.explode(F.when(F.col("opens"), F.array(own, extra)).otherwise(F.array(own))).alias("p"), "key", "hash", "doc_id", "text"
+    ).select("p.bucket", "p.guard", "key", "hash", "doc_id", "text")
 
 
 def neighbour_fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -166,12 +205,14 @@ def neighbour_fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> D
     The edited text is the text with its last half (rounded down, in code
     points) replaced by the first as many code points of the next document by
     ascending id, or by all of it; after the last comes the first. Null texts
-    count as empty. Rows with the same id follow each other by text. With one
-    row that row is its own next document. Texts are shuffled once; each task
-    reads its sorted rows as a stream and keeps one document back.
+    count as empty. Rows with the same id follow each other by a hash of their
+    text, then by text, so that an id (or null) of very many rows is divided;
+    only copies of one row stay together. With one row that row is its own next
+    document. Texts are shuffled once; each task reads its sorted rows as a
+    stream and keeps one document back.
     """
     placed = neighbour_buckets(docs, bucket_rows)
-    ordered = placed.repartition("bucket").sortWithinPartitions("bucket", "guard", "key", "text")
+    ordered = placed.repartition("bucket").sortWithinPartitions("bucket", "guard", "key", "hash", "text")
     fields = (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
         " near_edited double, near_next double"

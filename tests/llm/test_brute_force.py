@@ -15,6 +15,7 @@ from hypothesis import given, settings, strategies as st
 
 from carespark.llm import fingerprints, langid, licenses, mixing, packing, quality, simhash, topk, toxicity, url_rules
 from carespark.llm.queries import tokenizer_path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 
@@ -218,6 +219,28 @@ def test_neighbours(spark, odd_docs, no_docs, bucket_rows):
     assert fingerprints.add_fingerprints(odd_docs).count() == odd_docs.count()
 
 
+def test_neighbours_of_one_id_are_divided(spark):
+    """Half of the rows have no id, a third share one id: their buckets stay near an even share, results are whole."""
+    rnd = random.Random(4)
+    ids = [None] * 300 + [7] * 200 + rnd.sample(range(-50, 900), 100)
+    rows = [(i, f"{rnd.random()} text {n % 290}") for n, i in enumerate(ids)] + [(7, "same")] * 5 + [(None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = fingerprints.neighbour_buckets(docs, 40).collect()
+    sizes = Counter(r["bucket"] for r in placed if not r["guard"])
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) <= 3 * 40
+    ordered = sorted(
+        ((-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["h"], r["text"] or "", r["doc_id"])
+         for r in docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()),
+        key=lambda r: r[:3],
+    )
+    want = []
+    for (*_, text, i), (*_, after, _) in zip(ordered, ordered[1:] + ordered[:1]):
+        half = len(text) // 2
+        want.append((i, len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    got = fingerprints.neighbour_fingerprints(docs, 40).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 # --- url rules -------------------------------------------------------------------
 
 
@@ -438,6 +461,13 @@ def test_mix_meets_targets(spark):
     assert copies.count() == sum(r["copies"] * r["n"] for r in got)
 
 
+def test_mix_tells_when_targets_are_missed(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 9 + 1), "ab"[i % 3 == 0]) for i in range(60)], "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="targets"):
+        mixing.mix(docs)
+
+
 def test_mix_of_odd_rows(odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
     mixed = mixing.mix(odd_docs)
