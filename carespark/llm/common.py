@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,6 +46,15 @@ def blocks(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def give_back() -> None:
+    """Return what this worker no longer needs to the machine, so that reused workers do not keep the peak of each stage."""
+    gc.collect()  # memories that name each other
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """Texts of an Arrow batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
@@ -75,6 +86,7 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     kept + [pa.array(new[n], type=types.field(n).type) for n in names[len(keep):]], names=names
                 )
+        give_back()
 
     return df.select(*keep, F.col(text)).mapInArrow(run, schema)
 
@@ -87,6 +99,7 @@ def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bo
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(work(texts_of(batch, text)), type=pa.bool_()))
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 

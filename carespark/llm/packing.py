@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from .common import texts_of
+from .common import give_back, texts_of
 
 SEQUENCE = 2048
 END_ID = 1
 #: Tokens that are packed together; about what one task holds at a time.
 BLOCK_TOKENS = 4 << 20
+#: Rows of a batch that are Python strings at a time.
+SLICE_ROWS = 1000
 #: Cost of a token, and of a pair of tokens of the same piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
 #: Bytes of words and ids that a task remembers; then it starts anew. Size of an entry besides its characters.
@@ -251,8 +253,9 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, block_tokens
         names: list = []
         ids: list[bytes] = []
         held = 0
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text")):
+        slices = (batch.slice(a, SLICE_ROWS) for batch in batches for a in range(0, batch.num_rows, SLICE_ROWS))
+        for part in slices:
+            for name, text in zip(part.column(0).to_pylist(), texts_of(part, "text")):
                 own = words.encode(text) + END
                 names.append(name)
                 ids.append(own)
@@ -262,5 +265,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, block_tokens
                     names, ids, held = [], [], 0
         if names:
             yield from packed(names, ids)
+        del words, names, ids
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
