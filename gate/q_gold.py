@@ -162,7 +162,7 @@ query(
     f"""select measure_id, measure_name, gaps_to_close, closeable_gaps, quality_rate as current_rate, {SIM} as simulated_rate, star_rating as current_star, {STAR.format(r=SIM)} as simulated_star, measure_weight, total_open_gaps from (
  select *, least(gaps_to_close, total_open_gaps) as closeable_gaps from (select r.*, coalesce(g.n, 0) as total_open_gaps, s.n as gaps_to_close from v_rated r
  left join (select measure_id, cast(count(*) as int) as n from v_gaps group by 1) g using (measure_id), (values (10), (25), (50), (100), (250)) s(n)))""",
-)(lambda k: quality.star_simulation(k.rated, k.care_gaps))
+)(lambda k: quality.star_simulation(k.share("measures").rated, k.care_gaps))
 
 # --- I ---
 HCC = ", ".join(f"('{a}', '{b}', '{c}', {d}::double, '{e}')" for a, b, c, d, e in ref.HCC_MAP)
