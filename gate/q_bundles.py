@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from carespark.functions.fhir import ontology_patient_id, strip_ref, typed_reference
-from carespark.functions.lineage import checkpoint_folder, cut_lineage
+from carespark.functions.lineage import checkpoint_folder
 from carespark.operators import bundles as b, gates as g, imaging as im, lookups, outreach as o, sdoh
 from carespark.operators.alerts import device_patient_map
 from carespark.refdata import sdoh as sdoh_ref
@@ -299,10 +299,12 @@ def file_texts(k: Lake):
 def file_loads(k: Lake) -> str:
     """Every 7th file comes with the second run, for which every 5th of the others is changed."""
     folder = f"{checkpoint_folder(k.spark)}/files-{uuid.uuid4().hex}"
-    texts = cut_lineage(file_texts(k))
+    texts = file_texts(k)
+    texts.write.parquet(f"{folder}/texts")  # compressed, unlike a checkpoint
+    texts = k.spark.read.schema(texts.schema).parquet(f"{folder}/texts")
 
-    def write(rows):
-        rows.drop("n").repartition("name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(f"{folder}/in")
+    def write(rows):  # one row per name: no shuffle brings rows of a file together
+        rows.drop("n").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(f"{folder}/in")
 
     write(texts.where("n % 7 <> 0"))
     load_changed_files(k.spark, f"{folder}/in", f"{folder}/table", 0, by_folder=True)
