@@ -86,3 +86,37 @@ def test_gold_build(spark, tmp_path, folder):
     failing = gate.limit(1).withColumn("passed", F.lit(False))
     with pytest.raises(RuntimeError):
         check(failing)
+
+
+def test_claim_reports_parse_only_the_members_they_use(spark, folder):
+    text = plan(Lake(spark, folder).rates)
+    assert "total_string" in text and "payment_string" in text
+    assert not any(c in text for c in ("provider_string", "facility_string", "billablePeriod_string"))
+
+
+@pytest.mark.parametrize("name", ["utilization_kpis", "payer_segments", "payer_kpi_row", "kpi_snapshot", "series_snapshot", "graph_edge_counts"])
+def test_reports_build_claims_once(name, spark, folder):
+    Lake(spark, folder).silver("eob")
+    df = QUERIES[name](spark, folder)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "insurance_string" not in text
+
+
+def test_measures_are_built_once(spark, folder):
+    for name in ("star_simulation", "provider_kpi_row"):
+        text = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "valueQuantity_string" not in text
+
+
+def test_stages_with_large_methods_are_run_by_operator(spark, folder):
+    Lake(spark, folder)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_bundle_files_are_written_without_a_checkpoint(spark, folder):
+    from pathlib import Path
+
+    from gate.q_bundles import file_loads
+
+    table = Path(file_loads(Lake(spark, folder)))
+    assert list((table.parent / "texts").glob("*.parquet"))
