@@ -119,3 +119,14 @@ def test_bundle_files_are_written_without_a_checkpoint(spark, folder):
     table = file_loads(Lake(spark, folder))
     texts = spark.read.parquet(table.removesuffix("/table") + "/texts")
     assert texts.count() == texts.select("name").distinct().count() > 0
+
+
+@pytest.mark.parametrize("name", ["utilization_monthly", "worklist_snapshot", "reference_integrity", "graph_nodes", "graph_fork_rows", "graph_fork_optional"])
+def test_silver_is_built_within_the_query(name, spark, folder):
+    read = QUERIES[name](spark, folder).inputFiles()
+    assert not any("/lake-" in f for f in read)
+
+
+def test_claim_ids_parse_no_coverage(spark, folder):
+    text = plan(Lake(spark, folder).fact_claim.select("claim_id", "patient_id"))
+    assert "patient_string" in text and "insurance_string" not in text
