@@ -130,3 +130,36 @@ def test_silver_is_built_within_the_query(name, spark, folder):
 def test_claim_ids_parse_no_coverage(spark, folder):
     text = plan(Lake(spark, folder).fact_claim.select("claim_id", "patient_id"))
     assert "patient_string" in text and "insurance_string" not in text
+
+
+@pytest.mark.parametrize("name", ["graph_path", "graph_edge_audit"])
+def test_graph_queries_build_claims_once(name, spark, folder):
+    text = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "insurance_string" not in text
+
+
+def test_edges_are_shuffled_once_for_a_path(spark):
+    from carespark.operators import graph
+
+    rows = [("a", "1", "x"), ("a", "1", "x"), ("b", "2", None), ("b", "3", "y"), (None, "3", "y"), ("c", "", "z")]
+    claims = spark.createDataFrame(rows, "patient_id string, claim_key string, coverage_id string")
+    make = lambda near: graph.match_path(graph.edges({"fact_claim": claims}, ["hasClaim", "coveredBy"], near), "hasClaim", "coveredBy")
+    near = {"hasClaim": "dst", "coveredBy": "src"}
+    assert plan(make(near)).count("Exchange hashpartitioning") == 2 < plan(make(None)).count("Exchange hashpartitioning")
+    want = [("a", "1", "x"), ("b", "3", "y")]
+    assert sorted(map(tuple, make(near).collect())) == sorted(map(tuple, make(None).collect())) == want
+
+
+def test_edge_audit_shuffles_nodes_once(spark):
+    from carespark.operators import graph
+
+    edges = spark.createDataFrame(
+        [("p1", "c1", "hasClaim", "Patient", "Claim"), ("p1", "c2", "hasClaim", "Patient", "Claim"), ("p2", "c1", "hasClaim", "Patient", "Claim"),
+         ("c1", "x", "coveredBy", "Claim", "Payer"), ("p1", "e1", "hasEncounter", "Patient", "Encounter")],
+        "src string, dst string, type string, src_label string, dst_label string",
+    )
+    nodes = spark.createDataFrame([("p1", "Patient"), ("p1", "Patient"), ("c1", "Claim"), ("c1", "Patient"), (None, "Claim")], "id string, label string")
+    audit = graph.edge_audit(edges, nodes, ["hasClaim", "coveredBy", "hasProcedure"])
+    assert plan(audit).count("Exchange hashpartitioning") == 2
+    got = {r["type"]: (r["edges"], r["dangling_src"], r["dangling_dst"], r["is_empty"]) for r in audit.collect()}
+    assert got == {"hasClaim": (3, 1, 1, False), "coveredBy": (1, 0, 1, False), "hasProcedure": (0, 0, 0, True)}
