@@ -78,7 +78,9 @@ def conditional_ref_map(entries: DataFrame) -> DataFrame:
 
 #: A `reference` member's text in compact JSON. Quotes inside a text are escaped, so a bare quote
 #: after a brace or comma opens a member name: text that merely looks like a member never matches.
-MEMBER = r'(?<=[{,]"reference":")(?:[^"\\]|\\.)*+(?=")'
+#: It begins with the plain name, which the regex engine searches for without a step per character.
+NAME = '"reference":"'
+MEMBER = NAME + r'(?<=[{,]"reference":")((?:[^"\\]|\\.)*+)(?=")'
 
 
 def _unescaped(text: Column) -> Column:
@@ -94,7 +96,7 @@ def _escaped(text: Column) -> Column:
 
 def reference_list(resource: Column) -> Column:
     """Every `reference` text at any depth of compact JSON, unescaped."""
-    return F.transform(F.regexp_extract_all(resource, F.lit(MEMBER), 0), _unescaped)
+    return F.transform(F.regexp_extract_all(resource, F.lit(MEMBER), 1), _unescaped)
 
 
 def _let(value: Column, then) -> Column:
@@ -104,7 +106,8 @@ def _let(value: Column, then) -> Column:
 
 def _last_upto(pairs: Column, ref: Column) -> Column:
     """Index of the last of the sorted pairs whose `ref` is not above the given one, by halving; -1 without."""
-    steps = F.filter(F.array(*[F.lit(1 << b) for b in range(24, -1, -1)]), lambda b: b <= F.size(pairs))
+    digits = F.least(F.length(F.bin(F.size(pairs))), F.lit(25))
+    steps = F.slice(F.array(*[F.lit(1 << b) for b in range(24, -1, -1)]), -digits, digits)
     return F.aggregate(
         steps, F.lit(-1), lambda p, b: F.when(F.coalesce(F.get(pairs, p + b)["ref"] <= ref, F.lit(False)), p + b).otherwise(p)
     )
@@ -117,7 +120,7 @@ def rewrite_references(resource: Column, pairs: Column) -> Column:
     is replaced once and nothing else is touched. `pairs` is sorted; of equal
     references the one with the largest position counts.
     """
-    raw = F.regexp_extract_all(resource, F.lit(MEMBER), 0)
+    raw = F.regexp_extract_all(resource, F.lit(MEMBER), 1)
 
     def target(text: Column) -> Column:
         def known(ref: Column) -> Column:
@@ -126,11 +129,12 @@ def rewrite_references(resource: Column, pairs: Column) -> Column:
         return F.struct(text.alias("raw"), _let(_unescaped(text), known).alias("direct"))
 
     def joined(found: Column) -> Column:
-        pieces = F.split(resource, MEMBER, -1)
-        rest = F.zip_with(found, F.slice(pieces, F.lit(2), F.size(found)), lambda f, piece: F.concat(F.coalesce(_escaped(f["direct"]), f["raw"]), piece))
-        whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+        def whole(pieces: Column) -> Column:
+            rest = F.zip_with(found, F.slice(pieces, F.lit(2), F.size(found)), lambda f, piece: F.concat(F.lit(NAME), F.coalesce(_escaped(f["direct"]), f["raw"]), piece))
+            return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+
         return F.struct(
-            F.when(F.size(found) > 0, whole).otherwise(resource).alias("resource"),
+            F.when(F.size(found) > 0, _let(F.split(resource, MEMBER, -1), whole)).otherwise(resource).alias("resource"),
             F.size(F.array_distinct(F.filter(found, lambda f: f["direct"].isNotNull()))).alias("resolved"),
         )
 
@@ -168,7 +172,9 @@ def resolve_bundles(bundles: DataFrame) -> DataFrame:
         return F.concat(F.coalesce(direct, none), F.coalesce(named, none))
 
     known = parsed.select("bundle_id", entry.alias("entry")).select("*", F.sort_array(F.flatten(F.transform("entry", own))).alias("pairs"))
-    return known.select("bundle_id", "pairs", F.explode("entry").alias("e")).select(
+    # outer, then without the empty row: a plain explode would have its input, the parsed bundle, computed in a filter too
+    entries = known.select("bundle_id", "pairs", F.explode_outer("entry").alias("e")).where("e.pos is not null")
+    return entries.select(
         "bundle_id", "e.pos", "e.full_url", "e.head.resourceType", "e.head.id", rewrite_references(F.col("e.resource"), F.col("pairs")).alias("new")
     ).select(
         "bundle_id", "pos", "full_url", F.col("resourceType").alias("resource_type"), F.col("id").alias("resource_id"), "new.resource", "new.resolved"

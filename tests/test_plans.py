@@ -163,3 +163,20 @@ def test_edge_audit_shuffles_nodes_once(spark):
     assert plan(audit).count("Exchange hashpartitioning") == 2
     got = {r["type"]: (r["edges"], r["dangling_src"], r["dangling_dst"], r["is_empty"]) for r in audit.collect()}
     assert got == {"hasClaim": (3, 1, 1, False), "coveredBy": (1, 0, 1, False), "hasProcedure": (0, 0, 0, True)}
+
+
+def test_bundles_are_parsed_once(spark):
+    from carespark.operators import bundles
+
+    doc = (
+        '{"resourceType":"Bundle","entry":[{"fullUrl":"urn:uuid:p","resource":{"resourceType":"Patient","id":"1","note":"{\\"reference\\":\\"urn:uuid:p\\"}"}},'
+        '{"fullUrl":"urn:uuid:o","resource":{"resourceType":"Observation","id":"2","subject":{"reference":"urn:uuid:p"},"a":{"reference":""},"b":[{"x":1,"reference":"u\\"v"},{"reference":"urn:uuid:p"}]}}]}'
+    )
+    frame = spark.createDataFrame([("k", doc), ("none", None), ("empty", '{"entry":[]}'), ("bad", "x")], "bundle_id string, content string")
+    out = bundles.resolve_bundles(frame)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2
+    got = {r["pos"]: (r["resource"], r["resolved"]) for r in out.collect()}
+    assert got == {
+        0: ('{"resourceType":"Patient","id":"1","note":"{\\"reference\\":\\"urn:uuid:p\\"}"}', 0),
+        1: ('{"resourceType":"Observation","id":"2","subject":{"reference":"Patient/1"},"a":{"reference":""},"b":[{"x":1,"reference":"u\\"v"},{"reference":"Patient/1"}]}', 1),
+    }
