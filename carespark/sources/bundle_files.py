@@ -10,6 +10,10 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.bundles import is_bundle_file
 from ..operators.gates import manifest_findings
 
+#: Parquet row groups of whole file texts. A reader decodes up to 4096 rows of a row group at once, so what a task
+#: holds grows with the rows of a group and the length of a text, not with the number of files.
+WIDE_ROWS = {"parquet.block.row.count.limit": "32"}
+
 
 def _files(spark: SparkSession, folder: str, by_folder: bool) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -45,7 +49,8 @@ def load_changed_files(
     which only the short columns are read here. Files older than the newest
     known one less `slack` are not opened, as the time bound reaches the
     source; `slack` None opens all, for files that keep an old time when copied.
-    A repeated run replaces its own rows. Contents are read and hashed once.
+    A repeated run replaces its own rows. Contents are read and hashed once,
+    and written in small row groups, as a content is a whole file.
     """
     files = _files(spark, folder, by_folder).select("name", "content", F.col("modificationTime").alias("modified"))
     try:
@@ -62,7 +67,7 @@ def load_changed_files(
         newest = seen.groupBy("name").agg(F.max_by("sha256", "batch_id").alias("known"))
         status = F.when(F.col("known").isNull(), "added").when(F.col("known") != F.col("sha256"), "changed")
         fresh = hashed.join(newest, "name", "left").withColumn("status", status).where(F.col("status").isNotNull()).drop("known")
-    fresh.write.mode("overwrite").parquet(f"{table}/batch_id={run_id}")
+    fresh.write.mode("overwrite").options(**WIDE_ROWS).parquet(f"{table}/batch_id={run_id}")
 
 
 def loaded_bundles(spark: SparkSession, table: str) -> DataFrame:

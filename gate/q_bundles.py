@@ -9,7 +9,7 @@ from carespark.functions.lineage import checkpoint_folder
 from carespark.operators import bundles as b, gates as g, imaging as im, lookups, outreach as o, sdoh
 from carespark.operators.alerts import device_patient_map
 from carespark.refdata import sdoh as sdoh_ref
-from carespark.sources.bundle_files import load_changed_files, loaded_bundles
+from carespark.sources.bundle_files import WIDE_ROWS, load_changed_files, loaded_bundles
 
 from .fixtures import CONDITION_CODES, LINE_KEY, pick
 from .lake import AS_OF_DAY, Lake
@@ -300,7 +300,7 @@ def file_loads(k: Lake) -> str:
     """Every 7th file comes with the second run, for which every 5th of the others is changed."""
     folder = f"{checkpoint_folder(k.spark)}/files-{uuid.uuid4().hex}"
     texts = file_texts(k)
-    texts.write.parquet(f"{folder}/texts")  # compressed, unlike a checkpoint
+    texts.write.options(**WIDE_ROWS).parquet(f"{folder}/texts")  # compressed, unlike a checkpoint
     texts = k.spark.read.schema(texts.schema).parquet(f"{folder}/texts")
 
     def write(rows):  # one row per name: no shuffle brings rows of a file together

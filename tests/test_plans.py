@@ -121,6 +121,26 @@ def test_bundle_files_are_written_without_a_checkpoint(spark, folder):
     assert texts.count() == texts.select("name").distinct().count() > 0
 
 
+def test_file_texts_are_read_in_small_batches(spark, tmp_path):
+    """A reader decodes up to 4096 rows of a row group at once: rows of whole files must not share large groups."""
+    import pyarrow.parquet as pq
+
+    from carespark.sources.bundle_files import load_changed_files, loaded_bundles
+
+    (tmp_path / "in").mkdir()
+    for i in range(600):
+        (tmp_path / "in" / f"b{i}.json").write_text('{"resourceType":"Bundle","entry":[]}' + " " * i)
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")  # many files a task
+    try:
+        load_changed_files(spark, str(tmp_path / "in"), str(tmp_path / "table"), 0)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    groups = [f.metadata.row_group(g).num_rows for f in map(pq.ParquetFile, (tmp_path / "table").rglob("*.parquet")) for g in range(f.metadata.num_row_groups)]
+    assert sum(groups) == 600 and max(groups) <= 32
+    assert loaded_bundles(spark, str(tmp_path / "table")).count() == 600
+
+
 @pytest.mark.parametrize("name", ["utilization_monthly", "worklist_snapshot", "reference_integrity", "graph_nodes", "graph_fork_rows", "graph_fork_optional"])
 def test_silver_is_built_within_the_query(name, spark, folder):
     read = QUERIES[name](spark, folder).inputFiles()
