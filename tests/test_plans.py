@@ -158,6 +158,19 @@ def test_graph_queries_build_claims_once(name, spark, folder):
     assert "insurance_string" not in text
 
 
+@pytest.mark.parametrize("name", ["kpi_snapshot", "graph_edges", "graph_edge_counts"])
+def test_conditions_and_payers_are_parsed_once(name, spark, folder):
+    text = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "clinicalStatus_string" not in text and "payor_string" not in text
+    assert text.count("medicationCodeableConcept_string") == 0
+
+
+def test_observations_of_other_codes_parse_no_value(spark, folder):
+    rows = Lake(spark, folder).observations.where("code = '4548-4'").select("patient_id", "value")
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("quantity, from_json(") < text.index("Filter ") < text.index("concept, from_json(")
+
+
 def test_edges_are_shuffled_once_for_a_path(spark):
     from carespark.operators import graph
 
