@@ -183,6 +183,21 @@ def test_edges_are_shuffled_once_for_a_path(spark):
     assert sorted(map(tuple, make(near).collect())) == sorted(map(tuple, make(None).collect())) == want
 
 
+def test_own_ends_are_counted_where_they_lie(spark):
+    from carespark.operators import graph
+
+    rows = [("a", "1", "x"), ("a", "1", "x"), ("b", "2", None), ("b", "3", "y"), (None, "3", "y"), ("c", "3", "z")]
+    claims = spark.createDataFrame(rows, "patient_id string, claim_key string, coverage_id string")
+    make = lambda kind, near: graph.edges({"fact_claim": claims}, [kind], near)
+    for kind, want in (("hasClaim", ("hasClaim", 4, 3, 3)), ("coveredBy", ("coveredBy", 3, 2, 3))):
+        end = graph.OWN_ENDS[kind]
+        counted = graph.edge_counts(make(kind, {kind: end}), kind, end)
+        text = plan(counted)
+        assert text.count(f"Exchange hashpartitioning({end}") == 2 and text.count("Exchange hashpartitioning") == 3
+        assert [tuple(r) for r in counted.collect()] == [tuple(r) for r in graph.edge_counts(make(kind, None)).collect()] == [want]
+        assert not graph.edge_counts(make(kind, {kind: end}).limit(0), kind, end).collect()
+
+
 def test_edge_audit_shuffles_nodes_once(spark):
     from carespark.operators import graph
 
