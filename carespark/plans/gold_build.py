@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import cost, gates, gold, quality, risk, silver
 from ..refdata import clinical as ref
-from ..sources.lakehouse import Lakehouse
+from ..sources.lakehouse import COMPRESSION, Lakehouse
 
 SILVER = ["Coverage", "Condition", "ExplanationOfBenefit", "Patient", "Observation", "MedicationRequest", "Immunization", "Encounter"]
 # Tables that may legitimately hold no row.
@@ -34,7 +34,7 @@ class GoldBuild:
     def parsed(self, name: str, df: DataFrame) -> DataFrame:
         """Typed rows that several tables need, parsed from JSON once."""
         path = self.lake.path("parsed", name)
-        df.write.format(self.lake.format).mode("overwrite").save(path)
+        df.write.format(self.lake.format).option("compression", COMPRESSION).mode("overwrite").save(path)
         return self.spark.read.format(self.lake.format).load(path)
 
     def run(self) -> DataFrame:

@@ -88,6 +88,16 @@ def test_gold_build(spark, tmp_path, folder):
         check(failing)
 
 
+def test_stored_tables_are_compressed_with_zstd(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    lake = Lakehouse(spark, str(tmp_path))
+    lake.write_gold(spark.range(1000).selectExpr("concat('pat-', id) as patient_id"), "t")
+    GoldBuild(spark, lake).parsed("p", spark.range(10).selectExpr("id"))
+    files = list(tmp_path.rglob("*.parquet"))
+    assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files if pq.ParquetFile(f).metadata.num_rows)
+
+
 def test_claim_reports_parse_only_the_members_they_use(spark, folder):
     text = plan(Lake(spark, folder).rates)
     assert "total_string" in text and "payment_string" in text
